@@ -24,15 +24,15 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def exact_keys(fp: Column, distance: int, rows: int) -> Column:
-    """Keys of which two fingerprints within ``distance`` share at least one: with b blocks, any
+def exact_keys(fp: Column, distance: int, rows: int) -> tuple[Column, list[int]]:
+    """An array of (key, tab) and each tab's mask. Of the keys two fingerprints within ``distance`` share at least one: with b blocks, any
     b - distance of them that are equal. b grows with the rows, so that a key has more bits than there
     are rows to fill them; every choice is complete, only the cost differs."""
     blocks = distance + 1
     while 64 * (blocks - distance) / blocks < np.log2(max(rows, 2)) - 9:
         blocks += 1
     masks = block_masks(blocks, blocks - distance)
-    return F.array(*(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(m)))) for i, m in enumerate(masks)))
+    return F.array(*(F.struct(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(m)))).alias("key"), F.lit(i).alias("tab")) for i, m in enumerate(masks))), masks
 
 
 def deletion_keys(fp: Column, distance: int, rows: int) -> Column:
@@ -59,28 +59,38 @@ def deletion_keys(fp: Column, distance: int, rows: int) -> Column:
     return F.array(*keys)
 
 
-_LINKS = "a long, b long, hot long, chunk int, members binary"
+_LINKS = "a long, b long, hot long, chunk int, members binary, tab int"
 
 
-def forest(fps: np.ndarray, distance: int, verify: Callable[[int, int], bool] | None = None, since: int = 0) -> list[tuple[int, int]]:
+def forest(fps: np.ndarray, distance: int, verify: Callable[[int, int], bool] | None = None, since: int = 0, earlier: list[int] = ()) -> list[tuple[int, int]]:
     """Pairs of indexes that span the links among fps (links: within distance, and verified).
 
     Row by row against all later ones, skipping what is joined already: no pair list is held.
-    since: only pairs with one index below it and one from it on are compared, if it is set."""
+    since: only pairs with one index below it and one from it on are compared, if it is set.
+    earlier: masks; a pair that agrees on all bits of one of them shares a bucket there, and is left
+    to it, so that no pair is verified twice."""
     n = len(fps)
+    masks = [np.uint64(m) for m in earlier]
+
+    def close(x: np.ndarray) -> np.ndarray:
+        found = np.bitwise_count(x) <= distance
+        for m in masks:
+            found &= (x & m) != 0
+        return found
+
     label = np.arange(n)
     out = []
     whole = None
     rows = range(since or n - 1)
     if not since and n <= 1024:  # one matrix, of which mostly no row has a link
-        whole = np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= distance, 1)
+        whole = np.triu(close(fps[:, None] ^ fps[None, :]), 1)
         rows = np.flatnonzero(whole.any(axis=1)).tolist()
     for i in rows:
         start = since or i + 1
         if whole is not None:
             near = np.flatnonzero(whole[i])
         else:
-            near = np.flatnonzero(np.bitwise_count(fps[start:] ^ fps[i]) <= distance) + start
+            near = np.flatnonzero(close(fps[start:] ^ fps[i])) + start
         if not len(near):
             continue
         for j in near[label[near] != label[i]].tolist():
@@ -90,20 +100,23 @@ def forest(fps: np.ndarray, distance: int, verify: Callable[[int, int], bool] |
     return out
 
 
-def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 4096) -> DataFrame:
+def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 4096, masks: list[int] | None = None) -> DataFrame:
     """keyed: key (bigint), fp (bigint), id (bigint), and text if ``similar`` is given. Returns a, b:
-    ids whose links span those of every bucket of equal keys.
+    ids whose links span those of every bucket of equal keys. With ``masks``, keyed also has tab: a key
+    is of fp's bits under masks[tab], and a pair is looked at in the first table that it shares alone.
 
     Buckets are read one after another from sorted partitions. One of more than ``chunk`` members is
     cut into chunks, which a second step compares pair by pair in tasks of their own: no bucket meets
     in one task, and none is capped."""
     spark = keyed.sparkSession
     n = partitions(spark)
-    columns = ["key", "fp", "id"] + ["text"] * (similar is not None)
+    columns = ["key", "fp", "id", "tab"] + ["text"] * (similar is not None)
+    if masks is None:
+        keyed = keyed.withColumn("tab", F.lit(0))
 
-    def pairs(fps, ids, texts, since=0):
+    def pairs(fps, ids, texts, tab, since=0):
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
-        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since)]
+        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, (masks or [])[: int(tab)])]
 
     def dump(fps, ids, texts) -> bytes:
         t = pa.table({"fp": pa.array(fps), "id": pa.array(ids)} | ({"text": pa.array(texts, pa.string())} if texts is not None else {}))
@@ -124,21 +137,22 @@ def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str],
                 pa.array([None] * len(links) + [h[0] for h in hot], pa.int64()),
                 pa.array([None] * len(links) + [h[1] for h in hot], pa.int32()),
                 pa.array([None] * len(links) + [h[2] for h in hot], pa.binary()),
+                pa.array([None] * len(links) + [h[3] for h in hot], pa.int32()),
             ],
-            names=["a", "b", "hot", "chunk", "members"],
+            names=["a", "b", "hot", "chunk", "members", "tab"],
         )
 
     def run(batches):
         held = None  # the bucket that may go on in the next batch
         at = 0  # chunks of it that have been sent
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             cols[1] = cols[1].view(np.uint64)
-            texts = batch.column(3).to_numpy(zero_copy_only=False) if similar is not None else None
+            texts = batch.column(4).to_numpy(zero_copy_only=False) if similar is not None else None
             if held is not None:
                 cols = [np.concatenate((h, c)) for h, c in zip(held[0], cols)]
                 texts = np.concatenate((held[1], texts)) if texts is not None else None
-            keys, fps, ids = cols
+            keys, fps, ids, tabs = cols
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             starts = np.concatenate(([0], cuts))
             ends = np.concatenate((cuts, [len(keys)]))
@@ -149,39 +163,41 @@ def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str],
             if len(two):  # most buckets
                 two = two[(at == 0) | (two > 0)]
                 two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
+                if masks is not None and len(two):
+                    two = np.array([i for i in two.tolist() if all(int(fps[i] ^ fps[i + 1]) & m for m in masks[: int(tabs[i])])], np.int64)
                 if similar is not None:
                     two = [i for i in two.tolist() if similar(texts[i], texts[i + 1])]
                 links += zip(ids[two].tolist(), ids[np.asarray(two, np.int64) + 1].tolist())
             more = np.flatnonzero(done > 2)
             if at and done[0]:  # the rest of a bucket that has been sent in chunks
                 b = int(ends[0])
-                hot.append((int(keys[0]), at, dump(fps[:b], ids[:b], None if texts is None else texts[:b])))
+                hot.append((int(keys[0]), at, dump(fps[:b], ids[:b], None if texts is None else texts[:b]), int(tabs[0])))
                 at = 0
                 more = more[more > 0]
             for a, b in zip(starts[more].tolist(), ends[more].tolist()):
-                links += pairs(fps[a:b], ids[a:b], None if texts is None else texts[a:b])
+                links += pairs(fps[a:b], ids[a:b], None if texts is None else texts[a:b], tabs[a])
             a = int(starts[-1])
             if a:
                 at = 0
             while len(keys) - a > chunk:
                 b = a + chunk
-                hot.append((int(keys[a]), at, dump(fps[a:b], ids[a:b], None if texts is None else texts[a:b])))
+                hot.append((int(keys[a]), at, dump(fps[a:b], ids[a:b], None if texts is None else texts[a:b]), int(tabs[a])))
                 a, at = b, at + 1
-            held = ([keys[a:], fps[a:], ids[a:]], None if texts is None else texts[a:])
+            held = ([keys[a:], fps[a:], ids[a:], tabs[a:]], None if texts is None else texts[a:])
             if links or hot:
                 yield emit(links, hot)
         if held is not None and len(held[0][0]):
-            keys, fps, ids = held[0]
+            keys, fps, ids, tabs = held[0]
             if at:
-                yield emit([], [(int(keys[0]), at, dump(fps, ids, held[1]))])
+                yield emit([], [(int(keys[0]), at, dump(fps, ids, held[1]), int(tabs[0]))])
             elif len(keys) > 1:
-                yield emit(pairs(fps, ids, held[1]))
+                yield emit(pairs(fps, ids, held[1], tabs[0]))
 
     found, _ = materialize(
         keyed.select(*columns).repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(run, _LINKS), "links"
     )
     links = found.where("a is not null").select("a", "b")
-    chunks = found.where("hot is not null").select("hot", "chunk", "members")
+    chunks = found.where("hot is not null").select("hot", "chunk", "members", "tab")
     if chunks.isEmpty():
         return links.distinct()
     other = chunks.select("hot", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
@@ -189,14 +205,14 @@ def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str],
 
     def across(batches):
         for batch in batches:
-            for c, one, d, two in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for c, one, d, two, tab in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 fps, ids, texts = load(one)
                 if c == d:
-                    yield emit(pairs(fps, ids, texts))
+                    yield emit(pairs(fps, ids, texts, tab))
                 else:
                     fps2, ids2, texts2 = load(two)
                     joined = None if texts is None else [*texts, *texts2]
-                    yield emit(pairs(np.concatenate((fps, fps2)), np.concatenate((ids, ids2)), joined, len(fps)))
+                    yield emit(pairs(np.concatenate((fps, fps2)), np.concatenate((ids, ids2)), joined, tab, len(fps)))
 
-    more = both.select("chunk", "members", "chunk2", "members2").repartition(n).mapInArrow(across, _LINKS)
+    more = both.select("chunk", "members", "chunk2", "members2", "tab").repartition(n).mapInArrow(across, _LINKS)
     return links.union(more.select("a", "b")).distinct()

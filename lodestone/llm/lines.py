@@ -20,8 +20,10 @@ _DIGITS = FOLD.copy()
 _DIGITS[48:58] = 48  # all digits alike
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, by Myers' bit vectors on whole integers (Hyyro's form)."""
+def edit_distance(a: str, b: str, most: int | None = None) -> int:
+    """Levenshtein distance, by Myers' bit vectors on whole integers. With ``most``, any number above
+    it stands for a larger distance."""
+    most = len(a) + len(b) if most is None else most
     while a and b and a[-1] == b[-1]:
         n = 1
         while n < min(len(a), len(b)) and a[-n - 1 :] == b[-n - 1 :] and n < 64:
@@ -41,7 +43,9 @@ def edit_distance(a: str, b: str) -> int:
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down, score = full, 0, len(a)
+    left = len(b)
     for c in b:
+        left -= 1
         eq = where.get(c, 0)
         x = eq | down
         d = ((eq & up) + up ^ up) | eq
@@ -54,6 +58,8 @@ def edit_distance(a: str, b: str) -> int:
         plus = (plus << 1 | 1) & full
         up = (minus << 1 & full) | (full & ~(x | plus))
         down = plus & x
+        if score - left > most:  # each place left takes off one at most
+            return most + 1
     return score
 
 
@@ -62,7 +68,8 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
     longer = max(len(a), len(b))
     if abs(len(a) - len(b)) > (1 - least) * longer:
         return False
-    return edit_distance(a, b) <= (1 - least) * longer + 1e-9
+    most = int((1 - least) * longer + 1e-9)
+    return edit_distance(a, b, most) <= most
 
 
 class Lines:
@@ -121,13 +128,14 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines, _ = materialize(_hashed(docs), "lines")
     nodes, _ = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "th", "line")).alias("at")), "nodes")
     n = nodes.count()
-    keyed = nodes.select(F.explode(exact_keys(F.col("fp"), DISTANCE, n)).alias("bucket"), "fp", F.col("key").alias("id"))
-    near = bucket_links(keyed.withColumnRenamed("bucket", "key"), DISTANCE)
+    keys, masks = exact_keys(F.col("fp"), DISTANCE, n)
+    keyed = nodes.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id")).select("k.*", "fp", "id")
+    near = bucket_links(keyed, DISTANCE, masks=masks)
     paired = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = nodes.join(paired, "key").select("at.doc_id", "at.th", "at.line", "key", "fp")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
-    keyed = texts.select(F.explode(exact_keys(F.col("fp"), DISTANCE, n)).alias("key"), "fp", F.col("key").alias("id"), "text")
-    return lines, connected_components(bucket_links(keyed, DISTANCE, similar))
+    keyed = texts.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id"), "text").select("k.*", "fp", "id", "text")
+    return lines, connected_components(bucket_links(keyed, DISTANCE, similar, masks=masks))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:

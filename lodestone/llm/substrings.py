@@ -141,11 +141,28 @@ def _merge(held, targets):
 
 def _read(batches, kinds: list) -> list[np.ndarray]:
     """All rows of a partition's blobs, by column."""
-    parts: list[list[bytes]] = [[] for _ in kinds]
+    parts: list[list[np.ndarray]] = [[] for _ in kinds]
     for batch in batches:
         for i in range(len(kinds)):
-            parts[i] += batch.column(i + 1).to_pylist()
-    return [np.frombuffer(b"".join(p), k) if not isinstance(k, tuple) else np.frombuffer(b"".join(p), k[0]).reshape(-1, k[1]) for p, k in zip(parts, kinds)]
+            column = batch.column(i + 1)
+            if len(column):
+                _, offsets, data = column.buffers()
+                marks = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+                if marks[-1] > marks[0]:
+                    parts[i].append(np.frombuffer(data, np.uint8)[marks[0] : marks[-1]])
+    raw = [np.concatenate(p) if p else np.zeros(0, np.uint8) for p in parts]
+    return [r.view(k[0]).reshape(-1, k[1]) if isinstance(k, tuple) else r.view(k) for r, k in zip(raw, kinds)]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system between tasks of a worker."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -251,6 +268,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             done = ~free
             if done.any():  # settled ones only need to come back: their windows all start earlier
                 rows += [(int(-1 - key[0].as_py()), [np.ascontiguousarray(a[done]).tobytes() if i != 7 else b"" for i, a in enumerate(arrays)])]
+        _give_back()
         if rows:
             return pa.Table.from_batches([_batch(rows, names)])
         return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in names[1:])], names=names)
@@ -280,9 +298,17 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             gram, d, h, copy, low, high, place, context, _ = _read(held, kinds)
             order = np.empty(len(gram), np.int64)
             order[np.lexsort((place, copy, h, d))] = np.arange(len(gram))
-            later = first_starts(gram, order, context, low, high, width)
-            rows, offset = np.nonzero(later)
-            if len(rows):  # neighbouring offsets are one run
+            by = np.argsort(gram, kind="stable")
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(gram[by])) + 1, [len(by)]))
+            a = 0
+            while a < len(by):  # whole buckets, some thousand rows at once
+                b = int(cuts[max(np.searchsorted(cuts, a + 16384, "right") - 1, np.searchsorted(cuts, a, "right"))])
+                own = by[a:b]
+                a = b
+                rows, offset = np.nonzero(first_starts(gram[own], order[own], context[own], low[own], high[own], width))
+                if not len(rows):
+                    continue
+                rows = own[rows]  # neighbouring offsets are one run
                 new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (offset[1:] != offset[:-1] + 1)))
                 head = np.flatnonzero(new)
                 tail = np.concatenate((head[1:], [len(rows)])) - 1
@@ -290,7 +316,9 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                 start = place[r].astype(np.int64) - offset[tail]
                 end = place[r].astype(np.int64) - offset[head] + width
                 pieces.append(((h[r].view(np.int64) % n).astype(np.int64), [d[r], h[r], copy[r], start.astype("<u4"), end.astype("<u4")]))
+            del context, held
         yield from _flushing(pieces, names, n)
+        _give_back()
 
     spans = around.repartition(n, "t").mapInArrow(removed, "bin int, d binary, h binary, copy binary, start binary, end binary")
 

@@ -32,9 +32,15 @@ class WordTokenizer:
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        #: The same model for lower-case ASCII words between spaces, which need no normalising.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  #: ids that end a pre-token
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.most = most
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
@@ -57,12 +63,36 @@ class WordTokenizer:
             for x in (low, tail):
                 if x and x not in cache:
                     plain[x] = None
-        if plain:
-            for word, found in zip(plain, self.tokenizer.encode_batch_fast(list(plain), add_special_tokens=False)):
-                cache[word] = np.array(found.ids, self.kind).tobytes()
+        simple, letters, rest = [], [], []
+        for word in plain:
+            (rest if not word.isalpha() else simple if word.isascii() and word.islower() else letters).append(word)
+        self._runs(self.plain, simple)
+        self._runs(self.tokenizer, letters)
+        self._each(rest)
         for word, (low, tail) in parts.items():
             cache[word] = cache[low] + cache[tail] if tail else cache[low]
 
+    def _runs(self, tokenizer, words: list[str]) -> None:
+        """Words of letters alone are one pre-token each: they are encoded in one text, and cut where an
+        id ends a pre-token. Should the count differ (letters that split in lower case), each is encoded
+        apart."""
+        for a in range(0, len(words), 20_000):
+            part = words[a : a + 20_000]
+            ids = np.array(tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part) or ends[-1] != len(ids):
+                self._each(part)
+                continue
+            raw, size, at = ids.tobytes(), self.kind.itemsize, 0
+            for word, end in zip(part, (ends * size).tolist()):
+                self.cache[word] = raw[at:end]
+                at = end
+
+    def _each(self, words: list[str]) -> None:
+        if words:
+            for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
+                self.cache[word] = np.array(found.ids, self.kind).tobytes()
+
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, each closed by ``end``, and the texts' offsets."""
         if texts.null_count:
