@@ -45,32 +45,35 @@ class WordTokenizer:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Put the ids of all words into the cache. A word that ends in letters and then points or
-        commas is the sum of both parts, and ASCII words are encoded in lower case, as the tokenizer
-        itself would; words that may hold a special token are encoded as they are."""
-        cache, parts, plain = self.cache, {}, {}
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word. A word that ends in letters and then points or commas is the sum of
+        both parts, and ASCII words are encoded in lower case, as the tokenizer itself would; words that
+        may hold a special token are encoded as they are."""
+        cache, parts, new = self.cache, [], {}
         for word in words:
-            if word in cache:
-                continue
-            stem = word.rstrip(".,")
-            if "<|" in word or not stem or (len(stem) < len(word) and not stem[-1].isalpha()):
-                plain[word] = None
-                continue
-            tail = word[len(stem) :]
-            low = stem.lower() if stem.isascii() else stem
-            parts[word] = (low, tail)
-            for x in (low, tail):
-                if x and x not in cache:
-                    plain[x] = None
+            stem, tail = word.rstrip(".,"), ""
+            if "<|" in word:
+                stem = word
+            else:
+                if len(stem) < len(word):
+                    if stem and stem[-1].isalpha():
+                        tail = word[len(stem) :]
+                        if tail not in cache:
+                            new[tail] = None
+                    else:
+                        stem = word
+                if stem.isascii():
+                    stem = stem.lower()
+            parts.append((stem, tail))
+            if stem not in cache:
+                new[stem] = None
         simple, letters, rest = [], [], []
-        for word in plain:
+        for word in new:
             (rest if not word.isalpha() else simple if word.isascii() and word.islower() else letters).append(word)
         self._runs(self.plain, simple)
         self._runs(self.tokenizer, letters)
         self._each(rest)
-        for word, (low, tail) in parts.items():
-            cache[word] = cache[low] + cache[tail] if tail else cache[low]
+        return [cache[stem] + cache[tail] if tail else cache[stem] for stem, tail in parts]
 
     def _runs(self, tokenizer, words: list[str]) -> None:
         """Words of letters alone are one pre-token each: they are encoded in one text, and cut where an
@@ -102,8 +105,7 @@ class WordTokenizer:
         words = coded.dictionary.to_pylist()
         if len(self.cache) + 2 * len(words) > self.most:
             self.cache.clear()
-        self._learn(words)
-        own = [self.cache[w] for w in words]
+        own = self._ids(words)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
         table = np.frombuffer(b"".join(own), self.kind)
         codes = coded.indices.to_numpy(zero_copy_only=False)
