@@ -87,8 +87,8 @@ def identified(text: Column, sentences: dict[str, list[str]] = SENTENCES) -> Col
 
 
 def unwrapped(text: Column) -> Column:
-    """Single line breaks between two words are wraps: they become spaces."""
-    return F.regexp_replace(text, "(?<=[\\p{L}\\p{N},])[ \\t]*\\r?\\n[ \\t]*(?=[\\p{Ll}\\p{N}])", " ")
+    """Single line breaks after a comma, or before a small letter or a digit, are wraps: they become spaces."""
+    return F.regexp_replace(text, "(?:(?<=,)[ \\t]*\\r?\\n[ \\t]*(?=[\\p{L}\\p{N}])|(?<=[\\p{L}\\p{N}])[ \\t]*\\r?\\n[ \\t]*(?=[\\p{Ll}\\p{N}]))", " ")
 
 
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:

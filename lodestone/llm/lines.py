@@ -170,19 +170,19 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     labelled, _ = materialize(labelled.select("doc_id", "th", "line", "component"), "labelled")
     first = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = labelled.join(first, "component").where(~F.struct("doc_id", "th", "line").eqNullSafe(F.col("first")))
-    drops = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("drops"))
-    drops = drops.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "drops")
+    drops = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("__drops"))
+    drops = drops.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "__drops")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     marked = docs.select(*(F.col(f"`{c}`") for c in others), F.xxhash64("text").alias("__h"))
     joined = marked.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
     cut = F.split("text", "\n")
-    kept = F.when(F.col("drops").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.filter(F.transform(cut, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("drops", s.i)), lambda s: s.x), "\n")
+    kept = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(
+        F.array_join(F.transform(F.filter(F.transform(cut, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__drops", s.i)), lambda s: s.x), "\n")
     )
     return joined.select(
         *(kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in others),
         F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
