@@ -165,7 +165,14 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that the rules reject, in their own columns."""
-    stats, _ = materialize(with_stats(docs.select("doc_id", "text", "lang")).drop("text"), "stats")
+    """docs without those that the rules reject, in their own columns.
+
+    Counts are taken once, into a table; rows are then matched to their verdicts by doc_id, language
+    and a hash of the text, which is all that a verdict depends on."""
+    marked = docs.select("doc_id", "lang", "text", F.xxhash64("text").alias("__th"))
+    stats, _ = materialize(with_stats(marked).drop("text"), "stats")
     chosen, _ = materialize(cutoffs(stats, labels.select("doc_id", "quality")), "cutoffs")
-    return judged(with_stats(docs), chosen).where("kept").select(docs.columns)
+    good = judged(stats, chosen).where("kept").select(F.col("doc_id").alias("__d"), F.col("lang").alias("__l"), F.col("__th").alias("__t"))
+    good, _ = materialize(good.distinct(), "good")
+    same = F.col("doc_id").eqNullSafe(F.col("__d")) & F.col("lang").eqNullSafe(F.col("__l")) & (F.col("__h") == F.col("__t"))
+    return docs.withColumn("__h", F.xxhash64("text")).join(good, same, "left_semi").select(docs.columns)
