@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
+from .textkernel import mix
 
 
 def block_masks(blocks: int, chosen: int) -> list[int]:
@@ -59,16 +60,28 @@ def deletion_keys(fp: Column, distance: int, rows: int) -> Column:
     return F.array(*keys)
 
 
-_LINKS = "a long, b long, hot long, chunk int, members binary, tab int"
+_LINKS = "a long, b long, hot long, chunk int, members binary"
 
 
-def forest(fps: np.ndarray, distance: int, verify: Callable[[int, int], bool] | None = None, since: int = 0, earlier: list[int] = ()) -> list[tuple[int, int]]:
+Fits = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def forest(
+    fps: np.ndarray,
+    distance: int,
+    verify: Callable[[int, int], bool] | None = None,
+    since: int = 0,
+    earlier: list[int] = (),
+    fits: Callable[[int, np.ndarray], np.ndarray] | None = None,
+    label: np.ndarray | None = None,
+) -> list[tuple[int, int]]:
     """Pairs of indexes that span the links among fps (links: within distance, and verified).
 
     Row by row against all later ones, skipping what is joined already: no pair list is held.
     since: only pairs with one index below it and one from it on are compared, if it is set.
     earlier: masks; a pair that agrees on all bits of one of them shares a bucket there, and is left
-    to it, so that no pair is verified twice."""
+    to it, so that no pair is verified twice. fits: which of some indexes may be like the first one.
+    label: numbers that are equal for what is joined from the start."""
     n = len(fps)
     masks = [np.uint64(m) for m in earlier]
 
@@ -78,7 +91,7 @@ def forest(fps: np.ndarray, distance: int, verify: Callable[[int, int], bool] |
             found &= (x & m) != 0
         return found
 
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label
     out = []
     whole = None
     rows = range(since or n - 1)
@@ -91,43 +104,145 @@ def forest(fps: np.ndarray, distance: int, verify: Callable[[int, int], bool] |
             near = np.flatnonzero(whole[i])
         else:
             near = np.flatnonzero(close(fps[start:] ^ fps[i])) + start
-        if not len(near):
-            continue
-        for j in near[label[near] != label[i]].tolist():
+        near = near[label[near] != label[i]]
+        if fits is not None and len(near):
+            near = near[fits(i, near)]
+        for j in near.tolist():
             if label[j] != label[i] and (verify is None or verify(i, j)):
                 out.append((i, j))
                 label[label == label[j]] = label[i]
     return out
 
 
-def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 4096, masks: list[int] | None = None) -> DataFrame:
-    """keyed: key (bigint), fp (bigint), id (bigint), and text if ``similar`` is given. Returns a, b:
-    ids whose links span those of every bucket of equal keys. With ``masks``, keyed also has tab: a key
-    is of fp's bits under masks[tab], and a pair is looked at in the first table that it shares alone.
+def split_masks(mask: int, parts: int) -> list[int]:
+    """The bits outside ``mask``, cut into so many even masks."""
+    free = [bit for bit in range(64) if not mask >> bit & 1]
+    edges = [len(free) * i // parts for i in range(parts + 1)]
+    return [sum(1 << bit for bit in free[edges[i] : edges[i + 1]]) for i in range(parts)]
+
+
+#: Runs of so many equal finer keys are compared by shifts, longer ones row by row.
+SHIFTS = 24
+
+
+def many_buckets(
+    keys: np.ndarray, fps: np.ndarray, tabs: np.ndarray, masks: list[int], distance: int, verify: Callable[[int, int], bool] | None, fits: Fits | None, sizes: np.ndarray | None
+) -> list[tuple[int, int]]:
+    """As forest, for many whole buckets at once, without a loop over buckets.
+
+    The bits that a bucket's mask leaves free are cut into distance + 1 parts, of which close pairs
+    agree on one: a bucket is read once for each part, in the order of that part, so the steps grow with
+    its rows and not with their square."""
+    parts = [split_masks(m, distance + 1) for m in masks]
+    table = np.array(parts, np.uint64)
+    joined = list(range(len(fps)))
+    out: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while joined[i] != i:
+            joined[i] = joined[joined[i]]
+            i = joined[i]
+        return i
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        joined[root(j)] = root(i)
+
+    for s in range(distance + 1):
+        fine = mix(keys.view(np.uint64) ^ mix(fps & table[tabs, s]))
+        order = np.argsort(fine)
+        fine, row, fp = fine[order], order, fps[order]
+        edges = np.flatnonzero(np.concatenate(([True], fine[1:] != fine[:-1], [True])))
+        long = np.flatnonzero(np.diff(edges) > SHIFTS)
+        short = np.ones(len(fine), bool)
+        for a, b in zip(edges[long].tolist(), edges[long + 1].tolist()):
+            short[a:b] = False
+        for shift in range(1, SHIFTS):
+            at = np.flatnonzero((fine[shift:] == fine[:-shift]) & short[shift:])
+            if not len(at):
+                break
+            x = fp[at] ^ fp[at + shift]
+            ok = np.bitwise_count(x) <= distance
+            at, x = at[ok], x[ok]
+            i, j = row[at], row[at + shift]
+            ok = np.ones(len(at), bool) if fits is None else fits(sizes[i], sizes[j])
+            for e in range(s):
+                ok &= (x & table[tabs[i], e]) != 0
+            for t, m in enumerate(masks[:-1]):
+                ok &= (x & np.uint64(m) != 0) | (tabs[i] <= t)
+            for one, two in zip(i[ok].tolist(), j[ok].tolist()):
+                if root(one) != root(two) and (verify is None or verify(one, two)):
+                    join(one, two)
+        for a, b in zip(edges[long].tolist(), edges[long + 1].tolist()):
+            own = row[a:b]
+            tab = int(tabs[own[0]])
+            check = None if verify is None else lambda i, j: verify(int(own[i]), int(own[j]))
+            fit = None if fits is None else lambda i, near: fits(sizes[own[i]], sizes[own[near]])
+            label = np.array([root(i) for i in own.tolist()])
+            for i, j in forest(fp[a:b], distance, check, 0, [*masks[:tab], *parts[tab][:s]], fit, label):
+                join(int(own[i]), int(own[j]))
+    return out
+
+
+def bucket_links(
+    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 4096, masks: list[int] | None = None, fits: Fits | None = None
+) -> DataFrame:
+    """keyed: key (bigint), fp (bigint), id (bigint), text if ``similar`` is given, and size if ``fits``
+    is: a vectorised test that two sizes may belong to like rows. Returns a, b: ids whose links span
+    those of every bucket of equal keys. With ``masks``, keyed also has tab: a key is of fp's bits under
+    masks[tab], and a pair is looked at in the first table that it shares alone.
 
     Buckets are read one after another from sorted partitions. One of more than ``chunk`` members is
     cut into chunks, which a second step compares pair by pair in tasks of their own: no bucket meets
     in one task, and none is capped."""
     spark = keyed.sparkSession
     n = partitions(spark)
-    columns = ["key", "fp", "id", "tab"] + ["text"] * (similar is not None)
+    columns = ["key", "fp", "id", "tab"] + ["size"] * (fits is not None) + ["text"] * (similar is not None)
     if masks is None:
         keyed = keyed.withColumn("tab", F.lit(0))
 
-    def pairs(fps, ids, texts, tab, since=0):
+    def links_of(part: dict, since=0):
+        """Of one bucket, or of two chunks of one."""
+        fps, ids, texts, sizes = part["fp"], part["id"], part.get("text"), part.get("size")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
-        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, (masks or [])[: int(tab)])]
+        fit = None if fits is None else lambda i, near: fits(sizes[i], sizes[near])
+        earlier = (masks or [])[: int(part["tab"][0])]
+        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, earlier, fit)]
 
-    def dump(fps, ids, texts) -> bytes:
-        t = pa.table({"fp": pa.array(fps), "id": pa.array(ids)} | ({"text": pa.array(texts, pa.string())} if texts is not None else {}))
+    def links_of_all(part: dict):
+        """Of many whole buckets."""
+        keys, fps, ids, texts = part["key"], part["fp"], part["id"], part.get("text")
+        check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
+        if masks is not None:
+            found = many_buckets(keys, fps, part["tab"], masks, distance, check, fits, part.get("size"))
+            return [(int(ids[i]), int(ids[j])) for i, j in found]
+        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+        length = np.diff(edges)
+        two = edges[:-1][length == 2]  # most buckets
+        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
+        if similar is not None:
+            two = np.array([i for i in two.tolist() if check(i, i + 1)], np.int64)
+        links = list(zip(ids[two].tolist(), ids[two + 1].tolist()))
+        for e in np.flatnonzero(length > 2).tolist():
+            links += links_of(cut(part, int(edges[e]), int(edges[e + 1])))
+        return links
+
+    def cut(part: dict, a: int, b: int | None = None) -> dict:
+        return {k: v[a:b] for k, v in part.items()}
+
+    def columns_of(batch) -> dict:
+        part = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
+        return part | {"fp": part["fp"].view(np.uint64)}
+
+    def dump(part: dict) -> bytes:
+        t = pa.table({k: pa.array(v.view(np.int64)) if k == "fp" else pa.array(v) for k, v in part.items()})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema) as w:
             w.write_table(t)
         return sink.getvalue().to_pybytes()
 
-    def load(raw: bytes):
-        t = pa.ipc.open_stream(raw).read_all()
-        return t["fp"].to_numpy(), t["id"].to_numpy(), t["text"].to_pylist() if "text" in t.column_names else None
+    def load(raw: bytes) -> dict:
+        return columns_of(pa.ipc.open_stream(raw).read_all().combine_chunks().to_batches()[0])
 
     def emit(links, hot=()):
         return pa.RecordBatch.from_arrays(
@@ -137,67 +252,47 @@ def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str],
                 pa.array([None] * len(links) + [h[0] for h in hot], pa.int64()),
                 pa.array([None] * len(links) + [h[1] for h in hot], pa.int32()),
                 pa.array([None] * len(links) + [h[2] for h in hot], pa.binary()),
-                pa.array([None] * len(links) + [h[3] for h in hot], pa.int32()),
             ],
-            names=["a", "b", "hot", "chunk", "members", "tab"],
+            names=["a", "b", "hot", "chunk", "members"],
         )
 
     def run(batches):
         held = None  # the bucket that may go on in the next batch
         at = 0  # chunks of it that have been sent
         for batch in batches:
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
-            cols[1] = cols[1].view(np.uint64)
-            texts = batch.column(4).to_numpy(zero_copy_only=False) if similar is not None else None
+            part = columns_of(batch)
+            if not len(part["key"]):
+                continue
             if held is not None:
-                cols = [np.concatenate((h, c)) for h, c in zip(held[0], cols)]
-                texts = np.concatenate((held[1], texts)) if texts is not None else None
-            keys, fps, ids, tabs = cols
+                part = {k: np.concatenate((held[k], v)) for k, v in part.items()}
+            keys = part["key"]
             cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts = np.concatenate(([0], cuts))
-            ends = np.concatenate((cuts, [len(keys)]))
             links, hot = [], []
-            done = ends - starts
-            done[-1] = 0  # the last one waits
-            two = starts[done == 2]
-            if len(two):  # most buckets
-                two = two[(at == 0) | (two > 0)]
-                two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
-                if masks is not None and len(two):
-                    two = np.array([i for i in two.tolist() if all(int(fps[i] ^ fps[i + 1]) & m for m in masks[: int(tabs[i])])], np.int64)
-                if similar is not None:
-                    two = [i for i in two.tolist() if similar(texts[i], texts[i + 1])]
-                links += zip(ids[two].tolist(), ids[np.asarray(two, np.int64) + 1].tolist())
-            more = np.flatnonzero(done > 2)
-            if at and done[0]:  # the rest of a bucket that has been sent in chunks
-                b = int(ends[0])
-                hot.append((int(keys[0]), at, dump(fps[:b], ids[:b], None if texts is None else texts[:b]), int(tabs[0])))
-                at = 0
-                more = more[more > 0]
-            for a, b in zip(starts[more].tolist(), ends[more].tolist()):
-                links += pairs(fps[a:b], ids[a:b], None if texts is None else texts[a:b], tabs[a])
-            a = int(starts[-1])
-            if a:
+            begin, last = 0, int(cuts[-1]) if len(cuts) else 0  # the last bucket waits
+            if at and last:  # the rest of a bucket that has been sent in chunks
+                begin = int(cuts[0])
+                hot.append((int(keys[0]), at, dump(cut(part, 0, begin))))
+            if last:
                 at = 0
-            while len(keys) - a > chunk:
-                b = a + chunk
-                hot.append((int(keys[a]), at, dump(fps[a:b], ids[a:b], None if texts is None else texts[a:b]), int(tabs[a])))
-                a, at = b, at + 1
-            held = ([keys[a:], fps[a:], ids[a:], tabs[a:]], None if texts is None else texts[a:])
+            if last > begin:
+                links = links_of_all(cut(part, begin, last))
+            while len(keys) - last > chunk:
+                hot.append((int(keys[last]), at, dump(cut(part, last, last + chunk))))
+                last, at = last + chunk, at + 1
+            held = cut(part, last)
             if links or hot:
                 yield emit(links, hot)
-        if held is not None and len(held[0][0]):
-            keys, fps, ids, tabs = held[0]
+        if held is not None and len(held["key"]):
             if at:
-                yield emit([], [(int(keys[0]), at, dump(fps, ids, held[1]), int(tabs[0]))])
-            elif len(keys) > 1:
-                yield emit(pairs(fps, ids, held[1], tabs[0]))
+                yield emit([], [(int(held["key"][0]), at, dump(held))])
+            elif len(held["key"]) > 1:
+                yield emit(links_of(held))
 
     found, _ = materialize(
         keyed.select(*columns).repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(run, _LINKS), "links"
     )
     links = found.where("a is not null").select("a", "b")
-    chunks = found.where("hot is not null").select("hot", "chunk", "members", "tab")
+    chunks = found.where("hot is not null").select("hot", "chunk", "members")
     if chunks.isEmpty():
         return links.distinct()
     other = chunks.select("hot", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
@@ -205,14 +300,13 @@ def bucket_links(keyed: DataFrame, distance: int, similar: Callable[[str, str],
 
     def across(batches):
         for batch in batches:
-            for c, one, d, two, tab in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                fps, ids, texts = load(one)
+            for c, one, d, two in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                part = load(one)
                 if c == d:
-                    yield emit(pairs(fps, ids, texts, tab))
+                    yield emit(links_of(part))
                 else:
-                    fps2, ids2, texts2 = load(two)
-                    joined = None if texts is None else [*texts, *texts2]
-                    yield emit(pairs(np.concatenate((fps, fps2)), np.concatenate((ids, ids2)), joined, tab, len(fps)))
+                    more = load(two)
+                    yield emit(links_of({k: np.concatenate((v, more[k])) for k, v in part.items()}, len(part["key"])))
 
-    more = both.select("chunk", "members", "chunk2", "members2", "tab").repartition(n).mapInArrow(across, _LINKS)
+    more = both.select("chunk", "members", "chunk2", "members2").repartition(n).mapInArrow(across, _LINKS)
     return links.union(more.select("a", "b")).distinct()

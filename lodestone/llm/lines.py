@@ -42,34 +42,85 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
-    up, down, score = full, 0, len(a)
-    left = len(b)
+    up, down = full, 0
+    room = most - len(a) + len(b)  # what is left of most, if each place to come takes off one
     for c in b:
-        left -= 1
         eq = where.get(c, 0)
         x = eq | down
-        d = ((eq & up) + up ^ up) | eq
-        plus = down | (full & ~(d | up))
+        d = (((eq & up) + up & full) ^ up) | eq
+        plus = down | (full ^ (d | up))
         minus = up & d
         if plus & top:
-            score += 1
-        elif minus & top:
-            score -= 1
+            room -= 2
+            if room < 0:
+                return most + 1
+        elif not minus & top:
+            room -= 1
+            if room < 0:
+                return most + 1
         plus = (plus << 1 | 1) & full
-        up = (minus << 1 & full) | (full & ~(x | plus))
         down = plus & x
-        if score - left > most:  # each place left takes off one at most
-            return most + 1
-    return score
+        up = (minus << 1 & full) | (full ^ (x | plus))
+    return most - room
+
+
+def sizes_fit(a: np.ndarray, b: np.ndarray, least: float = MIN_SIMILARITY) -> np.ndarray:
+    """Whether texts of these lengths can be similar."""
+    return np.abs(a - b) <= (1 - least) * np.maximum(a, b) + 1e-9
+
+
+def _letters(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
+
+
+def far_apart(a: str, b: str, most: int) -> bool:
+    """The letters alone show that the distance is above ``most``: an edit adds one, takes one or both."""
+    d = _letters(a) - _letters(b)
+    more = int(d[d > 0].sum())
+    return max(more, more - int(d.sum())) > most
+
+
+def surely_within(a: str, b: str, most: int, window: int = 10) -> bool:
+    """Whether a plain alignment of words already costs at most ``most``: where words differ, it goes on
+    at the nearest place where two words in a row are equal, and counts the longer side in between. It
+    is an edit script, so True is certain; False says nothing."""
+    x, y = a.split(" "), b.split(" ")
+    n, m = len(x), len(y)
+    i = j = cost = 0
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _MEETINGS[window]:
+            u, v = i + p, j + q
+            if u < n and v < m and x[u] == y[v] and (x[u + 1 : u + 2] == y[v + 1 : v + 2]):
+                break
+        else:
+            break
+        cost += max(sum(map(len, x[i:u])) + p, sum(map(len, y[j:v])) + q)
+        if cost > most:
+            return False
+        i, j = u, v
+    return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
+
+
+_MEETINGS = {10: [(p, s - p) for s in range(1, 11) for p in sorted(range(s + 1), key=lambda p: abs(2 * p - s))]}
 
 
 def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
     """1 - distance / longer length is at least ``least``."""
     longer = max(len(a), len(b))
-    if abs(len(a) - len(b)) > (1 - least) * longer:
+    if abs(len(a) - len(b)) > (1 - least) * longer + 1e-9:
         return False
     most = int((1 - least) * longer + 1e-9)
-    return edit_distance(a, b, most) <= most
+    if surely_within(a, b, most):
+        return True
+    return not far_apart(a, b, most) and edit_distance(a, b, most) <= most
+
+
+def normalised(line: bytes) -> str:
+    """The words of a line with one space between them, in lower case, digits as 0."""
+    return b" ".join(line.translate(_DIGITS.tobytes()).split()).decode("utf-8", "replace")
 
 
 class Lines:
@@ -92,14 +143,18 @@ class Lines:
         """A line's SimHash over its words, each hashed apart."""
         return majority_bits(self._words.hashes, self._cut)[self.long].view(np.int64)
 
-    def normalised(self, line: int) -> str:
-        """The words of a line with one space between them, in lower case, digits as 0."""
-        a, b = self._cut[line], self._cut[line + 1]
+    def sizes(self) -> np.ndarray:
+        """Code points of each normalised line."""
+        begins = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
         w = self._words
-        return b" ".join(_DIGITS[self.data[x:y]].tobytes() for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist())).decode("utf-8", "replace")
+        upto = np.concatenate(([0], np.cumsum(begins[w.ends] - begins[w.starts] + 1)))
+        return (upto[self._cut[1:]] - upto[self._cut[:-1]] - 1)[self.long]
+
+    def normalised(self, line: int) -> str:
+        return normalised(self.data[self.bounds[line] : self.bounds[line + 1]].tobytes())
 
 
-_LINES = "doc_id long, th long, line int, key long, fp long"
+_LINES = "doc_id long, th long, line int, key long, fp long, size int"
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -111,8 +166,8 @@ def _hashed(docs: DataFrame) -> DataFrame:
                 lines = Lines(piece.column(2))
                 rows = lines.text[lines.long]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(rows)), piece.column(1).take(pa.array(rows)), pa.array(lines.number[lines.long], pa.int32()), pa.array(lines.key), pa.array(lines.simhashes())],
-                    names=["doc_id", "th", "line", "key", "fp"],
+                    [piece.column(0).take(pa.array(rows)), piece.column(1).take(pa.array(rows)), pa.array(lines.number[lines.long], pa.int32()), pa.array(lines.key), pa.array(lines.simhashes()), pa.array(lines.sizes(), pa.int32())],
+                    names=["doc_id", "th", "line", "key", "fp", "size"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, _LINES)
@@ -126,37 +181,37 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines that have such a partner within DISTANCE bits fetch their text, and edit similarity decides."""
     spark = docs.sparkSession
     lines, _ = materialize(_hashed(docs), "lines")
-    nodes, _ = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min(F.struct("doc_id", "th", "line")).alias("at")), "nodes")
-    n = nodes.count()
-    keys, masks = exact_keys(F.col("fp"), DISTANCE, n)
-    keyed = nodes.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id")).select("k.*", "fp", "id")
-    near = bucket_links(keyed, DISTANCE, masks=masks)
+    nodes, _ = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(F.struct("doc_id", "th", "line")).alias("at")), "nodes")
+    keys, masks = exact_keys(F.col("fp"), DISTANCE, nodes.count())
+    keyed = nodes.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id"), "size").select("k.*", "fp", "id", "size")
+    near = bucket_links(keyed, DISTANCE, masks=masks, fits=sizes_fit)
     paired = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = nodes.join(paired, "key").select("at.doc_id", "at.th", "at.line", "key", "fp")
+    wanted = nodes.join(paired, "key").select("at.doc_id", "at.th", "at.line", "key", "fp", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
-    keyed = texts.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id"), "text").select("k.*", "fp", "id", "text")
-    return lines, connected_components(bucket_links(keyed, DISTANCE, similar, masks=masks))
+    keyed = texts.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id"), "size", "text").select("k.*", "fp", "id", "size", "text")
+    return lines, connected_components(bucket_links(keyed, DISTANCE, similar, masks=masks, fits=sizes_fit))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, fp and the normalised text of the wanted lines."""
-    grouped = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "key", "fp")).alias("lines"))
-    marked = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), "text")
+    """key, fp, size and the normalised text of the wanted lines."""
+    grouped = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "key", "fp", "size")).alias("lines"))
+    marked = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     joined = marked.join(grouped, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("text", "lines")
 
     def run(batches):
         for whole in batches:
             for piece in sliced(whole, "text"):
-                lines = Lines(piece.column(0))
-                begin = np.searchsorted(lines.text, np.arange(piece.num_rows))
                 out = []
-                for row, own in enumerate(piece.column(1).to_pylist()):
-                    out += [(x["key"], x["fp"], lines.normalised(int(begin[row]) + x["line"])) for x in own]
+                for text, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
+                    if text is None:
+                        continue
+                    cut = text.split(b"\n")
+                    for x in own:
+                        out.append((x["key"], x["fp"], x["size"], normalised(cut[x["line"]])))
                 if out:
-                    key, fp, text = zip(*out)
-                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(fp, pa.int64()), pa.array(text, pa.string())], names=["key", "fp", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["key", "fp", "size", "text"])
 
-    return joined.mapInArrow(run, "key long, fp long, text string").dropDuplicates(["key"])
+    return joined.mapInArrow(run, "key long, fp long, size int, text string").dropDuplicates(["key"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
