@@ -28,6 +28,21 @@ def _mask_hash(hashes: np.ndarray, mask: str) -> np.ndarray:
         return mix(out + np.uint64(len(mask)))
 
 
+def best_run(same: np.ndarray) -> tuple[int, int, int]:
+    """(start, end, equal words) of the first run with the most equal words among all runs that have at
+    least MIN_SIMILARITY of them; it starts and ends with an equal word."""
+    worth = np.where(same, 1, -round(MIN_SIMILARITY / (1 - MIN_SIMILARITY)))
+    score = np.concatenate(([0], np.cumsum(worth)))  # a run is similar if its end has no lower score than its start
+    first = np.searchsorted(-np.minimum.accumulate(score), -score, "left")  # the earliest start for each end
+    count = np.concatenate(([0], np.cumsum(same)))
+    matched = count - count[first]
+    end = int(np.argmax(matched))
+    if not matched[end]:
+        return 0, 0, 0
+    start = int(first[end])
+    return start + int(np.argmax(same[start:end])), end, int(matched[end])
+
+
 class Index:
     """Seed hashes of one block of benchmark items.
 
@@ -100,15 +115,9 @@ class Index:
             own = self.entries[entry]
             a, b = max(diagonal, int(bounds[text])), min(diagonal + len(own), int(bounds[text + 1]))
             same = hashes[a:b] == own[a - diagonal : b - diagonal]
-            # the run of words with the most matches beyond four for each mismatch: at least 0.8 of it match
-            score = np.cumsum(np.where(same, 1.0, -MIN_SIMILARITY / (1 - MIN_SIMILARITY)))
-            before = np.concatenate(([0.0], score[:-1]))
-            floor = np.minimum.accumulate(before)
-            end = int(np.argmax(score - floor))
-            start = int(np.argmin(before[: end + 1]))
-            matched = int(same[start : end + 1].sum())
+            start, end, matched = best_run(same)
             if matched >= min(MIN_WORDS, np.ceil(MIN_SIMILARITY * len(own))) and matched > best.get(text, {}).get(entry, (0, 0, 0))[2]:
-                best.setdefault(text, {})[entry] = (a + start - int(bounds[text]), end + 1 - start, matched)
+                best.setdefault(text, {})[entry] = (a + start - int(bounds[text]), end - start, matched)
         for text in sorted(best):
             yield text, [(e, *x) for e, x in sorted(best[text].items())]
 

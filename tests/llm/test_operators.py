@@ -243,6 +243,20 @@ def test_decontamination(spark, hard):
     assert len(list(decontam.blocks(bench, 40))) > 1
 
 
+@given(st.lists(st.sampled_from([True, True, True, False]), max_size=40))
+def test_best_run(same):
+    runs = [sum(same[a:b]) for a in range(len(same)) for b in range(a + 1, len(same) + 1) if 5 * sum(same[a:b]) >= 4 * (b - a)]
+    start, end, matched = decontam.best_run(np.array(same, bool))
+    assert matched == max(runs, default=0) == sum(same[start:end]) and 5 * matched >= 4 * (end - start)
+
+
+def test_a_clean_stretch_hides_no_passage():
+    item = [f"w{i}" for i in range(18)]
+    index = decontam.Index([(7, " ".join(item))])
+    text = " ".join("x" if i in (11, 13) else w for i, w in enumerate(item))
+    assert list(index.overlaps(pa.array([f"head {text} tail"]))) == [(0, [(0, 1, 18, 16)])]
+
+
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_edit_distance(a, b):
     row = list(range(len(b) + 1))
