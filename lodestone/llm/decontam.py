@@ -10,11 +10,27 @@ from pyspark.sql import functions as F
 from .common import sliced, text_bytes
 from .textkernel import mix, words
 
-#: Token positions that a seed compares; the others may differ.
-MASKS = ("11111111", "1101100110101", "11101001010011")
+#: Token positions that a seed compares; the others may differ. Every run with MIN_WORDS equal words, at
+#: least MIN_SIMILARITY of it equal, holds one of these seeds, wherever the others are.
+MASKS = ("11111", "111011")
 MIN_WORDS = 13
 MIN_SIMILARITY = 0.8
 BLOCK_BYTES = 64 << 20
+#: Words compared at once.
+STEP = 1 << 20
+
+
+def needed(n: int) -> int:
+    """Equal words that an item of ``n`` words asks for."""
+    return min(MIN_WORDS, int(np.ceil(MIN_SIMILARITY * n)))
+
+
+def masks_of(n: int) -> tuple[str, ...]:
+    """The seeds of an item of ``n`` words. If it asks for less than MIN_WORDS, the longest stretch that
+    its equal words are sure to make: k others cut them into k + 1."""
+    if needed(n) == MIN_WORDS:
+        return MASKS
+    return ("1" * -(-needed(n) // (n - needed(n) + 1)),)
 
 
 def _mask_hash(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -46,8 +62,7 @@ def best_run(same: np.ndarray) -> tuple[int, int, int]:
 class Index:
     """Seed hashes of one block of benchmark items.
 
-    Items with the same words are one entry, named after their smallest id, with all ids kept. An item
-    with fewer words than a mask is long is indexed by its whole sequence."""
+    Items with the same words are one entry, named after their smallest id, with all ids kept."""
 
     def __init__(self, items: list[tuple[int, str]]):
         texts = pa.array([t for _, t in items], pa.string())
@@ -66,21 +81,24 @@ class Index:
                 self.entries.append(own)
                 self.ids.append([])
             self.ids[at].append(item)
-        lengths = {len(e) for e in self.entries}
-        self.masks = list(MASKS) + ["1" * n for n in sorted(lengths) if n < min(map(len, MASKS))]
+        self.lengths = np.array([len(e) for e in self.entries], np.int64)
+        self.firsts = np.cumsum(self.lengths) - self.lengths
+        self.words = np.concatenate([np.zeros(0, np.uint64), *self.entries])
+        self.needed = np.array([needed(n) for n in self.lengths.tolist()], np.int64)
+        members: dict[str, list[int]] = {}
+        for i, n in enumerate(self.lengths.tolist()):
+            for mask in masks_of(n):
+                members.setdefault(mask, []).append(i)
+        self.masks = sorted(members)
         self.tables = []
         for mask in self.masks:
-            exact = set(mask) == {"1"} and len(mask) < min(map(len, MASKS))
             keys, where, places = [], [], []
-            for i, own in enumerate(self.entries):
-                if len(own) < len(mask) or (exact and len(own) != len(mask)):
-                    continue
+            for i in members[mask]:
+                own = self.entries[i]
                 h = _mask_hash(own, mask)[: len(own) - len(mask) + 1]
                 keys.append(h)
                 where.append(np.full(len(h), i))
                 places.append(np.arange(len(h)))
-            if not keys:
-                continue
             k, w, p = map(np.concatenate, (keys, where, places))
             order = np.argsort(k, kind="stable")
             k, w, p = k[order], w[order], p[order]
@@ -88,6 +106,26 @@ class Index:
             bits[(k >> np.uint64(42)).astype(np.int64)] = True
             self.tables.append((mask, bits, k, w, p))
 
+    def _promising(self, runs: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """The diagonals that have as many equal words in all as their entry asks for."""
+        text, entry, diagonal = runs.T
+        begin = np.maximum(diagonal, bounds[text])
+        length = np.minimum(diagonal + self.lengths[entry], bounds[text + 1]) - begin
+        begin_own = begin - diagonal + self.firsts[entry]
+        upto = np.cumsum(length)
+        equal = np.zeros(len(runs), np.int64)
+        cut = 0
+        while cut < len(runs):
+            done = int(upto[cut - 1]) if cut else 0
+            end = max(int(np.searchsorted(upto, done + STEP, "right")), cut + 1)
+            own = length[cut:end]
+            offset = np.cumsum(own) - own
+            step = np.arange(own.sum()) - np.repeat(offset, own)
+            same = hashes[np.repeat(begin[cut:end], own) + step] == self.words[np.repeat(begin_own[cut:end], own) + step]
+            equal[cut:end] = np.add.reduceat(same, offset, dtype=np.int64)
+            cut = end
+        return runs[equal >= self.needed[entry]]
+
     def overlaps(self, column: pa.Array):
         """For each text that holds a passage: (row, [(entry, first word, words, matching words)])."""
         data, offsets = text_bytes(column)
@@ -109,14 +147,16 @@ class Index:
             starts.append(np.stack((segment[hit], which[row], hit - places[row]), axis=1))
         if not starts:
             return
-        runs = np.unique(np.concatenate(starts), axis=0)  # a text, an entry, a diagonal
+        runs = np.concatenate(starts)  # a text, an entry, a diagonal
+        runs = runs[np.lexsort(runs.T[::-1])]
+        runs = self._promising(runs[np.concatenate(([True], (runs[1:] != runs[:-1]).any(axis=1)))[: len(runs)]], hashes, bounds)
         best: dict[int, dict[int, tuple]] = {}
         for text, entry, diagonal in runs.tolist():
             own = self.entries[entry]
             a, b = max(diagonal, int(bounds[text])), min(diagonal + len(own), int(bounds[text + 1]))
             same = hashes[a:b] == own[a - diagonal : b - diagonal]
             start, end, matched = best_run(same)
-            if matched >= min(MIN_WORDS, np.ceil(MIN_SIMILARITY * len(own))) and matched > best.get(text, {}).get(entry, (0, 0, 0))[2]:
+            if matched >= needed(len(own)) and matched > best.get(text, {}).get(entry, (0, 0, 0))[2]:
                 best.setdefault(text, {})[entry] = (a + start - int(bounds[text]), end - start, matched)
         for text in sorted(best):
             yield text, [(e, *x) for e, x in sorted(best[text].items())]
@@ -160,8 +200,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A text is contaminated by an item if on one diagonal a run of words, at least 0.8 of them equal,
     has MIN_WORDS equal words, or 0.8 of the item's words if that is fewer. Words are compared without
-    ASCII case and punctuation. Hits come from seeds with masked positions, so substituted words are
-    bridged; inserted ones split an overlap in two. All rows are read against each block of items, with
+    ASCII case and punctuation. Hits come from seeds with masked positions, of which every such run
+    holds one; inserted words split an overlap in two. All rows are read against each block of items, with
     no shuffle. Null texts are empty, null doc_ids stay null."""
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))

@@ -257,6 +257,59 @@ def test_a_clean_stretch_hides_no_passage():
     assert list(index.overlaps(pa.array([f"head {text} tail"]))) == [(0, [(0, 1, 18, 16)])]
 
 
+def test_seeds_miss_no_run():
+    # items that ask for fewer equal words: all placements
+    for n in range(1, 16):
+        masks = [int(m, 2) for m in decontam.masks_of(n)]
+        for bits in range(1 << n):
+            if bits.bit_count() >= decontam.needed(n):
+                assert any(bits >> i & m == m for m in masks for i in range(n))
+    # the others, by the last five words: the best score (1 for an equal word, -4 for another) of a run without a seed
+    masks = [int(m, 2) for m in decontam.masks_of(16)]
+    assert all(decontam.masks_of(n) == decontam.MASKS for n in range(16, 200))
+    best = {(0, 0): 0}
+    for _ in range(200):
+        step = {}
+        for (last, count), score in best.items():
+            for same in (0, 1):
+                now = last << 1 | same
+                if not any(now & m == m for m in masks):
+                    key = now & 31, min(decontam.MIN_WORDS, count + same)
+                    step[key] = max(step.get(key, -1000), score + (1 if same else -4))
+        best = step
+        assert all(score < 0 for (_, count), score in best.items() if count == decontam.MIN_WORDS)
+
+
+def test_every_fifth_word_substituted():
+    rng = random.Random(8)
+    item = [f"w{i}" for i in range(100)]
+    for first in range(5):
+        text = " ".join("x" if i % 5 == first else w for i, w in enumerate(item))
+        assert list(decontam.Index([(7, " ".join(item))]).overlaps(pa.array([text])))
+    short = decontam.Index([(7, " ".join(item[:9]))])
+    assert list(short.overlaps(pa.array([" ".join([*item[:4], "x", *item[5:9]])]))) == [(0, [(0, 0, 9, 8)])]
+    # against all diagonals and runs
+    items = [(i, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 5, 7, 9, 12, 15, 17, 25])))) for i in range(30)]
+    texts = ["", *(" ".join(w if rng.random() < 0.85 else rng.choice("abxy") for w in (rng.choice("abz ") + " " + t).split()) for _, t in items)]
+    index = decontam.Index(items)
+    got = {(row, index.ids[e][0]): n for row, hits in index.overlaps(pa.array(texts)) for e, _, _, n in hits}
+    want = {}
+    named = {}
+    for i, t in items:
+        own = t.split()
+        i = named.setdefault(t, i)
+        for row, text in enumerate(texts):
+            w = text.split()
+            for d in range(-len(own), len(w)):
+                same = [own[p - d] == w[p] for p in range(max(d, 0), min(d + len(own), len(w)))]
+                for a in range(len(same)):
+                    for b in range(a + 1, len(same) + 1):
+                        n = sum(same[a:b])
+                        if 5 * n >= 4 * (b - a) and n >= min(13, -(-4 * len(own) // 5)):
+                            want[row, i] = max(n, want.get((row, i), 0))
+    assert got == want and len(want) > 20
+
+
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
 def test_edit_distance(a, b):
     row = list(range(len(b) + 1))
