@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Normalised licence sentences (a full stop in a version number is kept) by identifier.
 SENTENCES = {
     "apache_ref": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license"],
-    "apache_obtain": ["you may obtain a copy of the license at http www.apache.org licenses license-2.0"],
+    "apache_obtain": ["you may obtain a copy of the license at http www.apache.org licenses license-2.0", "you may obtain a copy of the license at"],
     "apache_comply": ["you may not use this file except in compliance with the license"],
     "apache_asis": [
         "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"
@@ -34,7 +34,8 @@ SENTENCES = {
         "licensed under the gnu general public license version 2",
     ],
     "gpl_free": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
     ],
     "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "cc_by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
@@ -61,8 +62,13 @@ RULES = [
     ("proprietary", "notice", ["reserved"]),
 ]
 
-#: A sentence ends at a line break, or at . ! ? ; : before white space, a quote or the end.
-BOUNDARY = "[\\n\\r]+|[.!?;:]+(?=[\"')\\]]*(?:\\s|$))"
+#: A piece ends at a line break, or at . ! ? ; : before white space, a quote or the end. A known sentence
+#: goes over ; and : and single line breaks if its words do, and ends at the others.
+BOUNDARY = "[\\n\\r]+|[.!?]+(?=[\"')\\]]*(?:\\s|$))"
+#: Characters that stand for ends of pieces within a sentence, and for wraps, which aren't counted.
+BREAK, WRAP = "\x01", "\x02"
+#: No known sentence has more words, so none has more lines.
+LINES = max(len(s.split()) for group in SENTENCES.values() for s in group)
 
 
 def normalised(sentence: Column) -> Column:
@@ -72,23 +78,54 @@ def normalised(sentence: Column) -> Column:
 
 
 def identified(text: Column, sentences: dict[str, list[str]] = SENTENCES) -> Column:
-    """Array of (pos: index of the sentence, id) of the known sentences of a text, in order.
+    """Array of (pos: index of the sentence's first piece, id) of the known sentences of a text, in order.
 
-    Sentences that hold none of the words that every known one has some of are dropped before they are
-    normalised."""
+    A known sentence is found where it is made of whole lines and pieces, however it is wrapped. Texts
+    and sentences that hold none of the words that every known one has some of are dropped before they
+    are normalised."""
     known = {s: k for k, group in sentences.items() for s in group}
-    marks = "(?i)licen[sc]|copyright|permission|warrant|redistribut|rights reserved|free software|mit license"
-    cut = F.split(F.coalesce(text, F.lit("")), BOUNDARY)
-    found = F.filter(F.transform(cut, lambda s, i: F.struct(i.alias("pos"), s.alias("s"))), lambda x: x.s.rlike(marks))
-    named = F.transform(found, lambda x: F.struct(x.pos.alias("pos"), normalised(x.s).alias("s")))
-    kept = F.filter(named, lambda x: x.s.isin(list(known)))
+    longest = F.array(*(F.lit(s) for s in sorted(known, key=len, reverse=True)))
     lookup = F.create_map(*(F.lit(v) for pair in known.items() for v in pair))
-    return F.transform(kept, lambda x: F.struct(x.pos.alias("pos"), F.element_at(lookup, x.s).alias("id")))
+    most = max([LINES, *(len(s.split()) for s in known)])
+    marks = "(?i)licen[sc]|copyright|permission|warrant|redistribut|reserved|software"
+    none = F.array().cast("array<struct<pos:int,id:string>>")
+
+    def let(value: Column, use) -> Column:
+        return F.transform(F.array(value), use)[0]
+
+    def at_line(lines: Column, j: Column) -> Column:
+        """The longest known sentence that begins with the j-th line."""
+        rest = F.array_join(F.transform(F.slice(lines, j + 1, most), lambda x: x.s), "\n")
+        fits = lambda r: F.filter(longest, lambda w: F.startswith(F.translate(r, "\n", " "), w) & F.substring(r, F.length(w) + 1, F.lit(1)).isin("", "\n"))
+        return let(rest, lambda r: let(F.get(fits(r), 0), lambda w: F.struct(w.alias("s"), F.size(F.split(F.substring(r, F.lit(1), F.length(w)), "\n")).alias("n"))))
+
+    def breaks(x: Column) -> Column:
+        return F.length(x) - F.length(F.translate(x, BREAK, ""))
+
+    def of_group(groups: Column, g: Column) -> Column:
+        """The known sentences between two ends of sentences."""
+        raw = F.split(g.s, f"(?=[{BREAK}{WRAP}])")
+        lines = F.filter(F.transform(raw, lambda x, k: F.struct(k.alias("k"), normalised(x).alias("s"))), lambda x: x.s != "")
+        tried = lambda own: F.transform(own, lambda x, j: F.when(F.exists(longest, lambda w: F.startswith(w, x.s)), F.struct(x.k.alias("k"), j.alias("j"), at_line(own, j).alias("hit"))))
+        hits = let(lines, lambda own: F.filter(tried(own), lambda h: h.hit.s.isNotNull()))
+        apart = let(hits, lambda all_: F.filter(all_, lambda h: ~F.exists(all_, lambda o: (o.j < h.j) & (h.j < o.j + o.hit.n))))
+        before = g.at + breaks(F.array_join(F.slice(groups, 1, g.at), ""))
+        return F.transform(apart, lambda h: F.struct((before + breaks(F.array_join(F.slice(raw, 1, h.k + 1), ""))).cast("int").alias("pos"), F.element_at(lookup, h.hit.s).alias("id")))
+
+    def of_text(groups: Column) -> Column:
+        marked = F.filter(F.transform(groups, lambda s, i: F.struct(i.alias("at"), s.alias("s"))), lambda x: x.s.rlike(marks))
+        return F.flatten(F.transform(marked, lambda g: of_group(groups, g)))
+
+    return F.when(text.rlike(marks), let(F.split(unwrapped(text), BOUNDARY), of_text)).otherwise(none)
 
 
 def unwrapped(text: Column) -> Column:
-    """Single line breaks after a comma, or before a small letter or a digit, are wraps: they become spaces."""
-    return F.regexp_replace(text, "(?:(?<=,)[ \\t]*\\r?\\n[ \\t]*(?=[\\p{L}\\p{N}])|(?<=[\\p{L}\\p{N}])[ \\t]*\\r?\\n[ \\t]*(?=[\\p{Ll}\\p{N}]))", " ")
+    """Single line breaks become WRAP after a comma, or before a small letter or a digit, and BREAK
+    elsewhere, like ; and : at the end of a piece. The next line may start with a comment's signs."""
+    text = F.translate(text, BREAK + WRAP, "  ")
+    text = F.regexp_replace(text, "(?:(?<=,)[ \\t]*\\r?\\n[ \\t]*(?=[\\p{L}\\p{N}])|(?<=[\\p{L}\\p{N}])[ \\t]*\\r?\\n[ \\t]*(?=[\\p{Ll}\\p{N}]))", f" {WRAP}")
+    text = F.regexp_replace(text, "(?<=\\S)[ \\t]*\\r?\\n(?=[^\\p{L}\\p{N}\\n\\r]*[\\p{L}\\p{N}])", f" {BREAK}")
+    return F.regexp_replace(text, "[;:]+(?=[\"')\\]]*(?:\\s|$))", f" {BREAK}")
 
 
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
@@ -97,7 +134,7 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, list[str]] =
     order, other sentences between them or not; a rule contained in a longer match of the same licence
     at the same place is not reported. Runs row by row, without a shuffle."""
     others = [c for c in docs.columns if c not in (text, "__ids", "licenses")]
-    found = docs.select(*(F.col(f"`{c}`") for c in others), identified(unwrapped(F.col(text)), sentences).alias("__ids"))
+    found = docs.select(*(F.col(f"`{c}`") for c in others), identified(F.col(text), sentences).alias("__ids"))
 
     def match(ids: list[str]) -> Column:
         """Greedy walk over the sequence: array of (first, last) of each full match."""

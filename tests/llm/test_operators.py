@@ -402,6 +402,80 @@ def test_licenses(spark, hard):
     assert found == {1: [("MIT", "text")], 2: [("Apache-2.0", "header")], 3: [], 4: []}
 
 
+MIT = """MIT License
+
+Copyright (c) 2024 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+
+
+def test_unaltered_license_texts(spark):
+    texts = {("MIT", "text"): MIT, ("GPL", "header"): GPL, ("Apache-2.0", "header"): APACHE, ("MPL-2.0", "notice"): MPL, ("BSD-2-Clause", "text"): BSD}
+    rows, want = [], []
+    for rule, text in texts.items():
+        forms = [text, "\n\n".join(" ".join(x.split()) for x in text.split("\n\n")), text.replace("\n", "\r\n"), "int x = 1\n" + text + "int y"]
+        forms += ["".join(f"{sign} {line}".rstrip() + "\n" for line in text.splitlines()) for sign in ("#", "//", " *", "--", ";;")]
+        rows += [(len(want) + i, f) for i, f in enumerate(forms)]
+        want += [rule] * len(forms)
+    rows += [(1000, "Copyright Some One\nAll rights reserved\nThis project is\nlicensed under the MIT License\nthe end"), (1001, GPL.replace("version 3", "version 2").replace("software:", "software;"))]
+    got = {r["doc_id"]: [(x["license"], x["rule"]) for x in r["licenses"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got.pop(1000) == [("MIT", "notice"), ("proprietary", "notice")] and got.pop(1001) == [("GPL", "header")]
+    assert got == {i: [rule] for i, rule in enumerate(want)}
+
+
 def test_one_of_each_keeps_the_smallest(spark, hard):
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     kept = simhash.one_of_each(docs)
