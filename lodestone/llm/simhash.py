@@ -1,4 +1,4 @@
-"""SimHash near-duplicates by one-wildcard (deletion) variants of fingerprint segments."""
+"""SimHash near-duplicates by one-wildcard (deletion) variants of fingerprint segments; near copies by MinHash and exact Jaccard similarity."""
 
 from __future__ import annotations
 
@@ -6,11 +6,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import materialize
 from .components import connected_components
 from .hamming import bucket_links, deletion_keys
-from .textkernel import majority_bits
+from .textkernel import majority_bits, mix
+
+MIN_JACCARD = 0.8
+#: MinHash bands and rows of each: of pairs at MIN_JACCARD 1 in 20,000 shares no band, of more alike ones fewer.
+BANDS, ROWS = 25, 5
+_SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -78,17 +84,103 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, k: int = 5, distance: int = 3) -> DataFrame:
+def _shingle_sets(hashes: pa.Array):
+    """(distinct shingles of all rows, first place of each row's and the end); no row is empty."""
+    values = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    bounds = hashes.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
+    bounds -= bounds[0]
+    sets = [np.unique(values[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return np.concatenate(sets), np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+
+
+def _node(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each set."""
+    with np.errstate(over="ignore"):
+        return mix(np.add.reduceat(mix(values), bounds[:-1]) + np.diff(bounds).astype(np.uint64))
+
+
+def _bands(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The MinHash bands of each set: a row of BANDS keys."""
+    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for i, (xor, odd) in enumerate(zip(*_SEEDS)):
+            least = np.minimum.reduceat((values ^ xor) * (odd | np.uint64(1)), bounds[:-1])
+            out[:, i // ROWS] = mix(out[:, i // ROWS] ^ least + np.uint64(i))
+    return out
+
+
+def jaccard_alike(a: bytes, b: bytes, least: float = MIN_JACCARD) -> bool:
+    """Whether two sets of distinct 64-bit numbers have at least that Jaccard similarity."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both >= least * (len(x) + len(y) - both) - 1e-9
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b) >= MIN_JACCARD * np.maximum(a, b) - 1e-9
+
+
+def _worded() -> Column:
+    return F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+
+
+def _sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, __th, node and the bands of each row that has a word; equal shingle sets are one node."""
+    source = docs.where(_worded()).select("doc_id", "__th", shingle_hashes(F.col("text"), k).alias("__h"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values, bounds = _shingle_sets(batch.column(2))
+                keys = pa.array(_bands(values, bounds).view(np.int64).reshape(-1))
+                ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_node(values, bounds).view(np.int64)), pa.ListArray.from_arrays(ends, keys)], names=["doc_id", "__th", "node", "bands"])
+
+    return source.mapInArrow(run, source.select("doc_id", "__th").schema.add("node", "long").add("bands", ArrayType(LongType())))
+
+
+def _sets(docs: DataFrame, k: int) -> DataFrame:
+    """id (a node), size and text: the bytes of its distinct shingles."""
+    source = docs.select(shingle_hashes(F.col("text"), k).alias("__h"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                values, bounds = _shingle_sets(batch.column(0))
+                raw = pa.array([values[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(_node(values, bounds).view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), raw], names=["id", "size", "text"])
+
+    return source.mapInArrow(run, "id long, size int, text binary").dropDuplicates(["id"])
+
+
+def near_copies(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """docs: doc_id, text, __th. (rows, groups): the rows that have a word with their node, a shingle
+    set, and node, component for the nodes that are linked to another one.
+
+    Sets meet by shared MinHash bands; only those that meet another fetch their shingles, and Jaccard
+    similarity of at least MIN_JACCARD decides."""
+    rows, _ = materialize(_sketches(docs, k), "sketches")
+    nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "__th")).alias("at"))
+    keyed, _ = materialize(nodes.select(F.posexplode("bands").alias("band", "b"), "node", "at").select(F.xxhash64("band", "b").alias("key"), F.col("node").alias("id"), "at"), "bands")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    met, _ = materialize(keyed.join(shared, "key"), "met")
+    wanted = met.select("at.doc_id", "at.__th").distinct().select(F.col("doc_id").alias("__d"), F.col("__th").alias("__t"))
+    sets, _ = materialize(_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))), k), "sets")
+    verified = met.select("key", "id").join(sets, "id").withColumn("fp", F.lit(0).cast("long"))
+    links = bucket_links(verified, 64, jaccard_alike, fits=_sizes_fit)
+    return rows.select("doc_id", "__th", "node"), connected_components(links)
+
+
+def one_of_each(docs: DataFrame, k: int = 5) -> DataFrame:
     """docs without near copies: the row with the smallest (doc_id, text hash) of each group stays.
 
-    Shingles of five words; fingerprints within ``distance`` bits. Documents without a word are no
-    copies of each other here and all stay."""
+    Sets of shingles of five words, linked from a Jaccard similarity of MIN_JACCARD on. Documents
+    without a word are no copies of each other here and all stay."""
     mark = docs.select("*", F.xxhash64("text").alias("__th"))
-    fps, _ = materialize(fingerprints(mark.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")), k, ("doc_id", "__th")), "fps")
-    grouped = fingerprint_components(fps, distance)
-    labelled = fps.join(grouped, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    rows, grouped = near_copies(mark.select("doc_id", "text", "__th"), k)
+    labelled = rows.join(grouped, "node", "left").withColumn("component", F.coalesce("component", "node"))
     best, _ = materialize(labelled.groupBy("component").agg(F.min(F.struct("doc_id", "__th")).alias("r")).select("r.*").distinct(), "kept")
     best = best.select(F.col("doc_id").alias("__d"), F.col("__th").alias("__h"))
     kept = mark.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__h")))
-    wordless = mark.where(~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    wordless = mark.where(~_worded())
     return kept.dropDuplicates(["doc_id", "__th"]).select(docs.columns).union(wordless.select(docs.columns))

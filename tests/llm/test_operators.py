@@ -484,6 +484,28 @@ def test_one_of_each_keeps_the_smallest(spark, hard):
     assert 8 in ids and not {9, 12, 1000} & set(ids) and ids.count(None) == 1
 
 
+def shingle_set(text, k=5):
+    words = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def test_one_of_each_against_all_pairs(spark):
+    rng = random.Random(6)
+    texts = ["", None]
+    for _ in range(40):
+        base = [rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(rng.choice([6, 40, 100, 300]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            changed = set(rng.sample(range(len(base)), rng.choice([1, 1, 2, len(base) // 40 + 1, len(base) // 10 + 1])))
+            texts.append(" ".join("new" + str(rng.randrange(99)) if i in changed else w for i, w in enumerate(base)))
+    sets = [shingle_set(t) for t in texts]
+    label = groups(len(texts), lambda i, j: bool(sets[i] and sets[j]) and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    want = {min(i for i, y in enumerate(label) if y == x) for x in set(label)}
+    assert got == want and 40 < len(want) < len(texts) - 30
+
+
 def test_pipeline(spark, hard):
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     at = docs
