@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a
 DataFrame; run() writes it as Parquet in the shared folder and reads it again for the next one. All
 but the last return the columns of documents. SQL can't express the stages (iterated components,
-edit distance, a tokenizer), so there is no ORACLE_SQL; tests/llm compares them with brute force."""
+edit distance, a tokenizer), so there is no ORACLE_SQL; tests/llm compares the documents that are
+left with a plain-Python pipeline over a small table."""
 
 from __future__ import annotations
 

@@ -515,3 +515,55 @@ def test_pipeline(spark, hard):
     left = {r["doc_id"] for r in at.collect()}
     assert {6, 7, 8} <= left and not {0, 1, 2, 3, 4, 17, 1000} & left
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, hard).collect()} == left
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The stages in plain Python by their criteria alone: every pair of lines, documents, runs."""
+    rng = random.Random(9)
+    prose = lambda n: ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n)]
+    short = lambda w: "\n".join(" ".join(w[i : i + 4]) for i in range(0, len(w), 4))  # no line takes part in line dedup
+    base, passage = prose(120), BENCH[0][1].split()
+    near, item = [*base], [*passage]
+    near[30] = near[90] = "zzz"
+    item[11] = item[15] = item[17] = "other"
+    extra = [(2000, short(base)), (2001, short(near)), (2002, " ".join(prose(40) + item + prose(40)))]
+    write(str(tmp_path), corpus() + extra)
+    hard = str(tmp_path)
+    rows = [(i, t or "") for i, t in corpus() + extra]
+
+    def good(t):
+        w = t.split()
+        three = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
+        many = collections.Counter(three)
+        return len(w) >= 50 and 2 * len({k + j for k, x in enumerate(three) if many[x] > 1 for j in range(3)}) <= len(w)
+
+    rows = sorted(((i, t) for i, t in rows if good(t)), key=lambda r: (r[0] is not None, r[0]))
+    norm = lambda x: " ".join(re.sub("[0-9]", "0", re.sub("[^a-z0-9\x80-\U0010ffff]", " ", x.lower())).split())
+    seen, left = [], []
+    for i, t in rows:
+        own = [(x, norm(x)) for x in t.split("\n")]
+        if any(i == j and t == u for j, u, _ in left):
+            continue  # equal rows lose the same lines
+        stay = [x for x, n in own if len(n.split()) < 5 or not any(lines.edit_distance(n, o) <= 0.2 * max(len(n), len(o)) for o in seen)]
+        seen += [n for _, n in own if len(n.split()) >= 5]
+        if "".join(stay).split():
+            left.append((i, t, "\n".join(stay)))
+    rows = [(i, t) for i, _, t in left]
+    sets = [shingle_set(t) for _, t in rows]
+    label = groups(len(rows), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
+    rows = [r for k, r in enumerate(rows) if label.index(label[k]) == k]
+
+    def holds(t):
+        w = norm(t).split()
+        for own in (b[1].split() for b in BENCH if b[1]):
+            for d in range(-len(own), len(w)):
+                same = [own[p - d] == w[p] for p in range(max(d, 0), min(d + len(own), len(w)))]
+                if sum(same) >= min(13, -(-4 * len(own) // 5)) and any(
+                    5 * sum(same[a:b]) >= 4 * (b - a) and sum(same[a:b]) >= min(13, -(-4 * len(own) // 5)) for a in range(len(same)) for b in range(a, len(same) + 1)
+                ):
+                    return True
+        return False
+
+    want = {i for i, t in rows if not holds(t)}
+    assert 2000 in want and not {2001, 2002} & want
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, hard).collect()} == want
