@@ -42,6 +42,19 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        found = f"__{name}"
+        while found.lower() in taken:
+            found += "_"
+        taken.add(found.lower())
+        out.append(found)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -25,15 +25,14 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def exact_keys(fp: Column, distance: int, rows: int) -> tuple[Column, list[int]]:
-    """An array of (key, tab) and each tab's mask. Of the keys two fingerprints within ``distance`` share at least one: with b blocks, any
+def exact_masks(distance: int, rows: int) -> list[int]:
+    """Masks of which two fingerprints within ``distance`` agree on at least one: with b blocks, any
     b - distance of them that are equal. b grows with the rows, so that a key has more bits than there
     are rows to fill them; every choice is complete, only the cost differs."""
     blocks = distance + 1
     while 64 * (blocks - distance) / blocks < np.log2(max(rows, 2)) - 9:
         blocks += 1
-    masks = block_masks(blocks, blocks - distance)
-    return F.array(*(F.struct(F.xxhash64(F.lit(i), fp.bitwiseAND(F.lit(signed(m)))).alias("key"), F.lit(i).alias("tab")) for i, m in enumerate(masks))), masks
+    return block_masks(blocks, blocks - distance)
 
 
 def deletion_keys(fp: Column, distance: int, rows: int) -> Column:
@@ -193,8 +192,8 @@ def bucket_links(
     masks[tab], and a pair is looked at in the first table that it shares alone.
 
     Buckets are read one after another from sorted partitions. One of more than ``chunk`` members is
-    cut into chunks, which a second step compares pair by pair in tasks of their own: no bucket meets
-    in one task, and none is capped."""
+    cut into chunks, which a second step compares pair by pair: chunks are joined by bucket and number,
+    so the pairs of a bucket are spread over all tasks, and none is capped."""
     spark = keyed.sparkSession
     n = partitions(spark)
     columns = ["key", "fp", "id", "tab"] + ["size"] * (fits is not None) + ["text"] * (similar is not None)
@@ -295,8 +294,10 @@ def bucket_links(
     chunks = found.where("hot is not null").select("hot", "chunk", "members")
     if chunks.isEmpty():
         return links.distinct()
+    last = chunks.groupBy("hot").agg(F.max("chunk").alias("last"))
+    pairs = last.select("hot", "last", F.explode(F.sequence(F.lit(0), "last")).alias("chunk")).select("hot", "chunk", F.explode(F.sequence("chunk", "last")).alias("chunk2"))
     other = chunks.select("hot", F.col("chunk").alias("chunk2"), F.col("members").alias("members2"))
-    both = chunks.join(other, "hot").where("chunk <= chunk2")
+    both = pairs.join(chunks, ["hot", "chunk"]).join(other, ["hot", "chunk2"])
 
     def across(batches):
         for batch in batches:

@@ -1,23 +1,33 @@
-"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept."""
+"""Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, one line kept.
+
+Two lines are alike from an edit similarity of MIN_SIMILARITY on. Blocks of their 64-bit SimHashes bring
+those within DISTANCE bits together; but a word in ten that differs turns about nine bits, more than
+any join on blocks of 64 bits can span. So the pigeonhole principle is also used on the lines themselves:
+a few edits leave one of a line's blocks of words, or two of its quarters, as they were."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import materialize, partitions, sliced, text_bytes
+from . import blobs
+from .common import materialize, partitions, sliced, text_bytes, unused
 from .components import connected_components
-from .hamming import bucket_links, exact_keys
-from .textkernel import FOLD, majority_bits, sequence_hash, words
+from .hamming import bucket_links, exact_masks, many_buckets
+from .textkernel import FOLD, majority_bits, mix, range_hash, range_sums, sequence_hash, words
 
-MIN_WORDS = 5
 MIN_SIMILARITY = 0.8
 DISTANCE = 4
-
-_DIGITS = FOLD.copy()
-_DIGITS[48:58] = 48  # all digits alike
+#: A line of fewer words is taken character by character: headings, menus, scripts without spaces.
+WORDY = 4
+#: Lines of so many words, or characters, have plain blocks; shorter ones pairs of quarters, and halves.
+LONG, LONG_SPELT = 16, 32
+#: An exchange target whose entries take more bytes goes on row by row.
+HOT_BYTES = 64 << 20
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -119,42 +129,131 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
 
 
 def normalised(line: bytes) -> str:
-    """The words of a line with one space between them, in lower case, digits as 0."""
-    return b" ".join(line.translate(_DIGITS.tobytes()).split()).decode("utf-8", "replace")
+    """The words of a line with one space between them, in lower case."""
+    return b" ".join(line.translate(FOLD.tobytes()).split()).decode("utf-8", "replace")
 
 
 class Lines:
-    """Lines of some texts: cut at line feeds. Those of MIN_WORDS or more words take part."""
+    """Lines of some texts, cut at line feeds; those with a word take part (``own``)."""
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = text_bytes(column)
         breaks = np.flatnonzero(self.data == 10) + 1
         self.bounds = np.unique(np.concatenate((self.offsets, breaks)))  # also where empty texts meet
         self.text = np.searchsorted(self.offsets, self.bounds[:-1], "right") - 1
-        found = words(self.data, self.bounds, _DIGITS)
-        cut = np.searchsorted(found.segment, np.arange(len(self.bounds)))
-        first = np.searchsorted(self.text, self.text)
-        self.number = np.arange(len(self.text)) - first  #: of each line in its text
-        self.long = np.flatnonzero(np.diff(cut) >= MIN_WORDS)
-        self.key = sequence_hash(found.hashes, cut)[self.long].view(np.int64) if len(found.hashes) else np.zeros(0, np.int64)
-        self._words, self._cut = found, cut
-
-    def simhashes(self) -> np.ndarray:
-        """A line's SimHash over its words, each hashed apart."""
-        return majority_bits(self._words.hashes, self._cut)[self.long].view(np.int64)
+        self._words = words(self.data, self.bounds)
+        cut = np.searchsorted(self._words.segment, np.arange(len(self.bounds)))
+        self.number = np.arange(len(self.text)) - np.searchsorted(self.text, self.text)  #: of each line in its text
+        self.own = np.flatnonzero(np.diff(cut))
+        self._from, self._to = cut[self.own], cut[self.own + 1]
+        self.key = sequence_hash(self._words.hashes, cut)[self.own].view(np.int64) if len(self.own) else np.zeros(0, np.int64)
 
     def sizes(self) -> np.ndarray:
         """Code points of each normalised line."""
         begins = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
         w = self._words
         upto = np.concatenate(([0], np.cumsum(begins[w.ends] - begins[w.starts] + 1)))
-        return (upto[self._cut[1:]] - upto[self._cut[:-1]] - 1)[self.long]
-
-    def normalised(self, line: int) -> str:
-        return normalised(self.data[self.bounds[line] : self.bounds[line + 1]].tobytes())
+        return upto[self._to] - upto[self._from] - 1
 
-
-_LINES = "doc_id long, th long, line int, key long, fp long, size int"
+    def units(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hashes, bounds, spelt) of the units of some own lines: words, or the characters of lines of few
+        words, which are spelt."""
+        w = self._words
+        first, last = self._from[some], self._to[some]
+        few = last - first < WORDY
+        count = np.where(few, 0, last - first)
+        at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        line = np.repeat(np.arange(len(some)), count)
+        hashes = w.hashes[at]
+        if few.any():
+            inside = np.zeros(len(self.data) + 1, np.int32)
+            owner = np.repeat(np.flatnonzero(few), (last - first)[few])
+            small = np.concatenate([np.arange(a, b) for a, b in zip(first[few].tolist(), last[few].tolist())])
+            inside[w.starts[small]] += 1
+            inside[w.ends[small]] -= 1
+            place = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & ((self.data & 0xC0) != 0x80))
+            padded = np.concatenate((FOLD[self.data], np.zeros(4, np.uint8)))
+            code = padded[place].astype(np.uint64)
+            going = np.ones(len(place), bool)
+            for i in range(1, 4):
+                going &= (padded[place + i] & 0xC0) == 0x80
+                code |= np.where(going, padded[place + i], 0).astype(np.uint64) << np.uint64(8 * i)
+            word = np.searchsorted(w.starts[small], place, "right") - 1
+            line = np.concatenate((line, owner[word]))
+            hashes = np.concatenate((hashes, mix(code + np.uint64(1))))
+            order = np.argsort(line, kind="stable")
+            line, hashes = line[order], hashes[order]
+        return hashes, np.searchsorted(line, np.arange(len(some) + 1)), few
+
+
+def simhashes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SimHashes over pairs of neighbouring units, so that frequent words alone make no lines alike; a
+    line's last unit stands alone."""
+    if not len(hashes):
+        return np.zeros(len(bounds) - 1, np.uint64)
+    after = np.append(hashes[1:], np.uint64(0))
+    ends = bounds[1:][bounds[1:] > bounds[:-1]] - 1
+    after[ends] = 0
+    with np.errstate(over="ignore"):
+        return majority_bits(mix(hashes * np.uint64(3) + after), bounds)
+
+
+def _level(n: np.ndarray) -> np.ndarray:
+    """The power of two of which 4 to 7 go into n."""
+    return 1 << np.maximum(np.floor(np.log2(np.maximum(n, 4))).astype(np.int64) - 2, 0)
+
+
+def block_keys(hashes: np.ndarray, bounds: np.ndarray, spelt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key): blocks of each line's n units, of which lines that are alike share one if
+    - n is below LONG, both have n units, and these differ in at most two quarters (two make a key);
+    - n is below LONG, and they differ in one stretch, which may have more units in one of them (first
+      and last halves, of all lengths that a partner's half may have);
+    - n is larger, and the edits leave one of 4 to 7 blocks, counted from the start or from the end.
+    Lines of fewer than four units are alike only if they are equal."""
+    n = np.diff(bounds)
+    sums = range_sums(hashes)
+    lines, keys = [], []
+    long_from = np.where(spelt, LONG_SPELT, LONG)
+
+    def add(which, value, tag):
+        with np.errstate(over="ignore"):
+            lines.append(which)
+            keys.append(mix(value + np.asarray(tag).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    short = np.flatnonzero((n >= 4) & (n < long_from))
+    if len(short):
+        cuts = [bounds[short] + n[short] * i // 4 for i in range(5)]
+        quarter = [range_hash(sums, cuts[i], cuts[i + 1]) for i in range(4)]
+        for i in range(4):
+            for j in range(i + 1, 4):
+                with np.errstate(over="ignore"):
+                    add(short, mix(quarter[i]) * np.uint64(3) + quarter[j], 1000 * n[short] + 4 * i + j)
+    halved = np.flatnonzero((n >= 4) & (n * MIN_SIMILARITY < long_from))
+    least = np.minimum(np.ceil(n[halved] * MIN_SIMILARITY / 2).astype(np.int64), np.maximum((n[halved] - 1) // 2, 2))
+    count = n[halved] // 2 - least + 1
+    line = np.repeat(halved, count)
+    half = np.repeat(least - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    add(line, range_hash(sums, bounds[line], bounds[line] + half), 100_000 + half)
+    add(line, range_hash(sums, bounds[line + 1] - half, bounds[line + 1]), 200_000 + half)
+    long = np.flatnonzero(n >= long_from)
+    own, below = _level(n[long]), _level(np.ceil(MIN_SIMILARITY * n[long]).astype(np.int64))
+    for which, width in ((long, own), (long[below != own], below[below != own])):
+        count = n[which] // width
+        line = np.repeat(which, count)
+        w = np.repeat(width, count)
+        i = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        add(line, range_hash(sums, bounds[line] + i * w, bounds[line] + (i + 1) * w), 300_000 + 64 * w + 2 * i)
+        add(line, range_hash(sums, bounds[line + 1] - (i + 1) * w, bounds[line + 1] - i * w), 300_000 + 64 * w + 2 * i + 1)
+    if not lines:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(lines), np.concatenate(keys)
+
+
+_LINES = "doc_id long, th long, line int, key long, size int"
+
+
+def _source(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -164,37 +263,179 @@ def _hashed(docs: DataFrame) -> DataFrame:
         for whole in batches:
             for piece in sliced(whole, "text"):
                 lines = Lines(piece.column(2))
-                rows = lines.text[lines.long]
+                rows = pa.array(lines.text[lines.own])
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(pa.array(rows)), piece.column(1).take(pa.array(rows)), pa.array(lines.number[lines.long], pa.int32()), pa.array(lines.key), pa.array(lines.simhashes()), pa.array(lines.sizes(), pa.int32())],
-                    names=["doc_id", "th", "line", "key", "fp", "size"],
+                    [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(lines.number[lines.own], pa.int32()), pa.array(lines.key), pa.array(lines.sizes(), pa.int32())],
+                    names=["doc_id", "th", "line", "key", "size"],
                 )
+        blobs.give_back()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").mapInArrow(run, _LINES)
+    return _source(docs).mapInArrow(run, _LINES)
 
 
-def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, groups): every line's (doc_id, th, line, key), th a hash of its text; and key, component
-    for the keys that are linked to another one.
+_STEPS = 3000  # sizes travel as logarithms in 16 bits
+
+
+def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(a.astype(np.int64) - b.astype(np.int64)) <= -np.log(MIN_SIMILARITY) * _STEPS + 2
+
+
+def candidates(docs: DataFrame, rows: int) -> DataFrame:
+    """(grp, id): sets of different normalised lines that share a block of words, or are linked by
+    SimHashes within DISTANCE bits in a shared block of bits; a line's id is the hash of its normal form.
 
-    Normalised lines are told apart by a 64-bit hash and meet by shared blocks of their SimHashes. Only
-    lines that have such a partner within DISTANCE bits fetch their text, and edit similarity decides."""
+    Entries travel as arrays to many more targets than there are tasks, and a task holds one target
+    at a time. Sets with the same members have one number, so lines that share many blocks meet once
+    in what follows. A target of more than HOT_BYTES (a block that very many different lines share)
+    isn't held: its entries are given on as they are, a set for each block."""
     spark = docs.sparkSession
+    n = partitions(spark)
+    targets = 32 * n
+    masks = exact_masks(DISTANCE, rows)
+    table = np.array(masks, np.uint64)
+    names = ["t", "key", "id", "size", "fp"]
+
+    def entries(batches):
+        seen: set[int] = set()
+
+        def pieces():
+            for whole in batches:
+                for piece in sliced(whole, "text"):
+                    lines = Lines(piece.column(2))
+                    _, first = np.unique(lines.key, return_index=True)
+                    first = first[[k not in seen for k in lines.key[first].tolist()]] if len(first) else first
+                    if len(seen) > 500_000:
+                        seen.clear()
+                    seen.update(lines.key[first].tolist())
+                    if not len(first):
+                        continue
+                    hashes, bounds, spelt = lines.units(first)
+                    ids = lines.key[first].view(np.uint64)
+                    size = np.minimum(np.log(lines.sizes()[first]) * _STEPS, 65535).astype("<u2")
+                    line, key = block_keys(hashes, bounds, spelt)
+                    part = (key % np.uint64(targets)).astype(np.int64) * 2
+                    yield part, [(key >> np.uint64(32)).astype("<u4"), ids[line], size[line], np.zeros((len(line), 0), "<u8")]
+                    fps = simhashes(hashes, bounds)
+                    for tab, mask in enumerate(table):
+                        key = mix((fps & mask) + np.uint64(tab))
+                        part = (key % np.uint64(targets)).astype(np.int64) * 2 + 1
+                        yield part, [np.full(len(fps), tab, "<u4"), ids, size, fps]
+
+        yield from _two_kinds(pieces(), names)
+        blobs.give_back()
+
+    kinds = ["<u4", "<u8", "<u2", "<u8"]
+
+    def sets_of(target: int, parts: list) -> tuple[np.ndarray, np.ndarray]:
+        key, ids, size, fps = blobs.read(parts, kinds)
+        if target % 2:
+            by = np.lexsort((ids, key))
+            by = by[np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (ids[by][1:] != ids[by][:-1])))]
+            key, ids, size, fps = key[by], ids[by], size[by], fps[by]
+            links = many_buckets(mix((fps & table[key]) + key.astype(np.uint64)).view(np.int64), fps, key, masks, DISTANCE, None, _fit, size)
+            return _linked(links, ids)
+        by = np.lexsort((ids, key))
+        key, ids, size = key[by], ids[by], size[by]
+        once = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
+        key, ids, size = key[once], ids[once], size[once]
+        edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        # a member stays if the next smaller or larger one of its block fits
+        by = np.lexsort((size, group))
+        g, s = group[by], size[by]
+        fit = (g[1:] == g[:-1]) & _fit(s[1:], s[:-1])
+        stay = np.zeros(len(by), bool)
+        stay[1:] |= fit
+        stay[:-1] |= fit
+        own = np.sort(by[stay])
+        return _numbered(group[own], ids[own])
+
+    def gather(batches):
+        for target, parts, whole in blobs.runs(batches, HOT_BYTES):
+            if not whole:
+                for part in parts:
+                    key, ids, size, fps = blobs.read([part], kinds)
+                    key = mix((fps & table[key]) + key.astype(np.uint64)) if target % 2 else mix(key.astype(np.uint64) + (np.uint64(target) << np.uint64(32)))
+                    yield _pairs(key, ids)
+                continue
+            grp, ids = sets_of(target, parts)
+            if len(ids):
+                yield _pairs(grp, ids)
+        blobs.give_back()
+
+    sent = _source(docs).mapInArrow(entries, "t int, key binary, id binary, size binary, fp binary")
+    return sent.repartition(n, "t").sortWithinPartitions("t").mapInArrow(gather, "grp long, id long").distinct()
+
+
+def _two_kinds(pieces, names):
+    """flushing, with entries of both kinds held apart: arrays of one kind have no fingerprints."""
+    held: list[list] = [[], []]
+    size = 0
+    for target, arrays in pieces:
+        held[int(arrays[3].ndim == 1)].append((target, arrays))
+        size += sum(a.nbytes for a in arrays)
+        if size >= 16 << 20:
+            for one in held:
+                yield from blobs.flushing(one, names, 1 << 62)
+            held, size = [[], []], 0
+    for one in held:
+        yield from blobs.flushing(one, names, 1 << 62)
+
+
+def _pairs(grp: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(ids.view(np.int64))], names=["grp", "id"])
+
+
+def _numbered(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, id) of the groups' members, a group's number being a hash of its members; once each."""
+    if not len(ids):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    with np.errstate(over="ignore"):
+        number = mix(np.add.reduceat(mix(ids), edges))
+    number = np.repeat(number, np.diff(np.append(edges, len(ids))))
+    by = np.lexsort((ids, number))
+    number, ids = number[by], ids[by]
+    once = np.concatenate(([True], (number[1:] != number[:-1]) | (ids[1:] != ids[:-1])))
+    return number[once], ids[once]
+
+
+def _linked(links: list[tuple[int, int]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The connected sets of some links between rows."""
+    if not links:
+        return _numbered(np.zeros(0, np.int64), np.zeros(0, np.uint64))
+    root: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while root.setdefault(i, i) != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in links:
+        root[find(i)] = find(j)
+    member = np.array(sorted(root, key=lambda i: (find(i), ids[i])), np.int64)
+    return _numbered(np.array([find(i) for i in member.tolist()]), ids[member])
+
+
+def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, groups): every line's (doc_id, th, line, key, size), th a hash of its text; and key,
+    component for the keys that are linked to another one.
+
+    Normalised lines are told apart by a 64-bit hash. Lines that have a candidate partner fetch their
+    text, once each, and edit similarity decides."""
     lines, _ = materialize(_hashed(docs), "lines")
-    nodes, _ = materialize(lines.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min(F.struct("doc_id", "th", "line")).alias("at")), "nodes")
-    keys, masks = exact_keys(F.col("fp"), DISTANCE, nodes.count())
-    keyed = nodes.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id"), "size").select("k.*", "fp", "id", "size")
-    near = bucket_links(keyed, DISTANCE, masks=masks, fits=sizes_fit)
-    paired = near.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = nodes.join(paired, "key").select("at.doc_id", "at.th", "at.line", "key", "fp", "size")
+    met, _ = materialize(candidates(docs, lines.count()), "met")
+    nodes = lines.join(met.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
+    wanted = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size")).select("at.doc_id", "at.th", "at.line", "key", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
-    keyed = texts.select(F.explode(keys).alias("k"), "fp", F.col("key").alias("id"), "size", "text").select("k.*", "fp", "id", "size", "text")
-    return lines, connected_components(bucket_links(keyed, DISTANCE, similar, masks=masks, fits=sizes_fit))
+    keyed = met.join(texts, met.id == texts.key).select(F.col("grp").alias("key"), F.lit(0).cast("long").alias("fp"), "id", "size", "text")
+    return lines, connected_components(bucket_links(keyed, 64, similar, fits=sizes_fit))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, fp, size and the normalised text of the wanted lines."""
-    grouped = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "key", "fp", "size")).alias("lines"))
+    """key, size and the normalised text of the wanted lines."""
+    grouped = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "key", "size")).alias("lines"))
     marked = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     joined = marked.join(grouped, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("text", "lines")
 
@@ -203,42 +444,63 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for piece in sliced(whole, "text"):
                 out = []
                 for text, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    if text is None:
-                        continue
                     cut = text.split(b"\n")
                     for x in own:
-                        out.append((x["key"], x["fp"], x["size"], normalised(cut[x["line"]])))
+                        out.append((x["key"], x["size"], normalised(cut[x["line"]])))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.string()))], names=["key", "fp", "size", "text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string()))], names=["key", "size", "text"])
+        blobs.give_back()
 
-    return joined.mapInArrow(run, "key long, fp long, size int, text string").dropDuplicates(["key"])
+    return joined.mapInArrow(run, "key long, size int, text string").dropDuplicates(["key"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the text's repeated lines taken out, and n_lines, n_dropped.
 
-    Of each connected group of lines (equal or similar) the first by (doc_id, text hash, line) stays,
-    in every text; shorter lines stay as they are. Rows equal in doc_id and text lose the same lines, so
-    exact repeats of a whole row both keep what the first one keeps. Null texts stay null."""
+    Of each connected group of lines (equal in their words, or alike) the first by (doc_id, text hash,
+    line) stays, whatever their length; of rows equal in doc_id and text one keeps it. Lines without a
+    letter or digit stay. Null texts stay null and have no lines, an empty text has one; an empty table
+    gives no rows. Columns named n_lines or n_dropped are replaced, all others pass through."""
     lines, groups = line_groups(docs)
-    labelled = lines.join(groups.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    labelled, _ = materialize(labelled.select("doc_id", "th", "line", "component"), "labelled")
-    first = labelled.groupBy("component").agg(F.min(F.struct("doc_id", "th", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    gone = labelled.join(first, "component").where(~F.struct("doc_id", "th", "line").eqNullSafe(F.col("first")))
-    drops = gone.groupBy("doc_id", "th").agg(F.collect_set("line").alias("__drops"))
-    drops = drops.select(F.col("doc_id").alias("__d"), F.col("th").alias("__t"), "__drops")
+    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at")).join(groups.withColumnRenamed("node", "key"), "key", "left")
+    first = nodes.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("at").alias("at")).select("at.*")
+    kept = first.groupBy(F.col("doc_id").alias("kd"), F.col("th").alias("kt")).agg(F.collect_set("line").alias("kept"))
+    all_ = lines.groupBy("doc_id", "th").agg(F.collect_set("line").alias("all"), F.count("*").alias("n"))
+    both = all_.join(kept, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt")), "left")
+    left = F.coalesce("kept", F.array().cast("array<int>"))
+    drops = both.select("doc_id", "th", "all", F.array_except("all", left).alias("gone"), (F.col("n") > F.size("all")).alias("again")).where("size(gone) > 0 or again")
+    drops, _ = materialize(drops, "drops")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    marked = docs.select(*(F.col(f"`{c}`") for c in others), F.xxhash64("text").alias("__h"))
-    joined = marked.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__h") == F.col("__t")), "left")
-    cut = F.split("text", "\n")
-    kept = F.when(F.col("__drops").isNull(), F.col("text")).otherwise(
-        F.array_join(F.transform(F.filter(F.transform(cut, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("__drops", s.i)), lambda s: s.x), "\n")
-    )
-    return joined.select(
-        *(kept.alias("text") if c == "text" else F.col(f"`{c}`") for c in others),
-        F.coalesce(F.size(cut), F.lit(0)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__drops"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    d, t, h, gone, every, again, copy = unused(others, "d", "t", "h", "gone", "all", "again", "copy")
+    drops = drops.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("gone").alias(gone), F.col("all").alias(every), F.col("again").alias(again))
+    marked = docs.select(*(F.col(f"`{c}`") for c in others), F.xxhash64("text").alias(h))
+    joined = marked.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    if not drops.where(F.col(again)).isEmpty():  # rows repeated as a whole: the first one has the lines
+        order = Window.partitionBy("doc_id", h).orderBy(F.lit(0))
+        joined = joined.withColumn(copy, F.when(F.col(again), F.row_number().over(order)).otherwise(1))
+        joined = joined.withColumn(gone, F.when(F.col(copy) > 1, F.col(every)).otherwise(F.col(gone)))
+    source = joined.select(*(F.col(f"`{c}`") for c in others), F.col(gone))
+    schema = source.drop(gone).schema.add("n_lines", "long", False).add("n_dropped", "long", False)
+    place = others.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for piece in sliced(whole, "text", 4 << 20):
+                texts, gone = piece.column(place), piece.column(len(others))
+                n_lines = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int64())
+                n_dropped = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int64())
+                changed = np.flatnonzero(n_dropped.to_numpy(zero_copy_only=False))
+                if len(changed):
+                    out = texts.to_pylist()
+                    for i, own in zip(changed.tolist(), gone.take(pa.array(changed)).to_pylist()):
+                        own = set(own)
+                        out[i] = "\n".join([x for j, x in enumerate(out[i].split("\n")) if j not in own])
+                    texts = pa.array(out, texts.type)
+                columns = [texts if i == place else c for i, c in enumerate(piece.columns[:-1])]
+                yield pa.RecordBatch.from_arrays([*columns, n_lines, n_dropped], names=[*others, "n_lines", "n_dropped"])
+        blobs.give_back()
+
+    return source.mapInArrow(run, schema)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -250,6 +512,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents: their lines, the lines dropped, and a digest of what stays."""
+    """All documents: their lines, the lines dropped, and a digest of what stays. Null text: no line, and
+    the digest of nothing; an empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

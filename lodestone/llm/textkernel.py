@@ -76,13 +76,23 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> Wo
     return Words(hashes, starts, ends, np.searchsorted(offsets, starts, "right") - 1)
 
 
+def range_sums(hashes: np.ndarray) -> np.ndarray:
+    """Sums from which range_hash takes the hash of any run."""
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum((hashes | np.uint64(1)) * _table(_BASE, len(hashes)), out=sums[1:])
+    return sums
+
+
+def range_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each run of hashes from begin to end (exclusive), wherever it stands."""
+    with np.errstate(over="ignore"):
+        return mix((sums[end] - sums[begin]) * _table(_INVERSE, len(sums))[begin])
+
+
 def sequence_hash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each run hashes[bounds[i]:bounds[i + 1]], in order."""
-    n = len(hashes)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((hashes | np.uint64(1)) * _table(_BASE, n), out=sums[1:])
-        return mix((sums[bounds[1:]] - sums[bounds[:-1]]) * _table(_INVERSE, n + 1)[bounds[:-1]])
+    return range_hash(range_sums(hashes), bounds[:-1], bounds[1:])
 
 
 def majority_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:

@@ -214,11 +214,10 @@ def test_hot_buckets_lose_no_link(spark, chunk, rows):
     center = rng.getrandbits(64)
     fps = list({center ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3))) for _ in range(60)} | {rng.getrandbits(64) for _ in range(40)})
     df = spark.createDataFrame([(hamming.signed(f),) for f in fps], "fp long")
-    for distance, keys, masks in ((4, hamming.deletion_keys(F.col("fp"), 4, rows), None), (3, *hamming.exact_keys(F.col("fp"), 3, rows))):
-        k = F.explode(keys).alias("k")
-        keyed = df.select(k, "fp", F.col("fp").alias("id"))
-        keyed = keyed.select("k.*", "fp", "id") if masks else keyed.withColumnRenamed("k", "key")
-        found = connected_components(hamming.bucket_links(keyed, distance, chunk=chunk, masks=masks))
+    distance = 4
+    for chunk in (chunk, 3 * chunk):
+        keyed = df.select(F.explode(hamming.deletion_keys(F.col("fp"), distance, rows)).alias("key"), "fp", F.col("fp").alias("id"))
+        found = connected_components(hamming.bucket_links(keyed, distance, chunk=chunk))
         got = {r["node"]: r["component"] for r in found.collect()}
         label = groups(len(fps), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= distance)
         want = {}
@@ -321,22 +320,108 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b, 3) == row[-1] if row[-1] <= 3 else lines.edit_distance(a, b, 3) > 3
 
 
+def normal(line):
+    return lines.normalised(line.encode())
+
+
+def kept_lines(rows, alike):
+    """The rows' texts by brute force: of each connected group of lines the first by (doc_id, text hash, line) stays."""
+    found = []
+    for i, (doc, t) in enumerate(rows):
+        for j, x in enumerate((t or "").split("\n")):
+            if normal(x):
+                found.append(((-1 if doc is None else doc, i), j, normal(x)))
+    found.sort(key=lambda x: x[:2])
+    label = groups(len(found), lambda i, j: alike(found[i][2], found[j][2]))
+    gone = {(x[0][1], x[1]) for k, x in enumerate(found) if label.index(label[k]) != k}
+    return ["\n".join(x for j, x in enumerate(t.split("\n")) if (i, j) not in gone) if t is not None else None for i, (_, t) in enumerate(rows)]
+
+
 def test_line_dedup(spark, hard):
-    rows = [(i, t) for i, t in corpus()]
+    rows = corpus()
     docs = spark.read.parquet(f"{hard}/documents.parquet")
     got = {(r["doc_id"], r["text"]) for r in lines.dedup_lines(docs.where("doc_id in (18)")).collect()}
     text = dict(rows)[18].split("\n")
-    assert got == {(18, "\n".join([text[0], text[1], "short one", "short one"]))}
-    whole = run(spark, "op6", hard)
-    assert len(whole) == len(rows)
-    assert sum(r["n_dropped"] for r in whole if r["doc_id"] == 1000) == 1  # a copy of the line in 8
-    # against all pairs: exact lines, or near SimHashes and edit similarity
-    taken = lines.Lines(pa.array([t for _, t in rows], pa.string()))
-    fps, texts, where = taken.simhashes().view(np.uint64), [taken.normalised(int(x)) for x in taken.long], taken.text[taken.long]
-    label = groups(len(texts), lambda i, j: texts[i] == texts[j] or (int(fps[i] ^ fps[j]).bit_count() <= lines.DISTANCE and lines.similar(texts[i], texts[j])))
-    repeats = len(label) - len(set(label))
-    dup_rows = sum(1 for x in where if rows[x][0] == 9)  # the row that is there twice keeps or loses its line in both
-    assert abs(sum(r["n_dropped"] for r in whole) - repeats) <= dup_rows
+    assert got == {(18, "\n".join([text[0], text[1], "short one"]))}
+    whole = lines.dedup_lines(docs)
+    assert whole.columns == [*docs.columns, "n_lines", "n_dropped"]
+    want = kept_lines(rows, lambda a, b: a == b or lines.similar(a, b))
+    assert counted((r["doc_id"], r["text"]) for r in whole.collect()) == counted((i, t) for (i, _), t in zip(rows, want))
+    assert len(run(spark, "op6", hard)) == len(rows)
+
+
+def test_line_dedup_by_columns_of_its_own_names(spark):
+    df = spark.createDataFrame([(1, "x y z\nx y z", "a", "b"), (1, "x y z\nx y z", "c", "d")], "doc_id int, text string, __h string, __gone string")
+    got = [tuple(r) for r in lines.dedup_lines(df).collect()]
+    assert sorted(r[1] for r in got) == ["", "x y z"] and {r[2:4] for r in got} == {("a", "b"), ("c", "d")} and {r[4] for r in got} == {2}
+
+
+def edited(rng, word, line, kind, count):
+    own = line.split(" ")
+    for _ in range(count):
+        at = rng.randrange(len(own))
+        if kind == "word":
+            own[at] = word()
+        elif kind == "letter":
+            k = rng.randrange(len(own[at]))
+            own[at] = own[at][:k] + "w" + own[at][k + 1 :]
+        elif kind == "insert":
+            own.insert(at, word())
+        elif len(own) > 1:
+            del own[at]
+    return " ".join(own)
+
+
+@pytest.mark.parametrize("size", [6, 8, 10, 15, 20, 30, 40, 80])
+@pytest.mark.parametrize(("kind", "count"), [("word", 1), ("word", 2), ("letter", 1), ("letter", 2), ("insert", 1), ("delete", 1)])
+def test_like_lines_meet(size, kind, count):
+    """Of pairs with an edit similarity of 0.8 or more, whatever their SimHashes, at least 0.9 meet."""
+    rng = random.Random(size * 10 + count)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(1, 9)))
+    met = tried = 0
+    for _ in range(150):
+        one = " ".join(word() for _ in range(size))
+        two = edited(rng, word, one, kind, count)
+        if one != two and lines.similar(one, two):
+            tried += 1
+            taken = lines.Lines(pa.array([one, two]))
+            which, keys = lines.block_keys(*taken.units(np.arange(2)))
+            met += bool(set(keys[which == 0].tolist()) & set(keys[which == 1].tolist()))
+    assert tried and met >= 0.9 * tried
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """Edits of all sorts, at random, up to the limit: links found against edit distance over all pairs."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8)))
+    texts = []
+    for i in range(160):
+        n = rng.choice([2, 3, 5, 8, 12, 20, 35, 60])
+        line = " ".join(word() for _ in range(n))
+        texts.append(line)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            for _ in range(rng.randint(1, max(1, n // 10))):
+                line = edited(rng, word, line, rng.choice(["word", "letter", "insert", "delete"]), 1)
+            texts.append(line)
+    texts += ["日本語の長い行はここにあります。同じ行です", "日本語の長い行はここにあります。同じ行だす", "a1", "a2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _, found = lines.line_groups(docs)
+    component = {r["node"]: r["component"] for r in found.collect()}
+    key = lines.Lines(pa.array(texts)).key.tolist()
+    label = [component.get(k, k) for k in key]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if texts[i] != texts[j] and lines.similar(texts[i], texts[j])]
+    assert len(pairs) > 120 and sum(label[i] == label[j] for i, j in pairs) >= 0.9 * len(pairs)
+    joined = groups(len(texts), lambda i, j: key[i] == key[j] or lines.similar(texts[i], texts[j]))
+    assert all(joined[i] == joined[j] for i in range(len(texts)) for j in range(i) if label[i] == label[j])
+
+
+@pytest.mark.parametrize("hot", [64 << 20, 1])
+def test_large_targets_lose_no_line(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT_BYTES", hot)
+    texts = [f"the same ten words begin every one of these lines and then {x} {x} ends it" for x in ("here", "there", "nowhere", "hare")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = kept_lines(list(enumerate(texts)), lambda a, b: a == b or lines.similar(a, b))
+    assert [r["text"] for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == want
 
 
 def test_quality(spark, hard):
@@ -521,12 +606,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     """The stages in plain Python by their criteria alone: every pair of lines, documents, runs."""
     rng = random.Random(9)
     prose = lambda n: ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n)]
-    short = lambda w: "\n".join(" ".join(w[i : i + 4]) for i in range(0, len(w), 4))  # no line takes part in line dedup
+    cut = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
     base, passage = prose(120), BENCH[0][1].split()
     near, item = [*base], [*passage]
     near[30] = near[90] = "zzz"
     item[11] = item[15] = item[17] = "other"
-    extra = [(2000, short(base)), (2001, short(near)), (2002, " ".join(prose(40) + item + prose(40)))]
+    extra = [(2000, cut(base, 4)), (2001, cut(near, 7)), (2002, " ".join(prose(40) + item + prose(40)))]
     write(str(tmp_path), corpus() + extra)
     hard = str(tmp_path)
     rows = [(i, t or "") for i, t in corpus() + extra]
@@ -538,17 +623,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         return len(w) >= 50 and 2 * len({k + j for k, x in enumerate(three) if many[x] > 1 for j in range(3)}) <= len(w)
 
     rows = sorted(((i, t) for i, t in rows if good(t)), key=lambda r: (r[0] is not None, r[0]))
-    norm = lambda x: " ".join(re.sub("[0-9]", "0", re.sub("[^a-z0-9\x80-\U0010ffff]", " ", x.lower())).split())
-    seen, left = [], []
-    for i, t in rows:
-        own = [(x, norm(x)) for x in t.split("\n")]
-        if any(i == j and t == u for j, u, _ in left):
-            continue  # equal rows lose the same lines
-        stay = [x for x, n in own if len(n.split()) < 5 or not any(lines.edit_distance(n, o) <= 0.2 * max(len(n), len(o)) for o in seen)]
-        seen += [n for _, n in own if len(n.split()) >= 5]
-        if "".join(stay).split():
-            left.append((i, t, "\n".join(stay)))
-    rows = [(i, t) for i, _, t in left]
+    norm = lambda x: " ".join(re.sub("[^a-z0-9\x80-\U0010ffff]", " ", x.lower()).split())
+    texts = kept_lines(rows, lambda a, b: lines.edit_distance(a, b) <= 0.2 * max(len(a), len(b)))
+    rows = [(i, t) for (i, _), t in zip(rows, texts) if t.split()]
     sets = [shingle_set(t) for _, t in rows]
     label = groups(len(rows), lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))
     rows = [r for k, r in enumerate(rows) if label.index(label[k]) == k]
