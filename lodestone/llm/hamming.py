@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blobs import give_back
 from .common import materialize, partitions
 from .textkernel import mix
 
@@ -62,7 +63,8 @@ def deletion_keys(fp: Column, distance: int, rows: int) -> Column:
 _LINKS = "a long, b long, hot long, chunk int, members binary"
 
 
-Fits = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Of some rows (columns by name) and two arrays of their indexes: which pairs may be linked.
+Fits = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
 
 def forest(
@@ -125,7 +127,7 @@ SHIFTS = 24
 
 
 def many_buckets(
-    keys: np.ndarray, fps: np.ndarray, tabs: np.ndarray, masks: list[int], distance: int, verify: Callable[[int, int], bool] | None, fits: Fits | None, sizes: np.ndarray | None
+    keys: np.ndarray, fps: np.ndarray, tabs: np.ndarray, masks: list[int], distance: int, fits: Callable[[np.ndarray, np.ndarray], np.ndarray], sizes: np.ndarray
 ) -> list[tuple[int, int]]:
     """As forest, for many whole buckets at once, without a loop over buckets.
 
@@ -164,77 +166,96 @@ def many_buckets(
             ok = np.bitwise_count(x) <= distance
             at, x = at[ok], x[ok]
             i, j = row[at], row[at + shift]
-            ok = np.ones(len(at), bool) if fits is None else fits(sizes[i], sizes[j])
+            ok = fits(sizes[i], sizes[j])
             for e in range(s):
                 ok &= (x & table[tabs[i], e]) != 0
             for t, m in enumerate(masks[:-1]):
                 ok &= (x & np.uint64(m) != 0) | (tabs[i] <= t)
             for one, two in zip(i[ok].tolist(), j[ok].tolist()):
-                if root(one) != root(two) and (verify is None or verify(one, two)):
+                if root(one) != root(two):
                     join(one, two)
         for a, b in zip(edges[long].tolist(), edges[long + 1].tolist()):
             own = row[a:b]
             tab = int(tabs[own[0]])
-            check = None if verify is None else lambda i, j: verify(int(own[i]), int(own[j]))
-            fit = None if fits is None else lambda i, near: fits(sizes[own[i]], sizes[own[near]])
+            fit = lambda i, near: fits(sizes[own[i]], sizes[own[near]])
             label = np.array([root(i) for i in own.tolist()])
-            for i, j in forest(fp[a:b], distance, check, 0, [*masks[:tab], *parts[tab][:s]], fit, label):
+            for i, j in forest(fp[a:b], distance, None, 0, [*masks[:tab], *parts[tab][:s]], fit, label):
                 join(int(own[i]), int(own[j]))
     return out
 
 
+def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool] | None, fits: Fits | None) -> list[tuple[int, int]]:
+    """As forest, for many whole buckets at once: pairs come from shifts of the rows, sorted by key,
+    against themselves. Buckets of more than SHIFTS rows are compared row by row."""
+    keys, fps = part["key"], part["fp"]
+    joined = list(range(len(keys)))
+    out: list[tuple[int, int]] = []
+
+    def root(i: int) -> int:
+        while joined[i] != i:
+            joined[i] = joined[joined[i]]
+            i = joined[i]
+        return i
+
+    edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
+    length = np.diff(edges)
+    short = np.repeat(length <= SHIFTS, length)
+    for shift in range(1, min(SHIFTS, int(length.max(initial=1)))):
+        at = np.flatnonzero((keys[shift:] == keys[:-shift]) & short[shift:])
+        for a in range(0, len(at), 1 << 14):
+            i = at[a : a + (1 << 14)]
+            i = i[np.bitwise_count(fps[i] ^ fps[i + shift]) <= distance]
+            if fits is not None:
+                i = i[fits(part, i, i + shift)]
+            for one in i.tolist():
+                if root(one) != root(one + shift) and (verify is None or verify(one, one + shift)):
+                    out.append((one, one + shift))
+                    joined[root(one + shift)] = root(one)
+    for e in np.flatnonzero(length > SHIFTS).tolist():
+        a, b = int(edges[e]), int(edges[e + 1])
+        check = None if verify is None else lambda i, j: verify(a + i, a + j)
+        fit = None if fits is None else lambda i, near: fits(part, np.full(len(near), a + i), a + near)
+        out += [(a + i, a + j) for i, j in forest(fps[a:b], distance, check, 0, (), fit)]
+    return out
+
+
 def bucket_links(
-    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 4096, masks: list[int] | None = None, fits: Fits | None = None
+    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 32768, fits: Fits | None = None, sketch: Callable[[np.ndarray], np.ndarray] | None = None
 ) -> DataFrame:
     """keyed: key (bigint), fp (bigint), id (bigint), text if ``similar`` is given, and size if ``fits``
-    is: a vectorised test that two sizes may belong to like rows. Returns a, b: ids whose links span
-    those of every bucket of equal keys. With ``masks``, keyed also has tab: a key is of fp's bits under
-    masks[tab], and a pair is looked at in the first table that it shares alone.
+    is. Returns a, b: ids whose links span those of every bucket of equal keys. fits: a vectorised test
+    that pairs may be alike, before ``similar`` decides; it also sees a column sketch, made of the texts.
 
     Buckets are read one after another from sorted partitions. One of more than ``chunk`` members is
     cut into chunks, which a second step compares pair by pair: chunks are joined by bucket and number,
     so the pairs of a bucket are spread over all tasks, and none is capped."""
     spark = keyed.sparkSession
     n = partitions(spark)
-    columns = ["key", "fp", "id", "tab"] + ["size"] * (fits is not None) + ["text"] * (similar is not None)
-    if masks is None:
-        keyed = keyed.withColumn("tab", F.lit(0))
+    columns = ["key", "fp", "id"] + ["size"] * (fits is not None) + ["text"] * (similar is not None)
 
     def links_of(part: dict, since=0):
         """Of one bucket, or of two chunks of one."""
-        fps, ids, texts, sizes = part["fp"], part["id"], part.get("text"), part.get("size")
+        fps, ids, texts = part["fp"], part["id"], part.get("text")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
-        fit = None if fits is None else lambda i, near: fits(sizes[i], sizes[near])
-        earlier = (masks or [])[: int(part["tab"][0])]
-        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, earlier, fit)]
+        fit = None if fits is None else lambda i, near: fits(part, np.full(len(near), i), near)
+        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, (), fit)]
 
     def links_of_all(part: dict):
         """Of many whole buckets."""
-        keys, fps, ids, texts = part["key"], part["fp"], part["id"], part.get("text")
+        ids, texts = part["id"], part.get("text")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
-        if masks is not None:
-            found = many_buckets(keys, fps, part["tab"], masks, distance, check, fits, part.get("size"))
-            return [(int(ids[i]), int(ids[j])) for i, j in found]
-        edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
-        length = np.diff(edges)
-        two = edges[:-1][length == 2]  # most buckets
-        two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= distance]
-        if similar is not None:
-            two = np.array([i for i in two.tolist() if check(i, i + 1)], np.int64)
-        links = list(zip(ids[two].tolist(), ids[two + 1].tolist()))
-        for e in np.flatnonzero(length > 2).tolist():
-            links += links_of(cut(part, int(edges[e]), int(edges[e + 1])))
-        return links
+        return [(int(ids[i]), int(ids[j])) for i, j in small_buckets(part, distance, check, fits)]
 
     def cut(part: dict, a: int, b: int | None = None) -> dict:
         return {k: v[a:b] for k, v in part.items()}
 
     def columns_of(batch) -> dict:
         part = {c: batch.column(i).to_numpy(zero_copy_only=False) for i, c in enumerate(batch.schema.names)}
-        return part | {"fp": part["fp"].view(np.uint64)}
+        made = {"fp": part["fp"].view(np.uint64)} | ({} if sketch is None else {"sketch": sketch(part["text"])})
+        return part | made
 
     def dump(part: dict) -> bytes:
-        t = pa.table({k: pa.array(v.view(np.int64)) if k == "fp" else pa.array(v) for k, v in part.items()})
+        t = pa.table({k: pa.array(v.view(np.int64)) if k == "fp" else pa.array(v) for k, v in part.items() if k != "sketch"})
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.schema) as w:
             w.write_table(t)
@@ -286,6 +307,7 @@ def bucket_links(
                 yield emit([], [(int(held["key"][0]), at, dump(held))])
             elif len(held["key"]) > 1:
                 yield emit(links_of(held))
+        give_back()
 
     found, _ = materialize(
         keyed.select(*columns).repartition(n, "key").sortWithinPartitions("key", "id").mapInArrow(run, _LINKS), "links"

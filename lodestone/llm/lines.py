@@ -22,12 +22,16 @@ from .textkernel import FOLD, majority_bits, mix, range_hash, range_sums, sequen
 
 MIN_SIMILARITY = 0.8
 DISTANCE = 4
+#: Lines of so many characters are alike only if their SimHashes differ in at most so many bits: with one
+#: word in five replaced they differ in 18 on average, without words in common in 32.
+LENGTHY, NEAR = 200, 24
 #: A line of fewer words is taken character by character: headings, menus, scripts without spaces.
 WORDY = 4
 #: Lines of so many words, or characters, have plain blocks; shorter ones pairs of quarters, and halves.
 LONG, LONG_SPELT = 16, 32
 #: An exchange target whose entries take more bytes goes on row by row.
 HOT_BYTES = 64 << 20
+ENTRY_BYTES = 320  #: of a line's entries, about
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -74,20 +78,44 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     return most - room
 
 
-def sizes_fit(a: np.ndarray, b: np.ndarray, least: float = MIN_SIMILARITY) -> np.ndarray:
-    """Whether texts of these lengths can be similar."""
-    return np.abs(a - b) <= (1 - least) * np.maximum(a, b) + 1e-9
-
-
-def _letters(text: str) -> np.ndarray:
-    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) & 63, minlength=64)
-
-
-def far_apart(a: str, b: str, most: int) -> bool:
-    """The letters alone show that the distance is above ``most``: an edit adds one, takes one or both."""
-    d = _letters(a) - _letters(b)
-    more = int(d[d > 0].sum())
-    return max(more, more - int(d.sum())) > most
+LETTERS, PAIRS = 64, 192
+
+
+def sketches(texts: np.ndarray) -> np.ndarray:
+    """Counts of each text's characters and of its pairs of characters, in LETTERS and PAIRS bins."""
+    out = np.zeros((len(texts), LETTERS + PAIRS), np.uint16)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    part = np.cumsum(lengths) >> 20
+    for p in np.unique(part).tolist():
+        a, b = np.searchsorted(part, p), np.searchsorted(part, p, "right")
+        code = np.frombuffer("".join(texts[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        row = np.repeat(np.arange(b - a), lengths[a:b])
+        bins = row * (LETTERS + PAIRS)
+        count = np.bincount(bins + (code & (LETTERS - 1)), minlength=(b - a) * (LETTERS + PAIRS))
+        two = (code[:-1] * np.uint32(131) + code[1:]) % np.uint32(PAIRS)
+        inside = row[:-1] == row[1:]
+        count += np.bincount(bins[:-1][inside] + LETTERS + two[inside], minlength=len(count))
+        out[a:b] = np.minimum(count, 65535).reshape(b - a, -1)
+    return out
+
+
+def may_be_similar(part: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether lengths and sketches leave it open that texts are similar: an edit adds a character, takes
+    one or both, and so adds and takes at most two pairs. Texts of LENGTHY characters or more also need
+    SimHashes within NEAR bits."""
+    a, b = part["size"][i].astype(np.int64), part["size"][j].astype(np.int64)
+    longer = np.maximum(a, b)
+    most = ((1 - MIN_SIMILARITY) * longer + 1e-9).astype(np.int64)
+    found = (np.abs(a - b) <= most) & ((longer < LENGTHY) | (np.bitwise_count(part["fp"][i] ^ part["fp"][j]) <= NEAR))
+    at = np.flatnonzero(found)
+    for s in range(0, len(at), 4096):
+        own = at[s : s + 4096]
+        d = part["sketch"][i[own]].astype(np.int32) - part["sketch"][j[own]]
+        full = longer[own] < 65535  # counts that fit 16 bits
+        for bins, each in ((d[:, :LETTERS], 1), (d[:, LETTERS:], 2)):
+            more = np.maximum(bins, 0).sum(axis=1)
+            found[own] &= (np.maximum(more, more - bins.sum(axis=1)) <= each * most[own]) | ~full
+    return found
 
 
 def surely_within(a: str, b: str, most: int, window: int = 10) -> bool:
@@ -123,9 +151,7 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
     if abs(len(a) - len(b)) > (1 - least) * longer + 1e-9:
         return False
     most = int((1 - least) * longer + 1e-9)
-    if surely_within(a, b, most):
-        return True
-    return not far_apart(a, b, most) and edit_distance(a, b, most) <= most
+    return surely_within(a, b, most) or edit_distance(a, b, most) <= most
 
 
 def normalised(line: bytes) -> str:
@@ -284,13 +310,13 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
     """(grp, id): sets of different normalised lines that share a block of words, or are linked by
     SimHashes within DISTANCE bits in a shared block of bits; a line's id is the hash of its normal form.
 
-    Entries travel as arrays to many more targets than there are tasks, and a task holds one target
-    at a time. Sets with the same members have one number, so lines that share many blocks meet once
+    Entries travel as arrays to as many targets as there are tasks, or more, so that each has some 16 MB,
+    and a task holds one target at a time. Sets with the same members have one number, so lines that share many blocks meet once
     in what follows. A target of more than HOT_BYTES (a block that very many different lines share)
     isn't held: its entries are given on as they are, a set for each block."""
     spark = docs.sparkSession
     n = partitions(spark)
-    targets = 32 * n
+    targets = n * max(1, 4 * rows * ENTRY_BYTES // (HOT_BYTES * n))  # some 16 MB each
     masks = exact_masks(DISTANCE, rows)
     table = np.array(masks, np.uint64)
     names = ["t", "key", "id", "size", "fp"]
@@ -332,7 +358,7 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
             by = np.lexsort((ids, key))
             by = by[np.concatenate(([True], (key[by][1:] != key[by][:-1]) | (ids[by][1:] != ids[by][:-1])))]
             key, ids, size, fps = key[by], ids[by], size[by], fps[by]
-            links = many_buckets(mix((fps & table[key]) + key.astype(np.uint64)).view(np.int64), fps, key, masks, DISTANCE, None, _fit, size)
+            links = many_buckets(mix((fps & table[key]) + key.astype(np.uint64)).view(np.int64), fps, key, masks, DISTANCE, _fit, size)
             return _linked(links, ids)
         by = np.lexsort((ids, key))
         key, ids, size = key[by], ids[by], size[by]
@@ -429,12 +455,12 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = lines.join(met.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
     wanted = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size")).select("at.doc_id", "at.th", "at.line", "key", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
-    keyed = met.join(texts, met.id == texts.key).select(F.col("grp").alias("key"), F.lit(0).cast("long").alias("fp"), "id", "size", "text")
-    return lines, connected_components(bucket_links(keyed, 64, similar, fits=sizes_fit))
+    keyed = met.join(texts, met.id == texts.key).select(F.col("grp").alias("key"), "fp", "id", "size", "text")
+    return lines, connected_components(bucket_links(keyed, 64, similar, chunk=512, fits=may_be_similar, sketch=sketches))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, size and the normalised text of the wanted lines."""
+    """key, size, SimHash and the normalised text of the wanted lines."""
     grouped = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "key", "size")).alias("lines"))
     marked = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
     joined = marked.join(grouped, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("text", "lines")
@@ -448,10 +474,13 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     for x in own:
                         out.append((x["key"], x["size"], normalised(cut[x["line"]])))
                 if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string()))], names=["key", "size", "text"])
+                    key, size, line = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string())))
+                    taken = Lines(line)
+                    fps = simhashes(*taken.units(np.arange(len(taken.own)))[:2]).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([key, size, pa.array(fps), line], names=["key", "size", "fp", "text"])
         blobs.give_back()
 
-    return joined.mapInArrow(run, "key long, size int, text string").dropDuplicates(["key"])
+    return joined.mapInArrow(run, "key long, size int, fp long, text string").dropDuplicates(["key"])
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

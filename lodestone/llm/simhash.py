@@ -116,7 +116,8 @@ def jaccard_alike(a: bytes, b: bytes, least: float = MIN_JACCARD) -> bool:
     return both >= least * (len(x) + len(y) - both) - 1e-9
 
 
-def _sizes_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _sizes_fit(part: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    a, b = part["size"][i], part["size"][j]
     return np.minimum(a, b) >= MIN_JACCARD * np.maximum(a, b) - 1e-9
 
 
@@ -167,7 +168,7 @@ def near_copies(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     wanted = met.select("at.doc_id", "at.__th").distinct().select(F.col("doc_id").alias("__d"), F.col("__th").alias("__t"))
     sets, _ = materialize(_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))), k), "sets")
     verified = met.select("key", "id").join(sets, "id").withColumn("fp", F.lit(0).cast("long"))
-    links = bucket_links(verified, 64, jaccard_alike, fits=_sizes_fit)
+    links = bucket_links(verified, 64, jaccard_alike, chunk=4096, fits=_sizes_fit)
     return rows.select("doc_id", "__th", "node"), connected_components(links)
 
 
