@@ -67,6 +67,10 @@ _LINKS = "a long, b long, hot long, chunk int, members binary"
 Fits = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
 
+#: So many rows are verified at once.
+MANY = 256
+
+
 def forest(
     fps: np.ndarray,
     distance: int,
@@ -75,6 +79,7 @@ def forest(
     earlier: list[int] = (),
     fits: Callable[[int, np.ndarray], np.ndarray] | None = None,
     label: np.ndarray | None = None,
+    all_of: Callable[[int, np.ndarray], np.ndarray] | None = None,
 ) -> list[tuple[int, int]]:
     """Pairs of indexes that span the links among fps (links: within distance, and verified).
 
@@ -82,7 +87,8 @@ def forest(
     since: only pairs with one index below it and one from it on are compared, if it is set.
     earlier: masks; a pair that agrees on all bits of one of them shares a bucket there, and is left
     to it, so that no pair is verified twice. fits: which of some indexes may be like the first one.
-    label: numbers that are equal for what is joined from the start."""
+    label: numbers that are equal for what is joined from the start. all_of: verify of one row with
+    several others at once."""
     n = len(fps)
     masks = [np.uint64(m) for m in earlier]
 
@@ -108,6 +114,12 @@ def forest(
         near = near[label[near] != label[i]]
         if fits is not None and len(near):
             near = near[fits(i, near)]
+        if all_of is not None and len(near) >= MANY:
+            for j in near[all_of(i, near)].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+            continue
         for j in near.tolist():
             if label[j] != label[i] and (verify is None or verify(i, j)):
                 out.append((i, j))
@@ -184,7 +196,7 @@ def many_buckets(
     return out
 
 
-def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool] | None, fits: Fits | None) -> list[tuple[int, int]]:
+def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool] | None, fits: Fits | None, all_of: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """As forest, for many whole buckets at once: pairs come from shifts of the rows, sorted by key,
     against themselves. Buckets of more than SHIFTS rows are compared row by row."""
     keys, fps = part["key"], part["fp"]
@@ -215,16 +227,18 @@ def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool]
         a, b = int(edges[e]), int(edges[e + 1])
         check = None if verify is None else lambda i, j: verify(a + i, a + j)
         fit = None if fits is None else lambda i, near: fits(part, np.full(len(near), a + i), a + near)
-        out += [(a + i, a + j) for i, j in forest(fps[a:b], distance, check, 0, (), fit)]
+        many = None if all_of is None else lambda i, near: all_of(a + i, a + near)
+        out += [(a + i, a + j) for i, j in forest(fps[a:b], distance, check, 0, (), fit, None, many)]
     return out
 
 
 def bucket_links(
-    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 32768, fits: Fits | None = None, sketch: Callable[[np.ndarray], np.ndarray] | None = None
+    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 32768, fits: Fits | None = None, sketch: Callable[[np.ndarray], np.ndarray] | None = None, similar_to: Callable[[str, list[str]], np.ndarray] | None = None
 ) -> DataFrame:
     """keyed: key (bigint), fp (bigint), id (bigint), text if ``similar`` is given, and size if ``fits``
     is. Returns a, b: ids whose links span those of every bucket of equal keys. fits: a vectorised test
     that pairs may be alike, before ``similar`` decides; it also sees a column sketch, made of the texts.
+    similar_to: similar, of one text and many.
 
     Buckets are read one after another from sorted partitions. One of more than ``chunk`` members is
     cut into chunks, which a second step compares pair by pair: chunks are joined by bucket and number,
@@ -238,13 +252,15 @@ def bucket_links(
         fps, ids, texts = part["fp"], part["id"], part.get("text")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
         fit = None if fits is None else lambda i, near: fits(part, np.full(len(near), i), near)
-        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, (), fit)]
+        many = None if similar_to is None else lambda i, near: similar_to(texts[i], texts[near])
+        return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, (), fit, None, many)]
 
     def links_of_all(part: dict):
         """Of many whole buckets."""
         ids, texts = part["id"], part.get("text")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
-        return [(int(ids[i]), int(ids[j])) for i, j in small_buckets(part, distance, check, fits)]
+        many = None if similar_to is None else lambda i, near: similar_to(texts[i], texts[near])
+        return [(int(ids[i]), int(ids[j])) for i, j in small_buckets(part, distance, check, fits, many)]
 
     def cut(part: dict, a: int, b: int | None = None) -> dict:
         return {k: v[a:b] for k, v in part.items()}

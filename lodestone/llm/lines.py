@@ -24,7 +24,7 @@ MIN_SIMILARITY = 0.8
 DISTANCE = 4
 #: Lines of so many characters are alike only if their SimHashes differ in at most so many bits: with one
 #: word in five replaced they differ in 18 on average, without words in common in 32.
-LENGTHY, NEAR = 200, 24
+LENGTHY, NEAR = 60, 26
 #: A line of fewer words is taken character by character: headings, menus, scripts without spaces.
 WORDY = 4
 #: Lines of so many words, or characters, have plain blocks; shorter ones pairs of quarters, and halves.
@@ -154,6 +154,64 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
     return surely_within(a, b, most) or edit_distance(a, b, most) <= most
 
 
+def edit_distances(a: str, texts: list[str], most: np.ndarray) -> np.ndarray:
+    """edit_distance of one text and many, side by side: Myers' bit vectors in blocks of 64 rows of ``a``,
+    a lane for each text. Lanes that are sure to exceed their ``most`` are given up."""
+    m = len(a)
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    out = most + 1
+    if not m:
+        return lengths
+    lane = np.argsort(-lengths, kind="stable")  # longest first: those that go on are the first ones
+    code = {c: i + 1 for i, c in enumerate(dict.fromkeys(a))}
+    blocks = -(-m // 64)
+    eq = np.zeros((len(code) + 1, blocks), np.uint64)
+    for i, c in enumerate(a):
+        eq[code[c], i // 64] |= np.uint64(1 << i % 64)
+    text = np.zeros((int(lengths.max(initial=0)), len(texts)), np.int32)
+    for k, j in enumerate(lane.tolist()):
+        text[: lengths[j], k] = [code.get(c, 0) for c in texts[j]]
+    size, limit = lengths[lane], most[lane]
+    up = np.full((blocks, len(texts)), ~np.uint64(0))
+    down = np.zeros((blocks, len(texts)), np.uint64)
+    score = np.full(len(texts), m, np.int64)
+    one, high, top = np.uint64(1), np.uint64(63), np.uint64((m - 1) % 64)
+    with np.errstate(over="ignore"):
+        for t in range(len(text) + 1):
+            if t % 16 == 0 or t == len(text) or size[-1] == t:
+                out[lane[size == t]] = score[size == t]
+                go = (size > t) & (score - (size - t) <= limit)
+                if not go.all():
+                    lane, size, limit, score, up, down, text = lane[go], size[go], limit[go], score[go], up[:, go], down[:, go], text[:, go]
+                if not len(lane):
+                    break
+            plus, minus = np.ones(len(lane), np.uint64), np.zeros(len(lane), np.uint64)
+            for w in range(blocks):
+                e, p, n = eq[text[t], w], up[w], down[w]
+                x = e | n
+                e = e | minus
+                h = (((e & p) + p) ^ p) | e
+                more, less = n | ~(h | p), p & h
+                if w == blocks - 1:
+                    score += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+                shifted, fewer = (more << one) | plus, (less << one) | minus
+                plus, minus = more >> high, less >> high
+                up[w] = fewer | ~(x | shifted)
+                down[w] = shifted & x
+    return out
+
+
+def similar_to(a: str, texts: list[str], least: float = MIN_SIMILARITY) -> np.ndarray:
+    """similar, of one text and many."""
+    longer = np.maximum(len(a), np.fromiter(map(len, texts), np.int64, len(texts)))
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    found = np.array([surely_within(a, b, d) for b, d in zip(texts, most.tolist())], bool)
+    rest = np.flatnonzero(~found)
+    if len(rest):
+        found[rest] = edit_distances(a, [texts[j] for j in rest.tolist()], most[rest]) <= most[rest]
+    return found
+
+
 def normalised(line: bytes) -> str:
     """The words of a line with one space between them, in lower case."""
     return b" ".join(line.translate(FOLD.tobytes()).split()).decode("utf-8", "replace")
@@ -456,7 +514,7 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size")).select("at.doc_id", "at.th", "at.line", "key", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
     keyed = met.join(texts, met.id == texts.key).select(F.col("grp").alias("key"), "fp", "id", "size", "text")
-    return lines, connected_components(bucket_links(keyed, 64, similar, chunk=512, fits=may_be_similar, sketch=sketches))
+    return lines, connected_components(bucket_links(keyed, 64, similar, chunk=512, fits=may_be_similar, sketch=sketches, similar_to=similar_to))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -95,31 +95,31 @@ def sequence_hash(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return range_hash(range_sums(hashes), bounds[:-1], bounds[1:])
 
 
+_LANES = np.array([sum(((x >> i) & 1) << (8 * i) for i in range(8)) for x in range(256)], np.uint64)  # a byte's bits, a byte each
+
+
 def majority_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """For each run of hashes the 64-bit word of bits set in over half of them; 0 for an empty run."""
+    """For each run of hashes the 64-bit word of bits set in over half of them; 0 for an empty run.
+
+    Eight bits are counted at once, in the bytes of a word, over pieces of at most 255 hashes."""
     out = np.zeros(len(bounds) - 1, np.uint64)
     full = np.flatnonzero(bounds[1:] > bounds[:-1])
-    step = 1 << 14  # hashes unpacked at once
     cut = 0
-    while cut < len(full):
-        upto = cut + 1
-        while upto < len(full) and bounds[full[upto] + 1] - bounds[full[cut]] <= step:
-            upto += 1
+    while cut < len(full):  # some hundred thousand hashes at a time, or one run
+        upto = max(cut + 1, int(np.searchsorted(bounds[full + 1], bounds[full[cut]] + (1 << 18), "right")))
         rows = full[cut:upto]
-        a, b = bounds[rows[0]], bounds[rows[-1] + 1]
-        counts = np.zeros((len(rows), 64), np.int64)
-        if len(rows) == 1:
-            for x in range(a, b, step):
-                part = hashes[x : min(b, x + step)]
-                counts[0] += _unpack(part).sum(axis=0, dtype=np.int64)
-        else:
-            counts += np.add.reduceat(_unpack(hashes[a:b]), bounds[rows] - a, axis=0, dtype=np.int32)
-        bits = (2 * counts > (bounds[rows + 1] - bounds[rows])[:, None]).astype(np.uint8)
-        out[rows] = np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
         cut = upto
+        n = bounds[rows + 1] - bounds[rows]
+        pieces = -(-n // 255)
+        run = np.cumsum(pieces) - pieces
+        start = np.repeat(bounds[rows], pieces) + 255 * (np.arange(pieces.sum()) - np.repeat(run, pieces))
+        a, b = bounds[rows[0]], bounds[rows[-1] + 1]
+        raw = np.ascontiguousarray(hashes[a:b], dtype="<u8").view(np.uint8).reshape(-1, 8)
+        word = np.zeros((len(rows), 8), np.uint8)
+        for i in range(8):
+            # runs of other rows between two of these are none: empty runs have no hashes
+            lanes = np.add.reduceat(_LANES[raw[:, i]], start - a).astype("<u8").view(np.uint8).reshape(-1, 8)
+            counts = np.add.reduceat(lanes.astype(np.int64), run, axis=0)
+            word[:, i] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little")[:, 0]
+        out[rows] = word.view("<u8").reshape(-1)
     return out
-
-
-def _unpack(hashes: np.ndarray) -> np.ndarray:
-    raw = np.ascontiguousarray(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8)
-    return np.unpackbits(raw, axis=1, bitorder="little")

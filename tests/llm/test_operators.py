@@ -320,6 +320,32 @@ def test_edit_distance(a, b):
     assert lines.edit_distance(a, b, 3) == row[-1] if row[-1] <= 3 else lines.edit_distance(a, b, 3) > 3
 
 
+def test_edit_distances_side_by_side():
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcé日") for _ in range(n))
+    for n in (0, 1, 63, 64, 65, 200):
+        a = letters(n)
+        texts = ["", a, letters(70)] + [edited(rng, lambda: letters(3), a or "a", "letter", rng.randint(1, 9)) + letters(rng.randint(0, 9)) for _ in range(40)]
+        exact = np.array([lines.edit_distance(a, b) for b in texts])
+        most = np.array([rng.choice([5, 10, 300]) for _ in texts])
+        got = lines.edit_distances(a, texts, most)
+        assert ((got == exact) | (got > most) & (exact > most)).all()
+        assert lines.similar_to(a, texts).tolist() == [lines.similar(a, b) for b in texts]
+
+
+def test_majority_bits():
+    from lodestone.llm.textkernel import majority_bits
+
+    rng = np.random.default_rng(4)
+    sizes = [0, 1, 2, 254, 255, 256, 511, 0, 3, 700_000, 5, 0]
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    hashes = rng.integers(0, 1 << 63, bounds[-1], dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, bounds[-1], dtype=np.uint64)
+    hashes[::3] = hashes[0]
+    bits = (hashes[:, None] >> np.arange(64, dtype=np.uint64)) & np.uint64(1)
+    for got, a, b in zip(majority_bits(hashes, bounds).tolist(), bounds[:-1], bounds[1:]):
+        assert got == sum(1 << i for i, c in enumerate(bits[a:b].sum(axis=0).tolist()) if 2 * c > b - a)
+
+
 def normal(line):
     return lines.normalised(line.encode())
 
