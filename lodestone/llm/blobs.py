@@ -21,7 +21,8 @@ def give_back() -> None:
 
 def by_target(target: np.ndarray, arrays: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
     """(target, [bytes of each array]) for all targets that have entries."""
-    by = np.argsort(target, kind="stable")
+    small = len(target) and int(target.min()) >= 0 and int(target.max()) < 1 << 16
+    by = np.argsort(target.astype(np.uint16) if small else target, kind="stable")  # small numbers are sorted by radix
     sorted_ = target[by]
     cuts = np.concatenate(([0], np.flatnonzero(np.diff(sorted_)) + 1, [len(by)])) if len(by) else np.zeros(1, np.int64)
     arrays = [a[by] for a in arrays]

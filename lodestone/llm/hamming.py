@@ -114,16 +114,23 @@ def forest(
         near = near[label[near] != label[i]]
         if fits is not None and len(near):
             near = near[fits(i, near)]
-        if all_of is not None and len(near) >= MANY:
-            for j in near[all_of(i, near)].tolist():
-                if label[j] != label[i]:
-                    out.append((i, j))
-                    label[label == label[j]] = label[i]
-            continue
-        for j in near.tolist():
-            if label[j] != label[i] and (verify is None or verify(i, j)):
+        tried = 0
+        for at, j in enumerate(near.tolist()):
+            if label[j] == label[i]:
+                continue
+            if tried >= 8 and all_of is not None and len(near) - at >= MANY:  # no row of a large like set: the rest at once
+                rest = near[at:][label[near[at:]] != label[i]]
+                for k in rest[all_of(i, rest)].tolist() if len(rest) else ():
+                    if label[k] != label[i]:
+                        out.append((i, k))
+                        label[label == label[k]] = label[i]
+                break
+            if verify is None or verify(i, j):
                 out.append((i, j))
                 label[label == label[j]] = label[i]
+                tried = 0
+            else:
+                tried += 1
     return out
 
 
@@ -310,8 +317,13 @@ def bucket_links(
                 hot.append((int(keys[0]), at, dump(cut(part, 0, begin))))
             if last:
                 at = 0
-            if last > begin:
-                links = links_of_all(cut(part, begin, last))
+            edges = np.concatenate(([begin], cuts[(cuts > begin) & (cuts <= last)])) if last > begin else np.zeros(1, np.int64)
+            for e in np.flatnonzero(np.diff(edges) > chunk).tolist():  # whole buckets that are too large for one task
+                a, b = int(edges[e]), int(edges[e + 1])
+                hot += [(int(keys[a]), i, dump(cut(part, x, min(x + chunk, b)))) for i, x in enumerate(range(a, b, chunk))]
+            small = np.repeat(np.diff(edges) <= chunk, np.diff(edges))
+            if small.any():
+                links = links_of_all({k: v[begin:last][small] for k, v in part.items()})
             while len(keys) - last > chunk:
                 hot.append((int(keys[last]), at, dump(cut(part, last, last + chunk))))
                 last, at = last + chunk, at + 1

@@ -418,10 +418,17 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
             key, ids, size, fps = key[by], ids[by], size[by], fps[by]
             links = many_buckets(mix((fps & table[key]) + key.astype(np.uint64)).view(np.int64), fps, key, masks, DISTANCE, _fit, size)
             return _linked(links, ids)
-        by = np.lexsort((ids, key))
+        both = (key.astype(np.uint64) << np.uint64(32)) | (ids >> np.uint64(32))
+        by = np.argsort(both)
         key, ids, size = key[by], ids[by], size[by]
         once = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))
         key, ids, size = key[once], ids[once], size[once]
+        more = np.zeros(len(key), bool)  # most blocks have one line
+        more[1:] = key[1:] == key[:-1]
+        more[:-1] |= more[1:]
+        key, ids, size = key[more], ids[more], size[more]
+        if not len(key):
+            return _numbered(key, ids)
         edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         group = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
         # a member stays if the next smaller or larger one of its block fits
@@ -471,7 +478,7 @@ def _pairs(grp: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
 
 
 def _numbered(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number, id) of the groups' members, a group's number being a hash of its members; once each."""
+    """(number, id) of the groups' members, once each; a group's number is a hash of its members."""
     if not len(ids):
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
