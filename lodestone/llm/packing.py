@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blobs import give_back
 from .common import partitions, sliced
 from .tokens import END_ID, default_tokenizer, tokenizer_at
 
@@ -46,7 +47,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_docs: int
     A document's ids (its text's, then ``end``) are cut into full sequences and one rest; the rests of
     a randomised group of documents are packed by first-fit decreasing. Groups come from a hash of
     doc_id and text, about ``group_docs`` to a group, and are packed apart from each other; a group of
-    many repeated rows is packed in runs of 4 * group_docs documents, so memory stays bounded. Only the
+    many repeated rows is packed in runs of 4 * group_docs rests, and only rests, each below a sequence, are
+    held, so memory stays bounded. Only the
     texts are shuffled, once, and the order in a partition is fixed, so a repeated task gives the same
     rows. Null text is empty: one piece with the end id. Null doc_id stays null."""
     spark = docs.sparkSession
@@ -60,24 +62,15 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_docs: int
     )
     limit = 4 * group_docs
 
-    def rows(group: int, used: int, held: list[tuple]) -> tuple[int, list]:
-        """All pieces of the held documents, and the count of the group's sequences."""
-        out, rests = [], []
-        for doc_id, ids in held:
-            full = len(ids) // capacity * capacity
-            for at in range(0, full, capacity):
-                out.append((doc_id, at, capacity, ids[at : at + capacity], len(ids), used, 0))
-                used += 1
-            if full < len(ids):
-                rests.append((doc_id, full, ids))
-        bins = first_fit_decreasing([len(ids) - at for _, at, ids in rests], capacity)
+    def rows(group: int, used: int, rests: list[tuple]) -> tuple[int, list]:
+        """The pieces that the rests make, and the count of the group's sequences."""
+        out = []
+        bins = first_fit_decreasing([len(ids) for _, _, ids, _ in rests], capacity)
         filled: dict[int, int] = {}
-        for (doc_id, at, ids), box in zip(rests, bins):
-            n = len(ids) - at
-            out.append((doc_id, at, n, ids[at:], len(ids), used + box, filled.get(box, 0)))
-            filled[box] = filled.get(box, 0) + n
-        used += max(bins, default=-1) + 1
-        return used, [(*r[:5], (group << 32) + r[5], r[6]) for r in out]
+        for (doc_id, at, ids, total), box in zip(rests, bins):
+            out.append((doc_id, at, len(ids), ids, total, (group << 32) + used + box, filled.get(box, 0)))
+            filled[box] = filled.get(box, 0) + len(ids)
+        return used + max(bins, default=-1) + 1, out
 
     def batch(part: list[tuple]) -> pa.RecordBatch:
         doc_id, start, length, ids, total, seq, offset = zip(*part)
@@ -88,36 +81,45 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_docs: int
 
     def run(batches):
         encoder = tokenizer_at(tokenizer)
-        group, used, held = None, 0, []
-
-        def flush():
-            nonlocal used, held
-            used, found = rows(group, used, held)
-            held = []
-            for a in range(0, len(found), 1000):
-                yield batch(found[a : a + 1000])
-
+        group, used, rests, out, size = None, 0, [], [], 0
         for whole in batches:
             for piece in sliced(whole, "text", 4 << 20):
-                ids, offsets = encoder.encode(piece.column(1), end)
+                all_ids, offsets = encoder.encode(piece.column(1), end)
                 for i, (doc_id, g) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())):
-                    if g != group or len(held) >= limit:
-                        if held:
-                            yield from flush()
+                    if g != group or len(rests) >= limit:
+                        used, found = rows(group, used, rests)
+                        out += found
+                        size += sum(len(r[3]) for r in found)
+                        rests = []
                         if g != group:
                             group, used = g, 0
-                    held.append((doc_id, ids[offsets[i] : offsets[i + 1]]))
-        if held:
-            yield from flush()
+                    ids = all_ids[offsets[i] : offsets[i + 1]]
+                    full = len(ids) // capacity * capacity
+                    for at in range(0, full, capacity):  # a full sequence is final at once
+                        out.append((doc_id, at, capacity, ids[at : at + capacity], len(ids), (group << 32) + used, 0))
+                        used += 1
+                    if full < len(ids):
+                        rests.append((doc_id, full, ids[full:].copy(), len(ids)))
+                    size += full
+                    if size >= 1 << 20:
+                        yield batch(out)
+                        out, size = [], 0
+        out += rows(group, used, rests)[1]
+        if out:
+            yield batch(out)
+        give_back()
 
     return dealt.mapInArrow(run, _PIECES)
 
 
 def packed(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """The pieces with a checksum in place of their ids."""
+    """The pieces with a checksum in place of their ids, of any table with doc_id and text; other columns
+    don't count. Null and empty texts make one piece of the end id; no rows make none."""
     pieces = pack(docs, tokenizer or default_tokenizer())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces. Null and empty texts are one id, the end; repeated rows are packed each;
+    an empty table gives no rows."""
     return packed(spark.read.parquet(f"{sf_dir}/documents.parquet"))

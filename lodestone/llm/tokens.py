@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 import zlib
@@ -24,17 +25,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: The parts of a tokenizer file that the encoding of single words relies on.
+WORDWISE = {
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordTokenizer:
     """Encodes texts word by word with the tokenizers library, keeping the ids of words seen.
 
-    This equals encoding whole texts for any tokenizer whose pre-tokens never span ASCII white space
-    and that drops it. The cache holds ``most`` words and is emptied when full, so memory is bounded."""
+    That equals encoding whole texts where the normalizer and the pre-tokenizer are those of WORDWISE:
+    pre-tokens never span ASCII white space, and letters and points are apart. With any other tokenizer
+    texts are encoded whole. The cache holds ``most`` words and is emptied when full, so memory is bounded."""
 
     def __init__(self, path: str, most: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        parts = json.loads(self.tokenizer.to_str())
+        added = [t["content"] for t in parts["added_tokens"]]
+        self.wordwise = all(parts[k] == v for k, v in WORDWISE.items()) and all(t.startswith("<|") and len(t.split()) == 1 for t in added)
+        self._apart: dict[str, bool] = {}
         #: The same model for lower-case ASCII words between spaces, which need no normalising.
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -45,6 +67,14 @@ class WordTokenizer:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
 
+    def _parts_from_points(self, letter: str) -> bool:
+        """Whether a word that ends in this character has a pre-token end there before a point. Some
+        letters don't: the lower case of a capital I with a dot ends in a combining mark."""
+        if letter not in self._apart:
+            cut = self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(letter + ".,"))
+            self._apart[letter] = letter.isalpha() and bool(cut) and cut[-1][0] == ".,"
+        return self._apart[letter]
+
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word. A word that ends in letters and then points or commas is the sum of
         both parts, and ASCII words are encoded in lower case, as the tokenizer itself would; words that
@@ -56,7 +86,7 @@ class WordTokenizer:
                 stem = word
             else:
                 if len(stem) < len(word):
-                    if stem and stem[-1].isalpha():
+                    if stem and self._parts_from_points(stem[-1]):
                         tail = word[len(stem) :]
                         if tail not in cache:
                             new[tail] = None
@@ -100,6 +130,11 @@ class WordTokenizer:
         """Ids of all texts, one after another, each closed by ``end``, and the texts' offsets."""
         if texts.null_count:
             texts = pc.fill_null(texts, "")
+        if not self.wordwise:
+            found = self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)
+            tail = [] if end is None else [end]
+            own = [np.array(x.ids + tail, self.kind) for x in found]
+            return np.concatenate([np.zeros(0, self.kind), *own]), np.concatenate(([0], np.cumsum([len(x) for x in own]))).astype(np.int64)
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -186,21 +221,54 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, key: str = "
     ordered = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text)).repartitionByRange(n, key).sortWithinPartitions(key, text)
     manifest = [r.asDict() for r in ordered.mapInArrow(run, _MANIFEST).collect()]  # a row for each file
     manifest.sort(key=lambda r: r["part"])
+    _drop_others(spark, folder, {r["file"] for r in manifest})
     base = 0
     for r in manifest:
         r["base"], base = base, base + r["tokens"]
     return manifest
 
 
-def open_token_file(folder: str, name: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, offsets and keys of one file: memory-mapped where the store is a file system."""
+class _Ranges:
+    """Slices of a file in a store that can't be mapped, read when asked for."""
+
+    def __init__(self, store, path: str, kind: str):
+        self._file, self._kind = store.open_input_file(path), np.dtype(kind)
+
+    def __len__(self) -> int:
+        return self._file.size() // self._kind.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        a, b, _ = part.indices(len(self))
+        return np.frombuffer(self._file.read_at(max(b - a, 0) * self._kind.itemsize, a * self._kind.itemsize), self._kind)
+
+
+def open_token_file(folder: str, name: str, width: int) -> tuple:
+    """ids, offsets and keys of one file: memory-mapped where the store is a file system, else read by
+    the slice."""
     from pyarrow import fs
 
     store, at = fs.FileSystem.from_uri(folder)
     kinds = {"bin": f"<u{width}", "idx": "<u8", "key": "<i8"}
     if isinstance(store, fs.LocalFileSystem):
         return tuple(np.memmap(f"{at}/{name}.{x}", dtype=k, mode="r") for x, k in kinds.items())
-    return tuple(np.frombuffer(store.open_input_file(f"{at}/{name}.{x}").read(), k) for x, k in kinds.items())
+    return tuple(_Ranges(store, f"{at}/{name}.{x}", k) for x, k in kinds.items())
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a URI; a bare path is on the cluster's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
+
+
+def _drop_others(spark: SparkSession, folder: str, names: set[str]) -> None:
+    """Delete the files of attempts that weren't the ones to report."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(path):
+        for status in store.listStatus(path):
+            if status.getPath().getName().rpartition(".")[0] not in names:
+                store.delete(status.getPath(), False)
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list[dict]) -> DataFrame:
@@ -237,11 +305,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str, tokenizer: str | None = No
     """All documents as flat token files, read back. Null text is empty: its end id alone. Rows with
     one doc_id follow each other in the order of their texts; an empty table writes no file."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = scratch(spark, "tokens")
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
-    elif folder.startswith("file:") and not folder.startswith("file://"):
-        folder = "file://" + folder[5:]
+    folder = qualified(spark, scratch(spark, "tokens"))
     manifest = write_token_files(docs, folder, tokenizer or default_tokenizer())
     found = read_token_files(spark, folder, manifest)
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

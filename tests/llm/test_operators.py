@@ -133,6 +133,46 @@ def test_token_files(spark, hard, encoded):
     assert counted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in run(spark, "op9", hard)) == counted(want)
 
 
+def test_words_are_encoded_as_texts_are():
+    """Ids of word-wise encoding against the tokenizer's own over texts of odd letters, marks and signs."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(tokens.default_tokenizer())
+    fast = tokens.WordTokenizer(tokens.default_tokenizer())
+    assert fast.wordwise
+    rng = random.Random(1)
+    odd = ["İ", "ı", "ß", "ẞ", "Σ", "ς", "ŉ", "ǰ", "ﬁ", "é", "e\u0301", "\u0307", "\u0300", "\u200d", "\u00a0", "\u2028", "\x1c", "\x85", "日", "한", "ᄒ", "ᅡ", "ั", "ก", "𝐀", "🙂", "٣", "Ⅷ", "²", "ª", "ʰ", "ǅ", "Ω", "K", "\u0345"]
+    pieces = [*odd, *"abzABIZ019", ".", ",", "...", "'s", "'", "'LL", "-", "<|", "|>", "<|endoftext|>", "_", " ", " ", "\n", "\t", "\u3000"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(60_000)]
+    texts += [chr(c) + t for c in range(32, 0x3000) if chr(c).isalpha() for t in (".", ",a", "x.")]
+    ids, offsets = fast.encode(pa.array(texts))
+    want = [x.ids + [1] for x in own.encode_batch_fast(texts, add_special_tokens=False)]
+    bad = [t for t, w, a, b in zip(texts, want, offsets[:-1], offsets[1:]) if ids[a:b].tolist() != w]
+    assert not bad, bad[:5]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    parts = json.load(open(tokens.default_tokenizer()))
+    parts["normalizer"] = {"type": "NFC"}
+    (tmp_path / "cased.json").write_text(json.dumps(parts))
+    other = tokens.WordTokenizer(str(tmp_path / "cased.json"))
+    assert not other.wordwise
+    texts = ["Ab  CD.", "", None, "a b"]
+    ids, offsets = other.encode(pa.array(texts))
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        assert ids[a:b].tolist() == other.tokenizer.encode(t or "", add_special_tokens=False).ids + [1]
+
+
+def test_ranges_of_a_store(tmp_path):
+    from pyarrow import fs
+
+    np.arange(100, dtype="<u8").tofile(tmp_path / "x.idx")
+    found = tokens._Ranges(fs.LocalFileSystem(), str(tmp_path / "x.idx"), "<u8")
+    assert len(found) == 100 and found[3:7].tolist() == [3, 4, 5, 6] and found[98:120].tolist() == [98, 99]
+
+
 def test_small_cache_gives_the_same():
     texts = pa.array([t for _, t in corpus()])
     a, b = tokens.WordTokenizer(tokens.default_tokenizer(), 10), tokens.WordTokenizer(tokens.default_tokenizer())
