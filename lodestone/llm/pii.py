@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, unused
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 BASE_KINDS = KINDS[:4]
@@ -19,7 +19,7 @@ _LOCAL = "[A-Za-z0-9._%+-]"
 PATTERNS = {
     "email": f"(?:(?<!{_LOCAL})|\\G){_LOCAL}++@[A-Za-z0-9-]++(?:\\.[A-Za-z0-9-]++)++",
     "ip": "(?:(?<![0-9])|\\G)[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++",
-    "card": "[0-9](?:[\\x20-]?[0-9])++",
+    "card": "[0-9](?:[\\x20-]?[0-9]){11,}+",
     "phone": "\\+[0-9][\\x20().0-9-]+[0-9]",
     "secret": "(?i)(?:api[_-]?key|secret|token|passw(?:or)?d)[\"']?\\x20{0,3}[:=]\\x20{0,3}[\"']?[A-Za-z0-9+/_=-]{12,}+",
     "local": "(?<![0-9+(.-])(?:\\([0-9]{3}\\)\\x20?|[0-9]{3}[.\\x20-])[0-9]{3}[.\\x20-][0-9]{4}(?![0-9.-])",
@@ -40,31 +40,55 @@ HINTS = {
 AGAINST = "(?:isbn|issn|doi|version|v\\.|release|build|chapter|section|page|order|invoice|figure|table|http\\S*|#)\\W{0,3}$"
 LABELERS = ("format", "check", "gazetteer", "context", "shape")
 WINDOW = 40
+BLOCK = 256
+#: Features of a span for the classifier: how many values each has.
+FEATURES = {"length": 6, "classes": 8, "hint": 2}
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _before(items: Column, zero: Column, value, combine) -> Column:
+    """For each item what combine makes of the values of all items before it. In blocks, as an array
+    grows by being copied: the steps are in proportion to the items."""
+    empty = F.slice(F.array(zero), 1, 0)
+
+    def gathered(xs: Column, of) -> Column:
+        start = F.struct(zero.alias("t"), empty.alias("out"))
+        return F.aggregate(xs, start, lambda a, x: F.struct(combine(a.t, of(x)).alias("t"), F.concat(a.out, F.array(a.t)).alias("out")))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+    local = F.transform(blocks, lambda xs: gathered(xs, value))
+    bases = lambda own: gathered(own, lambda x: x.t).out
+    joined = lambda own: _let(bases(own), lambda base: F.flatten(F.transform(own, lambda x, i: F.transform(x.out, lambda o: combine(F.get(base, i), o)))))
+    return F.when(F.size(items) > 0, _let(local, joined)).otherwise(empty)
 
 
 def _spans(text: Column, pattern: str, may: tuple[str, ...] = ()) -> Column:
-    """Array of (s, e, v) of the leftmost non-overlapping matches; code points, end exclusive."""
+    """Array of (s, e, v, before, after) of the leftmost non-overlapping matches: code points, end
+    exclusive, and what stands around the match, up to its neighbours."""
     some = F.lit(True)
     if may:
         some = F.lit(False)
         for x in may:
             some = some | F.contains(text, F.lit(x))
-    none = F.array().cast("array<struct<s:int,e:int,v:string>>")
+    none = F.array().cast("array<struct<s:int,e:int,v:string,before:string,after:string>>")
 
     def placed(found: Column) -> Column:
-        gaps = F.transform(F.split(text, pattern), F.length)
-        start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        cut = F.transform(F.split(text, pattern), lambda g: F.struct(F.length(g).alias("n"), F.substring(g, F.lit(-WINDOW), F.lit(WINDOW)).alias("end"), F.substring(g, 1, 2).alias("begin")))
+        return _let(cut, lambda gaps: joined(found, gaps))
 
-        def step(a: Column, x: Column) -> Column:
-            s = a["at"] + x.gap
-            e = s + F.length(x.v)
-            return F.struct(e.alias("at"), F.concat(a.out, F.array(F.struct(s.alias("s"), e.alias("e"), x.v.alias("v")))).alias("out"))
+    def joined(found: Column, gaps: Column) -> Column:
+        whole = F.transform(found, lambda v, i: F.struct(v.alias("v"), F.length(v).alias("n"), F.get(gaps, i).alias("gap"), F.get(gaps, i + 1).begin.alias("after")))
+        return _let(whole, lambda items: _let(_before(items, F.lit(0), lambda x: x.gap.n + x.n, lambda x, y: x + y), lambda at: F.transform(items, lambda x, i: span(x, F.get(at, i) + x.gap.n))))
 
-        pairs = F.transform(found, lambda v, i: F.struct(F.get(gaps, i).alias("gap"), v.alias("v")))
-        return F.when(F.size(found) == 0, none).otherwise(F.aggregate(pairs, start, step, lambda a: a.out))
+    def span(x: Column, s: Column) -> Column:
+        return F.struct(s.alias("s"), (s + x.n).alias("e"), x.v.alias("v"), F.coalesce(x.gap.end, F.lit("")).alias("before"), F.coalesce(x.after, F.lit("")).alias("after"))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(some, F.transform(F.array(found), placed)[0]).otherwise(none)
+    return F.when(some, _let(found, lambda f: F.when(F.size(f) == 0, none).otherwise(placed(f)))).otherwise(none)
 
 
 def _digits(v: Column) -> Column:
@@ -137,15 +161,26 @@ def candidates(text: Column) -> Column:
             spans = _spans(text, PATTERNS[name], _MAY.get(name, ()))
 
             def rated(x: Column, kind: str = kind, k: int = k) -> Column:
-                before = F.substring(text, F.greatest(x.s - WINDOW + 1, F.lit(1)), F.least(x.s, F.lit(WINDOW)))
-                after = F.substring(text, x.e + 1, F.lit(2))
-                votes = _votes(kind, x.v, before, after)
-                return F.struct(F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"), _is_base(kind, x.v).alias("base"), F.struct(*(c.cast("int").alias(n) for n, c in votes.items())).alias("votes"))
-
+                votes = _votes(kind, x.v, x.before, x.after)
+                traits = _features(kind, x.v, x.before)
+                return F.struct(
+                    F.lit(k).alias("k"), x.s.alias("s"), x.e.alias("e"), _is_base(kind, x.v).alias("base"),
+                    F.struct(*(c.cast("int").alias(n) for n, c in votes.items())).alias("votes"), F.struct(*(c.cast("int").alias(n) for n, c in traits.items())).alias("traits"),
+                )
+
+            if kind == "card":
+                spans = F.filter(spans, lambda x: F.length(x.v) < 40)  # longer ones have more than 19 digits
             parts.append(F.transform(spans, _one_argument(rated)))
     return F.concat(*parts)
 
 
+def _features(kind: str, v: Column, before: Column) -> dict[str, Column]:
+    """What the classifier sees of a span itself: its length, which sorts of characters it has, and
+    whether a word nearby names its kind."""
+    classes = F.when(v.rlike("[0-9]"), 1).otherwise(0) + F.when(v.rlike("[a-z]"), 2).otherwise(0) + F.when(v.rlike("[A-Z]"), 4).otherwise(0)
+    return {"length": F.least(F.floor(F.length(v) / 8), F.lit(FEATURES["length"] - 1)), "classes": classes, "hint": before.rlike(f"(?i)(?:{HINTS[kind]})").cast("int")}
+
+
 def _one_argument(f):
     return lambda x: f(x)
 
@@ -183,18 +218,18 @@ def fit_labelers(patterns: list[tuple[int, tuple[int, ...], float]], rounds: int
     return post, reliable
 
 
-def train_classifier(patterns: list[tuple[int, tuple[int, ...], float]], post: dict, steps: int = 400) -> dict:
-    """Logistic regression on the posteriors: a bias by kind and a weight by labeler and vote, by
-    gradient steps over the pattern table."""
+def train_classifier(patterns: list[tuple[int, tuple[int, ...], tuple[int, ...], float]], post: dict, steps: int = 300) -> dict:
+    """Logistic regression on the posteriors, by gradient steps over the table of (kind, votes, features,
+    count): a bias by kind, a weight by labeler and vote, and one by kind, feature and value."""
     weights: dict = {}
-    total = sum(n for _, _, n in patterns) or 1.0
-    keys = {(k, v): [("kind", k), *((j, x) for j, x in enumerate(v) if x)] for k, v, _ in patterns}
+    total = sum(n for *_, n in patterns) or 1.0
+    keys = [[("kind", k), *((j, x) for j, x in enumerate(v) if x), *((k, name, x) for name, x in zip(FEATURES, f))] for k, v, f, _ in patterns]
     for _ in range(steps):
         grad: dict = {}
-        for k, v, n in patterns:
-            z = sum(weights.get(f, 0.0) for f in keys[k, v])
+        for (k, v, _, n), own in zip(patterns, keys):
+            z = sum(weights.get(f, 0.0) for f in own)
             miss = n / total * (post[k, v] - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            for f in keys[k, v]:
+            for f in own:
                 grad[f] = grad.get(f, 0.0) + miss
         for f, g in grad.items():
             weights[f] = weights.get(f, 0.0) * 0.9995 + 4.0 * g
@@ -202,40 +237,54 @@ def train_classifier(patterns: list[tuple[int, tuple[int, ...], float]], post: d
 
 
 def _score(x: Column, weights: dict) -> Column:
-    z = F.lit(0.0)
-    for k in range(len(KINDS)):
-        z = z + F.when(x.k == k, F.lit(float(weights.get(("kind", k), 0.0)))).otherwise(0.0)
+    def weight(at: Column, keys: list) -> Column:
+        return F.get(F.array(*(F.lit(float(weights.get(key, 0.0))) for key in keys)), at)
+
+    kinds = range(len(KINDS))
+    z = weight(x.k, [("kind", k) for k in kinds])
     for j, name in enumerate(LABELERS):
-        vote = x.votes[name]
-        z = z + F.when(vote == 1, F.lit(float(weights.get((j, 1), 0.0)))).when(vote == -1, F.lit(float(weights.get((j, -1), 0.0)))).otherwise(0.0)
+        z = z + weight(x.votes[name] + 1, [(j, -1), ("none", j), (j, 1)])
+    for name, values in FEATURES.items():
+        z = z + weight(x.k * values + x.traits[name], [(k, name, value) for k in kinds for value in range(values)])
     return z
 
 
 def find_spans(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs' columns but the text, and spans: array of (k, s, e, base) by kind and start. Every base
-    match is a span; another candidate is one if the classifier's chance is above the threshold and it
-    overlaps no base match and no earlier span of its kind. Null text has no span.
-
-    The text is read once: candidates go to a table in the shared folder, their vote patterns are
-    counted there (a table of bounded size), and the fitted weights are literals in the last step."""
-    others = [c for c in docs.columns if c not in (text, "spans", "__c")]
-    whole = docs.select(*(F.col(f"`{c}`") for c in others), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    found, _ = materialize(whole.select(*(F.col(f"`{c}`") for c in others), candidates(F.col("__text")).alias("__c")), "candidates")
-    counted = found.where(F.size("__c") > 0).select(F.explode("__c").alias("c")).groupBy("c.k", "c.votes").count()
-    patterns = [(r["k"], tuple(r["votes"][n] for n in LABELERS), float(r["count"])) for r in counted.collect()]
-    patterns.sort()
-    post, _ = fit_labelers(patterns)
+    match is a span; another candidate is one if the classifier's chance is above the threshold, and it
+    overlaps no base match and no such candidate that starts before it. Null text has no span, rows are
+    taken one by one, and other columns pass through (one named spans is replaced).
+
+    The text is read once, in steps that grow with its length: candidates go to a table in the shared
+    folder, their patterns of votes and features are counted there (a table of bounded size), and the
+    fitted weights are literals in the last step."""
+    others = [c for c in docs.columns if c not in (text, "spans")]
+    whole_, found_ = unused(others, "text", "c")
+    whole = docs.select(*(F.col(f"`{c}`") for c in others), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias(whole_))
+    found, _ = materialize(whole.select(*(F.col(f"`{c}`") for c in others), candidates(F.col(whole_)).alias(found_)), "candidates")
+    counted = found.where(F.size(found_) > 0).select(F.explode(found_).alias("c")).groupBy("c.k", "c.votes", "c.traits").count()
+    patterns = sorted((r["k"], tuple(r["votes"]), tuple(r["traits"]), float(r["count"])) for r in counted.collect())
+    votes: dict = {}
+    for k, v, _, n in patterns:
+        votes[k, v] = votes.get((k, v), 0.0) + n
+    post, _ = fit_labelers([(k, v, n) for (k, v), n in votes.items()])
     weights = train_classifier(patterns, post)
     bar = math.log(threshold / (1 - threshold))
     slim = lambda x: F.struct(x.k.alias("k"), x.s.alias("s"), x.e.alias("e"), x.base.alias("base"))
+    far = F.lit(2**31 - 1)
 
     def chosen(c: Column) -> Column:
-        base = F.filter(c, lambda x: x.base)
-        more = F.filter(c, lambda x: ~x.base & (_score(x, weights) > bar))
-        free = F.filter(more, lambda x: ~F.exists(base, lambda b: (b.s < x.e) & (x.s < b.e)))
-        return F.array_sort(F.transform(F.concat(base, free), slim))
+        taken = F.transform(F.filter(c, lambda x: x.base | (_score(x, weights) > bar)), lambda x: F.struct(x.s.alias("s"), x.e.alias("e"), x.k.alias("k"), x.base.alias("base")))
+        return F.array_sort(_let(F.array_sort(taken), apart))
+
+    def apart(sorted_: Column) -> Column:
+        """Base matches, and the others that no earlier span reaches into and that reach into no base match."""
+        ends = _before(sorted_, F.lit(0), lambda x: x.e, F.greatest)
+        starts = _before(F.reverse(sorted_), far, lambda x: F.when(x.base, x.s).otherwise(far), F.least)
+        both = lambda end: _let(F.reverse(starts), lambda start: F.filter(F.transform(sorted_, lambda x, i: F.when(x.base | ((F.get(end, i) <= x.s) & (F.get(start, i) >= x.e)), slim(x))), lambda x: x.isNotNull()))
+        return F.when(F.exists(sorted_, lambda x: ~x.base), _let(ends, both)).otherwise(F.transform(sorted_, slim))
 
-    return found.select(*(F.col(f"`{c}`") for c in others), F.when(F.size("__c") > 0, chosen(F.col("__c"))).otherwise(F.transform("__c", slim)).alias("spans"))
+    return found.select(*(F.col(f"`{c}`") for c in others), F.when(F.size(found_) > 0, chosen(F.col(found_))).otherwise(F.transform(found_, slim)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:

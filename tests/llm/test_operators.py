@@ -95,6 +95,22 @@ def test_pii(spark, hard):
     assert counted((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in got) == counted(want)
 
 
+def test_spans_of_long_texts(spark):
+    """Positions of many matches, over several blocks, against regular expressions; spans apart."""
+    rng = random.Random(6)
+    mail = " ".join(f"é u{i}@ex{i % 7}.org, {rng.randint(10, 99)} 10.0.{i % 300}.1" for i in range(3000))
+    texts = [mail, " ".join(str(rng.randint(10, 99)) for _ in range(100_000)), "; ".join(f"token=abcDEF1234567890{i:08d}" for i in range(700))]
+    rows = pii.find_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    got = [(x.s, x.e) for x in rows[0]["spans"] if x.k == 0]
+    assert got == [m.span() for m in re.finditer("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", mail)]
+    good = [m.span() for m in re.finditer("[0-9]+(?:\\.[0-9]+){3}", mail) if all(int(x) <= 255 for x in m.group().split("."))]
+    assert [(x.s, x.e) for x in rows[0]["spans"] if x.k == 1 and x.base] == good
+    assert not rows[1]["spans"]
+    for r in rows:
+        for x in r["spans"]:
+            assert x.base or not any(y != x and y.s < x.e and x.s < y.e for y in r["spans"])
+
+
 def test_labelers_and_redaction(spark, hard):
     votes = [(0, (1, 1, 1, 0, 1), 50.0), (0, (-1, -1, 0, -1, -1), 40.0), (0, (1, -1, 0, 0, 1), 3.0)]
     post, reliable = pii.fit_labelers(votes)
