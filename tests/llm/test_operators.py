@@ -295,7 +295,9 @@ def test_decontamination(spark, hard):
     assert got[16]["n_words"] == 20 and got[16]["n_matched"] == 19 and got[16]["start_word"] == 10
     docs, bench = spark.read.parquet(f"{hard}/documents.parquet"), spark.read.parquet(f"{hard}/benchmark.parquet")
     assert decontam.clean(docs, bench).count() == docs.count() - 2
-    assert len(list(decontam.blocks(bench, 40))) > 1
+    assert set(r["doc_id"] for r in decontam.contaminated(docs.withColumn("th", docs.text), bench).collect()) == {16, 17}
+    twice = spark.createDataFrame([(None, "one two three four five six"), (None, "x one two three four five six"), (None, "x one two three four five six")], "doc_id long, text string")
+    assert decontam.contaminated(twice, bench).count() == 2 and decontam.clean(twice, bench).count() == 0
 
 
 @given(st.lists(st.sampled_from([True, True, True, False]), max_size=40))
@@ -305,11 +307,16 @@ def test_best_run(same):
     assert matched == max(runs, default=0) == sum(same[start:end]) and 5 * matched >= 4 * (end - start)
 
 
-def test_a_clean_stretch_hides_no_passage():
+def overlaps(spark, items, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+
+
+def test_a_clean_stretch_hides_no_passage(spark):
     item = [f"w{i}" for i in range(18)]
-    index = decontam.Index([(7, " ".join(item))])
     text = " ".join("x" if i in (11, 13) else w for i, w in enumerate(item))
-    assert list(index.overlaps(pa.array([f"head {text} tail"]))) == [(0, [(0, 1, 18, 16)])]
+    got = overlaps(spark, [(7, " ".join(item))], [f"head {text} tail"])[0]
+    assert (got["item_ids"], got["start_word"], got["n_words"], got["n_matched"]) == ([7], 1, 18, 16)
 
 
 def test_seeds_miss_no_run():
@@ -335,24 +342,20 @@ def test_seeds_miss_no_run():
         assert all(score < 0 for (_, count), score in best.items() if count == decontam.MIN_WORDS)
 
 
-def test_every_fifth_word_substituted():
+def test_every_fifth_word_substituted(spark):
     rng = random.Random(8)
     item = [f"w{i}" for i in range(100)]
-    for first in range(5):
-        text = " ".join("x" if i % 5 == first else w for i, w in enumerate(item))
-        assert list(decontam.Index([(7, " ".join(item))]).overlaps(pa.array([text])))
-    short = decontam.Index([(7, " ".join(item[:9]))])
-    assert list(short.overlaps(pa.array([" ".join([*item[:4], "x", *item[5:9]])]))) == [(0, [(0, 0, 9, 8)])]
+    texts = [" ".join("x" if i % 5 == first else w for i, w in enumerate(item)) for first in range(5)]
+    assert set(overlaps(spark, [(7, " ".join(item))], texts)) == set(range(5))
+    got = overlaps(spark, [(7, " ".join(item[:9]))], [" ".join([*item[:4], "x", *item[5:9]])])[0]
+    assert (got["start_word"], got["n_words"], got["n_matched"]) == (0, 9, 8)
     # against all diagonals and runs
     items = [(i, " ".join(rng.choices("abcdefgh", k=rng.choice([1, 3, 5, 7, 9, 12, 15, 17, 25])))) for i in range(30)]
     texts = ["", *(" ".join(w if rng.random() < 0.85 else rng.choice("abxy") for w in (rng.choice("abz ") + " " + t).split()) for _, t in items)]
-    index = decontam.Index(items)
-    got = {(row, index.ids[e][0]): n for row, hits in index.overlaps(pa.array(texts)) for e, _, _, n in hits}
+    found = overlaps(spark, items, texts)
     want = {}
-    named = {}
     for i, t in items:
         own = t.split()
-        i = named.setdefault(t, i)
         for row, text in enumerate(texts):
             w = text.split()
             for d in range(-len(own), len(w)):
@@ -362,7 +365,8 @@ def test_every_fifth_word_substituted():
                         n = sum(same[a:b])
                         if 5 * n >= 4 * (b - a) and n >= min(13, -(-4 * len(own) // 5)):
                             want[row, i] = max(n, want.get((row, i), 0))
-    assert got == want and len(want) > 20
+    assert {(row, i) for row, r in found.items() for i in r["item_ids"]} == set(want) and len(want) > 20
+    assert all(r["n_matched"] == max(n for (x, _), n in want.items() if x == row) for row, r in found.items())
 
 
 @given(st.text("abc", max_size=12), st.text("abc", max_size=12))
