@@ -126,18 +126,19 @@ def _worded() -> Column:
 
 
 def _sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, __th, node and the bands of each row that has a word; equal shingle sets are one node."""
+    """doc_id, __th, node, fp and the bands of each row that has a word; equal shingle sets are one node."""
     source = docs.where(_worded()).select("doc_id", "__th", shingle_hashes(F.col("text"), k).alias("__h"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 values, bounds = _shingle_sets(batch.column(2))
+                fps = majority_bits(values, bounds).view(np.int64)
                 keys = pa.array(_bands(values, bounds).view(np.int64).reshape(-1))
                 ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_node(values, bounds).view(np.int64)), pa.ListArray.from_arrays(ends, keys)], names=["doc_id", "__th", "node", "bands"])
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(_node(values, bounds).view(np.int64)), pa.array(fps), pa.ListArray.from_arrays(ends, keys)], names=["doc_id", "__th", "node", "fp", "bands"])
 
-    return source.mapInArrow(run, source.select("doc_id", "__th").schema.add("node", "long").add("bands", ArrayType(LongType())))
+    return source.mapInArrow(run, source.select("doc_id", "__th").schema.add("node", "long").add("fp", "long").add("bands", ArrayType(LongType())))
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -158,13 +159,16 @@ def near_copies(docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
     """docs: doc_id, text, __th. (rows, groups): the rows that have a word with their node, a shingle
     set, and node, component for the nodes that are linked to another one.
 
-    Sets meet by shared MinHash bands; only those that meet another fetch their shingles, and Jaccard
-    similarity of at least MIN_JACCARD decides."""
+    Sets meet where deletion variants link their SimHashes, and by shared MinHash bands: of sets with a
+    similarity of 0.9 one pair in ten has SimHashes within four bits. Only those that meet another fetch
+    their shingles, and Jaccard similarity of at least MIN_JACCARD decides."""
     rows, _ = materialize(_sketches(docs, k), "sketches")
-    nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.min(F.struct("doc_id", "__th")).alias("at"))
+    nodes = rows.groupBy("node").agg(F.first("bands").alias("bands"), F.first("fp").alias("fp"), F.min(F.struct("doc_id", "__th")).alias("at"))
+    close, _ = materialize(fingerprint_components(rows), "close")
     keyed, _ = materialize(nodes.select(F.posexplode("bands").alias("band", "b"), "node", "at").select(F.xxhash64("band", "b").alias("key"), F.col("node").alias("id"), "at"), "bands")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    met, _ = materialize(keyed.join(shared, "key"), "met")
+    linked = nodes.select("node", "fp", "at").join(close, "fp").select(F.xxhash64(F.lit("SimHash"), "component").alias("key"), F.col("node").alias("id"), "at")
+    met, _ = materialize(keyed.join(shared, "key").unionByName(linked), "met")
     wanted = met.select("at.doc_id", "at.__th").distinct().select(F.col("doc_id").alias("__d"), F.col("__th").alias("__t"))
     sets, _ = materialize(_sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__th") == F.col("__t"))), k), "sets")
     verified = met.select("key", "id").join(sets, "id").withColumn("fp", F.lit(0).cast("long"))
