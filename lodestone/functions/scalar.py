@@ -32,6 +32,25 @@ def text_of(sql: str) -> str | None:
     return re.sub(r"\\(.)", r"\1", sql[1:-1]) if re.fullmatch(r"'(?:[^'\\]|\\.)*'", sql, re.S) else None
 
 
+def _like_set(inner: str) -> str:
+    """What stands in [ ]: characters and ranges, none of them where ^ comes first. An empty set, or a
+    range from a later to an earlier character, matches nothing."""
+    negated = inner.startswith("^")
+    own, i, out = inner[negated:], 0, ""
+    escaped = lambda c: re.sub(r"[\\\[\]&~^-]", lambda m: "\\" + m[0], c)
+    while i < len(own):
+        if own[i + 1 : i + 2] == "-" and i + 2 < len(own):
+            if own[i] <= own[i + 2]:
+                out += f"{escaped(own[i])}-{escaped(own[i + 2])}"
+            i += 3
+        else:
+            out += escaped(own[i])
+            i += 1
+    if not out:
+        return "[\\s\\S]" if negated and own else "[^\\s\\S]"
+    return f"[{'^' if negated else ''}{out}]"
+
+
 def like_regex(pattern: str, escape: str | None = None) -> str:
     """A LIKE pattern, with [sets], as a regular expression for the whole text."""
     out, i = "", 0
@@ -47,10 +66,7 @@ def like_regex(pattern: str, escape: str | None = None) -> str:
         elif c == "_":
             out += "[\\s\\S]"
         elif end > 0:
-            inner = pattern[i + 1 : end]
-            negated = inner.startswith("^")
-            inner = re.sub(r"([\\\[\]&~])", r"\\\1", inner[negated:])
-            out += f"[{'^' if negated else ''}{inner}]"
+            out += _like_set(pattern[i + 1 : end])
             i = end
         else:
             out += re.escape(c)
@@ -58,13 +74,47 @@ def like_regex(pattern: str, escape: str | None = None) -> str:
     return out
 
 
-def date(sql: str, kind: str | None) -> str:
+#: Names of months by their first three letters.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+_CLOCK = r"(?:\s+(\d{1,2}(?::\d{2}(?::\d{2}(?:\.\d{1,7})?)?)?)\s*([ap]m)?)?"
+
+
+def written_date(value: str, order: str = "mdy") -> str | None:
+    """A date written with numbers in the order of SET DATEFORMAT, or with a month's name, as ISO text."""
+    value = value.strip().lower()
+    if re.fullmatch(r"\d{8}", value):
+        return f"{value[:4]}-{value[4:6]}-{value[6:]}"
+    m = re.fullmatch(r"(\d{1,4})[./-](\d{1,2})[./-](\d{1,4})" + _CLOCK, value)
+    if m and len(m[1]) == 4:
+        return None  # the year first is read as it is
+    if m:
+        found = dict(zip(order, m.groups()[:3]))
+        year, month, day = found["y"], int(found["m"]), int(found["d"])
+    else:
+        m = re.fullmatch(r"([a-z]{3,9})\.?\s+(\d{1,2}),?\s+(\d{4})" + _CLOCK, value) or re.fullmatch(r"(\d{1,2})[\s-]+([a-z]{3,9})\.?,?[\s-]+(\d{4})" + _CLOCK, value)
+        if not m:
+            return None
+        name, day = (m[1], m[2]) if m[1].isalpha() else (m[2], m[1])
+        if name[:3] not in MONTHS:
+            return None
+        year, month, day = m[3], MONTHS.index(name[:3]) + 1, int(day)
+    year = int(year) + (0 if len(year) > 2 else 2000 if int(year) < 50 else 1900)
+    if not (1 <= month <= 12 and 1 <= day <= 31):
+        raise TSqlError("Conversion failed when converting date and/or time from character string.", 241)
+    clock = ""
+    if m[4]:
+        parts = m[4].split(":")
+        hour = int(parts[0]) % 12 + (12 if m[5] == "pm" else 0) if m[5] else int(parts[0])
+        clock = " " + ":".join([f"{hour:02d}", *(parts[1:] or ["00"])])
+    return f"{year:04d}-{month:02d}-{day:02d}{clock}"
+
+
+def date(sql: str, kind: str | None, order: str = "mdy") -> str:
     if base(kind) in DATES:
         return sql
     value = text_of(sql)
-    if value is not None and re.fullmatch(r"\d{8}", value):
-        return f"CAST('{value[:4]}-{value[4:6]}-{value[6:]}' AS timestamp_ntz)"
-    return f"CAST({sql} AS timestamp_ntz)"
+    written = written_date(value, order) if value is not None else None
+    return f"CAST({quoted(written) if written else sql} AS timestamp_ntz)"
 
 
 def dateadd(part: str, n: str, d: str, kind: str | None) -> tuple[str, str]:
@@ -148,7 +198,9 @@ def _json_path(path: str) -> tuple[str, bool]:
 def _json(a: list[str], scalar: bool) -> str:
     path, strict = _json_path(a[1] if len(a) > 1 else "'$'")
     got = f"get_json_object({a[0]}, {path})"
-    nested = f"ltrim({got}) RLIKE '^[\\\\[{{]'"
+    literal_path = re.fullmatch(r"'(?:[^'\\\\]|\\\\.)*'", path, re.S)
+    # the kind of what is there; text may begin with a bracket too
+    nested = f"coalesce(schema_of_variant(try_variant_get(try_parse_json({a[0]}), {path}, 'variant')) RLIKE '^(?:ARRAY|OBJECT)', false)" if literal_path else f"ltrim({got}) RLIKE '^[\\\\[{{]'"
     fail = "raise_error('Property cannot be found on the specified JSON path.')" if strict else "NULL"
     keep, drop = (f"NOT ({nested}) AND length({got}) <= 4000", "") if scalar else (nested, "")
     return f"CASE WHEN {keep} THEN {got}{drop} ELSE {fail} END"
@@ -161,10 +213,29 @@ def _net_format(fmt: str) -> str | None:
     return fmt.replace("dddd", "EEEE").replace("ddd", "EEE").replace("tt", "a").replace("fffffff", "SSSSSSS").replace("fff", "SSS")
 
 
+#: Culture: thousands and decimal separators, the currency's sign, whether it stands in front, the short date.
+CULTURES = {
+    "en-us": (",", ".", "$", True, "M/d/yyyy"), "en-gb": (",", ".", "£", True, "dd/MM/yyyy"), "de-de": (".", ",", "€", False, "dd.MM.yyyy"),
+    "fr-fr": ("\u202f", ",", "€", False, "dd/MM/yyyy"), "es-es": (".", ",", "€", False, "d/M/yyyy"), "it-it": (".", ",", "€", False, "dd/MM/yyyy"),
+}
+
+
 def _format(a: list[str], t: list) -> str:
     fmt = text_of(a[1]) or ""
+    culture = (text_of(a[2]) or "en-us").lower() if len(a) > 2 else "en-us"
+    if culture not in CULTURES:
+        raise TSqlError(f"The culture parameter '{culture}' provided in the function call is not supported.", 9818)
+    group, point, sign, ahead, short = CULTURES[culture]
     if base(t[0]) in DATES:
-        return f"date_format({a[0]}, {quoted(_net_format(fmt))})"
+        return f"date_format({a[0]}, {quoted(short if fmt == 'd' and len(a) > 2 else _net_format(fmt))})"
+    money = re.fullmatch(r"[Cc](\d*)", fmt)
+    if money or re.fullmatch(r"[Nn]\d*", fmt) and culture != "en-us":
+        n = int(fmt[1:] or 2)
+        number = f"format_number(abs({a[0]}), {n})"
+        if (group, point) != (",", "."):
+            number = f"translate({number}, ',.', {quoted(group + point)})"
+        whole = number if not money else f"concat({quoted(sign)}, {number})" if ahead else f"concat({number}, {quoted(' ' + sign)})"
+        return f"concat(CASE WHEN {a[0]} < 0 THEN '-' ELSE '' END, {whole})"
     m = re.fullmatch(r"([NnFfDdPpXx])(\d*)", fmt)
     if m:
         kind, n = m[1].upper(), int(m[2] or (0 if m[1].upper() in "DX" else 2))
@@ -239,11 +310,18 @@ def _stuff(a: list[str]) -> str:
     return f"CASE WHEN {at} <= 0 OR {at} > length({s}) OR {n} < 0 THEN NULL ELSE concat(substring({s}, 1, {at} - 1), coalesce({new}, ''), substring({s}, {at} + {n})) END"
 
 
+def _replace(a: list[str]) -> str:
+    """All occurrences, whatever their case; the pattern is plain text, an empty one changes nothing."""
+    plain = f"concat('(?i)\\\\Q', replace({a[1]}, '\\\\E', '\\\\E\\\\\\\\E\\\\Q'), '\\\\E')"
+    new = f"replace(replace({a[2]}, '\\\\', '\\\\\\\\'), '$', '\\\\$')"
+    return f"CASE WHEN {a[1]} = '' THEN {a[0]} ELSE regexp_replace({a[0]}, {plain}, {new}) END"
+
+
 #: name: (fewest, most arguments, function of texts and types to text and type)
 FUNCTIONS = {
     "LEFT": (2, 2, lambda a, t: (f"left({a[0]}, {a[1]})", "string")),
     "RIGHT": (2, 2, lambda a, t: (f"right({a[0]}, {a[1]})", "string")),
-    "REPLACE": (3, 3, lambda a, t: (f"regexp_replace({a[0]}, concat('(?i)\\\\Q', {a[1]}, '\\\\E'), replace(replace({a[2]}, '\\\\', '\\\\\\\\'), '$', '\\\\$'))", "string")),
+    "REPLACE": (3, 3, lambda a, t: (_replace(a), "string")),
     "LEN": (1, 1, lambda a, t: (f"length(rtrim({a[0]}))", "int")),
     "DATALENGTH": (1, 1, _datalength),
     "SUBSTRING": (3, 3, lambda a, t: (f"substring({a[0]}, greatest({a[1]}, 1), {a[2]})", "string")),
@@ -274,7 +352,7 @@ FUNCTIONS = {
     "ROUND": (2, 3, _round),
     "JSON_VALUE": (2, 2, lambda a, t: (_json(a, True), "string")),
     "JSON_QUERY": (1, 2, lambda a, t: (_json(a, False), "string")),
-    "JSON_PATH_EXISTS": (2, 2, lambda a, t: (f"CASE WHEN {a[0]} IS NULL THEN NULL WHEN get_json_object({a[0]}, {_json_path(a[1])[0]}) IS NOT NULL THEN 1 ELSE 0 END", "int")),
+    "JSON_PATH_EXISTS": (2, 2, lambda a, t: (f"CASE WHEN {a[0]} IS NULL THEN NULL WHEN try_variant_get(try_parse_json({a[0]}), {_json_path(a[1])[0]}, 'variant') IS NOT NULL THEN 1 ELSE 0 END", "int")),
     "ISJSON": (1, 2, lambda a, t: (_isjson(a), "int")),
     "NEWID": (0, 0, lambda a, t: ("uuid()", "uniqueidentifier")),
     "CREATELOOKUP": (2, 2, lambda a, t: (f"named_struct('logicalname', {a[0]}, 'id', {a[1]})", None)),

@@ -159,7 +159,10 @@ class Session:
         step = f"SELECT t.{ident(a)} FROM {view} t JOIN h ON t.{ident(b)} = h.k WHERE t.{ident(key)} <> t.{ident(parent)}"
         if op in ("above", "eqorabove"):
             step += f" AND t.{ident(parent)} IS NOT NULL"
-        rows = self.spark.sql(f"WITH RECURSIVE h(k) MAX RECURSION LEVEL 1000 AS ({anchor} UNION ALL {step}) SELECT DISTINCT k FROM h")
+        # the path keeps a member from being met again below itself, so that cycles end
+        anchor = f"SELECT k, array(k) AS p FROM ({anchor})"
+        step = step.replace(f"SELECT t.{ident(a)} FROM", f"SELECT t.{ident(a)}, concat(h.p, array(t.{ident(a)})) FROM") + f" AND NOT array_contains(h.p, t.{ident(a)})"
+        rows = self.spark.sql(f"WITH RECURSIVE h(k, p) MAX RECURSION LEVEL 1000 AS ({anchor} UNION ALL {step}) SELECT DISTINCT k FROM h")
         name = f"{self.prefix}_h{uuid.uuid4().hex[:8]}"
         rows.createOrReplaceTempView(name)
         return f"({column} {'NOT ' if op == 'notunder' else ''}IN (SELECT k FROM {name}))" if op != "notunder" else f"({column} NOT IN (SELECT k FROM {name}) AND {column} <> {start})"
@@ -197,6 +200,8 @@ class Session:
     # -- temporary tables
     def _folder(self) -> str:
         found = self.spark.conf.get("spark.checkpoint.dir", None) or self.spark.sparkContext.getCheckpointDir()
+        if not found and not self.spark.sparkContext.master.startswith("local"):
+            raise TSqlError("Temporary tables need a folder that all executors share: set spark.checkpoint.dir.", 40517)
         return f"{(found or tempfile.gettempdir()).rstrip('/')}/lodestone-temp/{self.prefix}"
 
     def write_temp(self, name: str, frame: DataFrame) -> int:
@@ -207,11 +212,24 @@ class Session:
             frame = frame.withColumn(HIDDEN, F.monotonically_increasing_id())
         frame.write.parquet(path)
         stored = self.spark.read.schema(frame.schema).parquet(path)
+        info["paths"] = [path]
         self.register(name, stored)
         info["next"] = (stored.agg(F.max(HIDDEN)).first()[0] or 0) + 1
         return info["next"]
 
 
+    def append_temp(self, name: str, new: DataFrame) -> int:
+        """Add rows to a temporary table: one more folder of files. Returns how many there are."""
+        info = self.temp[name.lower()]
+        path = f"{self._folder()}/{uuid.uuid4().hex}"
+        new.write.parquet(path)
+        n, last = self.spark.read.schema(new.schema).parquet(path).agg(F.count("*"), F.max(HIDDEN)).first()
+        info["paths"].append(path)
+        info["next"] = max(info["next"], (last or 0) + 1)
+        self.register(name, self.spark.read.schema(new.schema).parquet(*info["paths"]))
+        return n
+
+
 def _kind(value) -> str | None:
     return {bool: "bit", int: "int" if isinstance(value, int) and abs(value) < 2**31 else "bigint", float: "float", str: "string", bytes: "binary", dt.date: "date", dt.datetime: "datetime2"}.get(type(value), "string" if value is not None else "null")
 
@@ -336,7 +354,7 @@ class Run:
         if not body.source:
             rows = [frame.first()]
         elif any(_uses(i[0], own) or i[3] != "=" for i in body.items):
-            raise unsupported("Accumulating assignment over rows")
+            return self.accumulate(query, own)
         else:
             rows = frame.tail(1)
         self.s.state["@@rowcount"] = len(rows)
@@ -344,6 +362,31 @@ class Run:
             for (_, _, name, op), value in zip(body.items, row):
                 self.put(name, op, value)
 
+    def accumulate(self, query: Query, own: set) -> None:
+        """SELECT @v = @v + x, or @v += x: rows come one after another and add to the variables."""
+        items = query.body.items
+        added = []
+        for i, (x, alias, name, op) in enumerate(items):
+            if op == "=" and isinstance(x, tuple) and x[:2] == ("bin", "+") and x[2][0] == "var" and x[2][1].lower() == name.lower():
+                x, op = x[3], "+="
+            if op not in ("=", "+=") or _uses(x, own):
+                raise unsupported("An assignment over rows other than the sum of a variable and an expression")
+            added.append((name, op))
+            items[i] = (x, alias or f"a{i}", None, "=")
+        frame, _ = self.s.frame_of(query)
+        total = {name: self.s.variable(name)[1] for name, _ in added}
+        n = 0
+        for row in frame.toLocalIterator():
+            n += 1
+            for (name, op), value in zip(added, row):
+                old = total[name]
+                text = isinstance(old, str) or isinstance(value, str)
+                total[name] = value if op == "=" else None if old is None or value is None else f"{old}{value}" if text else old + value
+        self.s.state["@@rowcount"] = n
+        for name, value in total.items():
+            if n:
+                self.put(name, "=", value)
+
     def put(self, name: str, op: str, value) -> None:
         kind, old = self.s.variable(name)
         text = literal(value, _kind(value))
@@ -532,7 +575,7 @@ class Run:
         for c in columns:
             if c.lower() not in known:
                 raise TSqlError(f"Invalid column name '{c}'.", 207)
-        given = {known[c.lower()]: frame[i] if False else F.col(f"__{i}") for i, c in enumerate(columns)}
+        given = {known[c.lower()]: F.col(f"__{i}") for i, c in enumerate(columns)}
         frame = frame.toDF(*(f"__{i}" for i in range(len(own))))
         parts = [(given[c] if c in given else F.lit(None)).cast(spark_type(k)).alias(c) for c, k in info["columns"].items()]
         new = frame.select(*parts)
@@ -540,9 +583,7 @@ class Run:
             new = new.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(f"Cannot insert the value NULL into column '{c}'."))).otherwise(F.col(c)))
         new = new.withColumn(HIDDEN, F.monotonically_increasing_id() + info["next"])
         old = self.s.frames[st.name.lower()]
-        before = old.count()
-        self.s.write_temp(st.name, old.unionByName(new))
-        self.count(self.s.frames[st.name.lower()].count() - before)
+        self.count(self.s.append_temp(st.name, new.select(old.columns)))
         self.s.state["@@identity"] = info["next"] - 1
 
     def count(self, n: int) -> None:

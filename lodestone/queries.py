@@ -37,7 +37,7 @@ _add("unary_ops", "SELECT n_nationkey, -n_regionkey AS m, +n_regionkey AS p FROM
 _add("col_compare", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = l_suppkey OR l_quantity !< 49 AND l_linenumber !> 2", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey = l_suppkey OR l_quantity >= 49 AND l_linenumber <= 2")
 _add("string_concat", "SELECT n_nationkey, n_name + '-' + CAST(n_regionkey AS varchar(10)) AS s, '1' + 2 AS three FROM nation", "SELECT n_nationkey, n_name || '-' || CAST(n_regionkey AS varchar) AS s, 3 AS three FROM nation")
 _add("collate_ci", "SELECT n_nationkey FROM nation WHERE n_name COLLATE Latin1_General_CI_AS = 'nation_3' COLLATE Latin1_General_CI_AS OR n_name = 'x'", "SELECT n_nationkey FROM nation WHERE lower(n_name) = 'nation_3'")
-_add("decimal_scale", "SELECT l_orderkey, l_linenumber, " + PRICE + " * (1 - " + DISC + ") AS d FROM lineitem WHERE l_linenumber = 1", "SELECT l_orderkey, l_linenumber, CAST(" + PRICE + " * (1 - " + DISC + ") AS DECIMAL(38,8)) AS d FROM lineitem WHERE l_linenumber = 1")
+_add("decimal_scale", "SELECT l_orderkey, l_linenumber, " + PRICE + " * (1 - " + DISC + ") AS d FROM lineitem", "SELECT l_orderkey, l_linenumber, CAST(" + PRICE + " * (1 - " + DISC + ") AS DECIMAL(38,8)) AS d FROM lineitem")
 # joins
 _add("join_inner", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey")
 _add("join_left", "SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 100000")
@@ -198,6 +198,33 @@ _add("sp_executesql", "DECLARE @n bigint; EXEC sp_executesql N'SELECT @c = COUNT
 CATALOGUE["metadata_entity"] = ("SELECT logicalname, attributecount FROM metadata.entity WHERE logicalname = 'nation'", "SELECT 'nation' AS logicalname, 3 AS attributecount")
 CATALOGUE["metadata_attribute_join"] = ("SELECT e.logicalname, a.logicalname AS attribute FROM metadata.entity e JOIN metadata.attribute a ON a.entitylogicalname = e.logicalname WHERE e.logicalname = 'region'", "SELECT * FROM (VALUES ('region', 'r_regionkey'), ('region', 'r_name')) t(logicalname, attribute)")
 
+# the same predicates over rows of which some are kept and some are not
+_shifted = "(SELECT event_id, DATEADD(day, event_id % 900 - 450, ts) AS d FROM events) AS e"
+_moved = "(SELECT event_id, ts + to_days(CAST(event_id % 900 - 450 AS INTEGER)) AS d FROM events) AS e"
+for _name, _tsql, _low, _high in (
+    ("thismonth", "thismonth()", "2024-01-01", "2024-02-01"), ("lastmonth", "lastmonth()", "2023-12-01", "2024-01-01"), ("nextmonth", "nextmonth()", "2024-02-01", "2024-03-01"),
+    ("thisyear", "thisyear()", "2024-01-01", "2025-01-01"), ("lastyear", "lastyear()", "2023-01-01", "2024-01-01"), ("nextyear", "nextyear()", "2025-01-01", "2026-01-01"),
+    ("nextweek", "nextweek()", "2024-01-21", "2024-01-28"), ("thisfiscalperiod", "thisfiscalperiod()", "2024-01-01", "2024-04-01"), ("lastfiscalperiod", "lastfiscalperiod()", "2023-10-01", "2024-01-01"),
+    ("thisfiscalyear", "thisfiscalyear()", "2024-01-01", "2025-01-01"), ("lastfiscalyear", "lastfiscalyear()", "2023-01-01", "2024-01-01"), ("infiscalyear", "infiscalyear(2023)", "2023-01-01", "2024-01-01"),
+    ("infiscalperiodandyear", "infiscalperiodandyear(2, 2024)", "2024-04-01", "2024-07-01"),
+):
+    _add(f"filter_{_name}_some", f"SELECT event_id FROM {_shifted} WHERE d = {_tsql}", f"SELECT event_id FROM {_moved} WHERE d >= TIMESTAMP '{_low}' AND d < TIMESTAMP '{_high}'")
+_add("anti_not_in_some", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
+_add("anti_not_in_null", "SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT NULLIF(r_regionkey, 1) FROM region)")
+_add("anti_not_exists_some", "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 300000)")
+_add("except_some", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
+_add("like_empty_sets", "SELECT p_partkey, CASE WHEN p_name LIKE '%[z-a]%' THEN 1 ELSE 0 END AS a, CASE WHEN p_name LIKE '%[^a-m ]' THEN 1 ELSE 0 END AS b FROM part", "SELECT p_partkey, 0 AS a, CASE WHEN regexp_matches(p_name, '[^a-m ]$') THEN 1 ELSE 0 END AS b FROM part")
+_add("cast_tinyint", "SELECT p_partkey, TRY_CAST(p_partkey * 3 AS tinyint) AS t FROM part", "SELECT p_partkey, CASE WHEN p_partkey * 3 BETWEEN 0 AND 255 THEN p_partkey * 3 END AS t FROM part")
+_add("replace_marks", "SELECT p_partkey, REPLACE(p_name + '\\E.$1', '\\E.$', p_brand + '$') AS s, REPLACE(p_name, '', 'x') AS t FROM part", "SELECT p_partkey, p_name || p_brand || '$1' AS s, p_name AS t FROM part")
+_add("json_path_exists_null", "SELECT event_id, JSON_PATH_EXISTS(CASE WHEN event_id % 3 = 0 THEN '{\"a\":null}' WHEN event_id % 3 = 1 THEN '{\"a\":1}' ELSE '{\"b\":1}' END, '$.a') AS x FROM events", "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN 0 ELSE 1 END AS x FROM events")
+_add("isjson_kinds", "SELECT event_id, ISJSON(props, OBJECT) AS o, ISJSON(props, ARRAY) AS a, ISJSON(event_type) AS n FROM events", "SELECT event_id, 1 AS o, 0 AS a, 0 AS n FROM events")
+_add("json_value_bracket", "SELECT p_partkey, JSON_VALUE('{\"a\":\"[' + p_name + '\",\"b\":[1]}', '$.a') AS a, JSON_VALUE('{\"a\":\"[' + p_name + '\",\"b\":[1]}', '$.b') AS b FROM part", "SELECT p_partkey, '[' || p_name AS a, CAST(NULL AS VARCHAR) AS b FROM part")
+_add("format_currency", "SELECT n_nationkey, FORMAT(n_nationkey * 1234.5, 'C') AS us, FORMAT(n_nationkey * 1234.5, 'C2', 'de-DE') AS de, FORMAT(n_regionkey - 2, 'N1', 'es-ES') AS es FROM nation", "SELECT n_nationkey, '$' || format('{:,.2f}', n_nationkey * 1234.5) AS us, translate(format('{:,.2f}', n_nationkey * 1234.5), ',.', '.,') || ' €' AS de, translate(format('{:.1f}', CAST(n_regionkey - 2 AS DOUBLE)), '.', ',') AS es FROM nation")
+_add("fn_datename_words", "SELECT event_id, DATENAME(month, ts) AS m, DATENAME(weekday, ts) AS w, DATENAME(year, ts) AS y FROM events", "SELECT event_id, monthname(ts) AS m, dayname(ts) AS w, CAST(year(ts) AS VARCHAR) AS y FROM events")
+_add("select_accumulate", "DECLARE @n bigint = 0, @s varchar(max) = ''; SELECT @n = @n + n_nationkey * n_regionkey, @s += n_name + ';' FROM nation ORDER BY n_nationkey DESC; SELECT @n AS n, @s AS s", "SELECT CAST(sum(n_nationkey * n_regionkey) AS BIGINT) AS n, string_agg(n_name || ';', '' ORDER BY n_nationkey DESC) AS s FROM nation")
+_add("set_dateformat", "SET DATEFORMAT dmy; SELECT o_orderkey, CAST('13/02/1999' AS date) AS d FROM orders WHERE o_orderdate < CAST('13 Feb 1999' AS datetime)", "SELECT o_orderkey, DATE '1999-02-13' AS d FROM orders WHERE o_orderdate < TIMESTAMP '1999-02-13'")
+_add("temp_table_appends", "CREATE TABLE #a (k int); DECLARE @i int = 0; WHILE @i < 3 BEGIN INSERT INTO #a SELECT n_nationkey + @i FROM nation; SET @i += 1 END; SELECT k, COUNT(*) AS n FROM #a GROUP BY k", "SELECT n_nationkey + i AS k, COUNT(*) AS n FROM nation, range(3) r(i) GROUP BY 1")
+
 
 def session(spark: SparkSession, sf_dir: str) -> Session:
     found = Session.over(spark, sf_dir, now=NOW)
