@@ -3,8 +3,9 @@
 Suffixes are first put in buckets by a q-gram. Only sampled ones enter: of each 100-byte window the
 q-gram with the smallest hash, so that two equal windows sample the same place. The hashes are built by
 doubling, a place's 2k-gram from the identifiers of the k-grams at it and k places on. Buckets of one
-member are done; the others are refined by the identifiers of later (and earlier) offsets, each step
-reusing the one before, until a bucket holds equal windows, of which the first start stays."""
+member are done; the others are refined by sorting on the 8-grams at later (and earlier) offsets, each
+step starting from the bucket pointers of the one before, until all bytes of the windows are compared;
+of equal windows the first start stays."""
 
 from __future__ import annotations
 
@@ -15,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blobs
 from .common import partitions, sliced, text_bytes
 from .textkernel import mix
 
 GRAM = 40
+#: Texts are dealt to bins of about so many bytes, of which a task holds one at a time.
+BIN_BYTES = 64 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -71,98 +75,67 @@ def first_starts(gram: np.ndarray, order: np.ndarray, context: np.ndarray, low:
     """For each row a boolean by offset o (0..width - GRAM): whether its window that holds the gram at
     offset o also starts earlier, in a row of smaller order with the same gram.
 
-    context: bytes around the gram, width - GRAM on its left, and from its first byte on ``width``. The
-    buckets (grams) are refined outwards byte by byte: an identifier of the first k bytes to the right,
-    or to the left, comes from the one of k - 1 and the next byte; a window's class is the pair."""
+    context: bytes around the gram, width - GRAM on its left, and from its first byte on ``width``. Rows
+    that agree in so many bytes to the right, or to the left, have one pointer; a window's class is the
+    pair of both."""
     span = width - GRAM
     n = len(gram)
     later = np.zeros((n, span + 1), bool)
-    base = np.unique(gram, return_inverse=True)[1].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        right = np.empty((span + 1, n), np.uint64)
-        run = mix(base + _A)
-        for k in range(width):
-            run = (run ^ (context[:, span + k].astype(np.uint64) + np.uint64(1))) * _B
-            run ^= run >> np.uint64(32)
-            if k >= GRAM - 1:
-                right[k - GRAM + 1] = run
-        left = mix(base + _B)
-        for o in range(span + 1):
-            if o:
-                left = (left ^ (context[:, span - o].astype(np.uint64) + np.uint64(1))) * _A
-                left ^= left >> np.uint64(32)
-            rows = np.flatnonzero((low <= o) & (o <= high))
-            if not len(rows):
-                continue
-            key = mix(left[rows] * _A + right[span - o][rows])
-            by = np.lexsort((order[rows], key))
-            same = key[by][1:] == key[by][:-1]
-            later[rows[by[1:][same]], o] = True
+    bucket = np.unique(gram, return_inverse=True)[1]
+    right, right_common = refined(bucket, context[:, span:])
+    left, left_common = refined(bucket, context[:, :span][:, ::-1])
+    for o in range(span + 1):
+        rows = np.flatnonzero((low <= o) & (o <= high))
+        if len(rows) < 2:
+            continue
+        key = pointers(left, left_common, o)[rows] * n + pointers(right, right_common, width - o)[rows]
+        by = np.lexsort((order[rows], key))
+        same = key[by][1:] == key[by][:-1]
+        later[rows[by[1:][same]], o] = True
     return later
 
 
-class Blob:
-    """Arrays of one shuffle target in one row, so that no row of the engine stands for an anchor."""
-
-    @staticmethod
-    def rows(target: np.ndarray, arrays: list[np.ndarray], targets: int):
-        """(target, [bytes of each array]) for all targets that have rows."""
-        by = np.argsort(target, kind="stable")
-        cuts = np.searchsorted(target[by], np.arange(targets + 1))
-        arrays = [a[by] for a in arrays]
-        for t in np.flatnonzero(np.diff(cuts)).tolist():
-            yield t, [np.ascontiguousarray(a[cuts[t] : cuts[t + 1]]).tobytes() for a in arrays]
-
-
-def _batch(rows: list, names: list[str]) -> pa.RecordBatch:
-    cols = list(zip(*((t, *blobs) for t, blobs in rows)))
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=names)
-
-
-def _flushing(pieces, names, targets, most=8 << 20):
-    """pieces: (target, arrays). Gathers pieces and yields their blobs by target."""
-    held, size = [], 0
-    for target, arrays in pieces:
-        held.append((target, arrays))
-        size += sum(a.nbytes for a in arrays)
-        if size >= most:
-            yield _batch(list(_merge(held, targets)), names)
-            held, size = [], 0
-    rows = list(_merge(held, targets)) if held else []
-    if rows:
-        yield _batch(rows, names)
-
-
-def _merge(held, targets):
-    target = np.concatenate([t for t, _ in held])
-    arrays = [np.concatenate([a[i] for _, a in held]) for i in range(len(held[0][1]))]
-    return Blob.rows(target, arrays, targets)
-
-
-def _read(batches, kinds: list) -> list[np.ndarray]:
-    """All rows of a partition's blobs, by column."""
-    parts: list[list[np.ndarray]] = [[] for _ in kinds]
-    for batch in batches:
-        for i in range(len(kinds)):
-            column = batch.column(i + 1)
-            if len(column):
-                _, offsets, data = column.buffers()
-                marks = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-                if marks[-1] > marks[0]:
-                    parts[i].append(np.frombuffer(data, np.uint8)[marks[0] : marks[-1]])
-    raw = [np.concatenate(p) if p else np.zeros(0, np.uint8) for p in parts]
-    return [r.view(k[0]).reshape(-1, k[1]) if isinstance(k, tuple) else r.view(k) for r, k in zip(raw, kinds)]
-
-
-def _give_back() -> None:
-    """Return freed memory to the system between tasks of a worker."""
-    import ctypes
-
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
-    except (OSError, AttributeError):
-        pass
+def refined(bucket: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): rows by bucket and then by their bytes, and for each place of that order how many
+    first bytes its row shares with the one before; -1 where a bucket begins.
+
+    Buckets are refined in steps of eight bytes: in a step the rows of buckets that still have several
+    are sorted by their bucket's pointer and the 8-gram at the next offset. A pointer is the place in the
+    order where a bucket begins, so a split leaves the pointers of all other buckets as they are."""
+    n, size = data.shape
+    words = -(-size // 8)
+    padded = np.zeros((n, 8 * words), np.uint8)
+    padded[:, :size] = data
+    grams = padded.view(">u8")
+    order = np.argsort(bucket, kind="stable")
+    begins = np.concatenate(([True], bucket[order][1:] != bucket[order][:-1])) if n else np.zeros(0, bool)
+    common = np.where(begins, -1, size)
+    for step in range(words):
+        pointer = np.maximum.accumulate(np.where(begins, np.arange(n), 0))
+        alone = begins & np.concatenate((begins[1:], [True])) if n else begins
+        active = np.flatnonzero(~alone)
+        if not len(active):
+            break
+        rows = order[active]
+        word = grams[rows, step].astype(np.uint64)
+        by = np.lexsort((word, pointer[active]))
+        order[active] = rows[by]
+        word = word[by]
+        split = np.flatnonzero((word[1:] != word[:-1]) & ~begins[active[1:]])
+        differ = word[split + 1] ^ word[split]
+        same = np.zeros(len(split), np.int64)
+        for k in range(1, 8):
+            same += differ < np.uint64(1) << np.uint64(64 - 8 * k)
+        common[active[split + 1]] = np.minimum(8 * step + same, size)
+        begins[active[split + 1]] = True
+    return order, common
+
+
+def pointers(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """For each row a number that rows of its bucket share if their first ``length`` bytes are equal."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < length)
+    return out
 
 
 def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
@@ -178,10 +151,12 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     in very many documents sends one row for each task, not one for each document."""
     spark = docs.sparkSession
     n = partitions(spark)
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bins = n * max(1, -(-int(total) // (BIN_BYTES * n)))
     span = width - GRAM
     # ord: documents compare by (doc_id, hash); packed as two 64-bit words that sort as unsigned
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("th"))
-    source = source.withColumn("bin", F.pmod("th", F.lit(n)).cast("int"))
+    source = source.withColumn("bin", F.pmod("th", F.lit(bins)).cast("int"))
     dealt = source.repartition(n, "bin")
 
     def order_words(batch) -> tuple[np.ndarray, np.ndarray]:
@@ -201,27 +176,27 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                         continue
                     d, h = order_words(piece)
                     b = piece.column(3).to_numpy(zero_copy_only=False)
-                    yield (gram % np.uint64(n)).astype(np.int64), [gram, d[text], h[text], place.astype("<u4"), b[text].astype("<i4")]
+                    yield (gram % np.uint64(bins)).astype(np.int64), [gram, d[text], h[text], place.astype("<u4"), b[text].astype("<i4")]
 
-        yield from _flushing(pieces(), ["t", "gram", "d", "h", "place", "bin"], n)
+        yield from blobs.flushing(pieces(), ["t", "gram", "d", "h", "place", "bin"])
 
     grams = source.mapInArrow(sample, "t int, gram binary, d binary, h binary, place binary, bin binary")
 
     def repeated(batches):
         """Grams that occur twice, back to their texts' bins: (bin: gram, doc word, hash word, place)."""
-        gram, d, h, place, b = _read(batches, ["<u8", "<u8", "<u8", "<u4", "<i4"])
-        if not len(gram):
-            return
-        by = np.argsort(gram, kind="stable")
-        g = gram[by]
-        same = np.zeros(len(g), bool)
-        equal = g[1:] == g[:-1]
-        same[1:] |= equal
-        same[:-1] |= equal
-        by = by[same]
-        yield from _flushing([(b[by].astype(np.int64), [d[by], h[by], place[by]])] if len(by) else [], ["bin", "d", "h", "place"], n)
-
-    found = grams.repartition(n, "t").mapInArrow(repeated, "bin int, d binary, h binary, place binary")
+        for _, parts, _ in blobs.runs(batches, 1 << 62):
+            gram, d, h, place, b = blobs.read(parts, ["<u8", "<u8", "<u8", "<u4", "<i4"])
+            by = np.argsort(gram, kind="stable")
+            g = gram[by]
+            same = np.zeros(len(g), bool)
+            equal = g[1:] == g[:-1]
+            same[1:] |= equal
+            same[:-1] |= equal
+            by = by[same]
+            if len(by):
+                yield from blobs.flushing([(b[by].astype(np.int64), [d[by], h[by], place[by]])], ["bin", "d", "h", "place"])
+
+    found = grams.repartition(n, "t").sortWithinPartitions("t").mapInArrow(repeated, "bin int, d binary, h binary, place binary")
 
     def contexts(key, texts, hits):
         """The texts of a bin and its repeated places: contexts to the grams' targets, and at once the
@@ -259,18 +234,18 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                 column = np.arange(span + width)
                 around[(column < (span - high)[:, None]) | (column >= (span + width - low)[:, None])] = 0
                 settled = _settle(gram, dw, hw, copy, at, low, high, around)
-                out = [((gram % np.uint64(n)).astype(np.int64), [gram, dw, hw, copy, low, high, at, around, settled.astype(np.uint8)])]
+                out = [((gram % np.uint64(bins)).astype(np.int64), [gram, dw, hw, copy, low, high, at, around, settled.astype(np.uint8)])]
         rows = []
         if out:
             target, arrays = out[0]
             free = arrays[-1] == 0
-            rows += Blob.rows(target[free], [a[free] for a in arrays], n)
+            rows += blobs.by_target(target[free], [a[free] for a in arrays])
             done = ~free
             if done.any():  # settled ones only need to come back: their windows all start earlier
                 rows += [(int(-1 - key[0].as_py()), [np.ascontiguousarray(a[done]).tobytes() if i != 7 else b"" for i, a in enumerate(arrays)])]
-        _give_back()
+        blobs.give_back()
         if rows:
-            return pa.Table.from_batches([_batch(rows, names)])
+            return pa.Table.from_batches([blobs.batch(rows, names)])
         return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in names[1:])], names=names)
 
     kinds = ["<u8", "<u8", "<u8", "<u4", "<i4", "<i4", "<u4", ("u1", span + width), "u1"]
@@ -279,48 +254,43 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
     def removed(batches):
         """Classes of equal windows: (bin: doc word, hash word, copy, start, end) of what is covered."""
-        held, back = [], []
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            if (at >= 0).any():
-                held.append(batch.filter(pa.array(at >= 0)))
-            if (at < 0).any():
-                back.append(batch.filter(pa.array(at < 0)))
         names = ["bin", "d", "h", "copy", "start", "end"]
-        pieces = []
-        for batch in back:
-            gram, d, h, copy, low, high, place = _read([batch], kinds[:7])
-            # runs of all windows that sample the gram
-            start = place.astype(np.int64) - high
-            end = place.astype(np.int64) - low + width
-            pieces.append(((h.view(np.int64) % n).astype(np.int64), [d, h, copy, start.astype("<u4"), end.astype("<u4")]))
-        if held:
-            gram, d, h, copy, low, high, place, context, _ = _read(held, kinds)
-            order = np.empty(len(gram), np.int64)
-            order[np.lexsort((place, copy, h, d))] = np.arange(len(gram))
-            by = np.argsort(gram, kind="stable")
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(gram[by])) + 1, [len(by)]))
-            a = 0
-            while a < len(by):  # whole buckets, some thousand rows at once
-                b = int(cuts[max(np.searchsorted(cuts, a + 16384, "right") - 1, np.searchsorted(cuts, a, "right"))])
-                own = by[a:b]
-                a = b
-                rows, offset = np.nonzero(first_starts(gram[own], order[own], context[own], low[own], high[own], width))
-                if not len(rows):
+
+        def pieces():
+            for target, parts, _ in blobs.runs(batches, 1 << 62):
+                if target < 0:  # settled: runs of all windows that sample the gram
+                    for part in parts:
+                        gram, d, h, copy, low, high, place = blobs.read([part], kinds[:7])
+                        start = place.astype(np.int64) - high
+                        end = place.astype(np.int64) - low + width
+                        yield (h.view(np.int64) % bins).astype(np.int64), [d, h, copy, start.astype("<u4"), end.astype("<u4")]
                     continue
-                rows = own[rows]  # neighbouring offsets are one run
-                new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (offset[1:] != offset[:-1] + 1)))
-                head = np.flatnonzero(new)
-                tail = np.concatenate((head[1:], [len(rows)])) - 1
-                r = rows[head]
-                start = place[r].astype(np.int64) - offset[tail]
-                end = place[r].astype(np.int64) - offset[head] + width
-                pieces.append(((h[r].view(np.int64) % n).astype(np.int64), [d[r], h[r], copy[r], start.astype("<u4"), end.astype("<u4")]))
-            del context, held
-        yield from _flushing(pieces, names, n)
-        _give_back()
-
-    spans = around.repartition(n, "t").mapInArrow(removed, "bin int, d binary, h binary, copy binary, start binary, end binary")
+                gram, d, h, copy, low, high, place, context, _ = blobs.read(parts, kinds)
+                order = np.empty(len(gram), np.int64)
+                order[np.lexsort((place, copy, h, d))] = np.arange(len(gram))
+                by = np.argsort(gram, kind="stable")
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(gram[by])) + 1, [len(by)]))
+                a = 0
+                while a < len(by):  # whole buckets, some thousand rows at once
+                    b = int(cuts[max(np.searchsorted(cuts, a + 16384, "right") - 1, np.searchsorted(cuts, a, "right"))])
+                    own = by[a:b]
+                    a = b
+                    rows, offset = np.nonzero(first_starts(gram[own], order[own], context[own], low[own], high[own], width))
+                    if not len(rows):
+                        continue
+                    rows = own[rows]  # neighbouring offsets are one run
+                    new = np.concatenate(([True], (rows[1:] != rows[:-1]) | (offset[1:] != offset[:-1] + 1)))
+                    head = np.flatnonzero(new)
+                    tail = np.concatenate((head[1:], [len(rows)])) - 1
+                    r = rows[head]
+                    start = place[r].astype(np.int64) - offset[tail]
+                    end = place[r].astype(np.int64) - offset[head] + width
+                    yield (h[r].view(np.int64) % bins).astype(np.int64), [d[r], h[r], copy[r], start.astype("<u4"), end.astype("<u4")]
+
+        yield from blobs.flushing(pieces(), names)
+        blobs.give_back()
+
+    spans = around.repartition(n, "t").sortWithinPartitions("t").mapInArrow(removed, "bin int, d binary, h binary, copy binary, start binary, end binary")
 
     def joined(key, texts, runs):
         d, h, copy, start, end = _concat(runs, ["<u8", "<u8", "<u4", "<u4", "<u4"])
@@ -350,7 +320,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
 
 def _concat(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
-    return _read(table.to_batches(), kinds)
+    return blobs.read(table.to_batches(), kinds)
 
 
 def _places(d: np.ndarray, h: np.ndarray, place: np.ndarray) -> dict:
@@ -370,9 +340,15 @@ def _settle(gram, d, h, copy, place, low, high, around) -> np.ndarray:
             key = (key ^ (around[:, k].astype(np.uint64) + np.uint64(1))) * _B
             key ^= key >> np.uint64(32)
     by = np.lexsort((place, copy, h, d, key))
-    k = key[by]
+    one, two = by[:-1], by[1:]
+    near = np.flatnonzero(key[one] == key[two])
+    one, two = one[near], two[near]  # equal hashes: then the bytes decide
+    same = (gram[one] == gram[two]) & (low[one] == low[two]) & (high[one] == high[two])
+    for a in range(0, len(one), 1 << 14):
+        part = slice(a, a + (1 << 14))
+        same[part] &= (around[one[part]] == around[two[part]]).all(axis=1)
     out = np.zeros(len(key), bool)
-    out[by[1:][(k[1:] == k[:-1]) & (gram[by][1:] == gram[by][:-1])]] = True
+    out[two[same]] = True
     return out
 
 

@@ -59,7 +59,7 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> Wo
     if not n:
         none = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), none, none, none)
-    folded = table[data]
+    folded = np.frombuffer(data.tobytes().translate(table.tobytes()), np.uint8)
     inside = folded != 32
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -73,7 +73,8 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> Wo
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n), out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * _table(_INVERSE, n)[starts])
-    return Words(hashes, starts, ends, np.searchsorted(offsets, starts, "right") - 1)
+    counts = np.diff(np.searchsorted(starts, offsets))
+    return Words(hashes, starts, ends, np.repeat(np.arange(len(counts)), counts))
 
 
 def range_sums(hashes: np.ndarray) -> np.ndarray:

@@ -563,6 +563,44 @@ def test_substrings(spark, hard):
     assert substrings.GRAM < 100
 
 
+@pytest.mark.parametrize(("seed", "bin_bytes"), [(1, 64 << 20), (2, 700)])
+def test_substrings_of_random_texts(spark, monkeypatch, seed, bin_bytes):
+    """Passages that overlap, repeat within a text, and go on differently, against sets of all strings."""
+    monkeypatch.setattr(substrings, "BIN_BYTES", bin_bytes)
+    rng = random.Random(seed)
+    letters = lambda n: "".join(rng.choice("abé ") for _ in range(n))
+    passages = [letters(rng.randint(60, 260)) for _ in range(8)] + ["ab" * 120]
+    texts = [rng.choice(["", letters(30)]) + "".join(rng.choice(passages)[rng.randint(0, 40) :] + letters(rng.choice([0, 0, 1, 20])) for _ in range(rng.randint(1, 5))) for _ in range(40)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        b = t.encode()
+        hit = np.zeros(len(b), bool)
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                hit[p : p + 100] = True
+            seen.add(b[p : p + 100])
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(int)))
+        want[i] = edges.reshape(-1, 2).tolist()
+    rows = substrings.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: [[a, b] for a, b in zip(r["starts"], r["ends"])] for r in rows} == want
+    assert sum(map(len, want.values())) > 30
+
+
+def test_buckets_are_refined_by_their_bytes():
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 2, (300, 21)).astype(np.uint8) * 255
+    data[::7] = data[0]
+    bucket = rng.integers(0, 4, 300)
+    order, common = substrings.refined(bucket, data)
+    assert [(bucket[i], bytes(data[i])) for i in order.tolist()] == sorted((b, bytes(x)) for b, x in zip(bucket, data))
+    for length in (0, 1, 8, 9, 21):
+        got = substrings.pointers(order, common, length)
+        names = {}
+        for i in range(300):
+            names.setdefault((bucket[i], bytes(data[i][:length])), set()).add(int(got[i]))
+        assert all(len(x) == 1 for x in names.values()) and len(set.union(*names.values())) == len(names)
+
+
 def test_licenses(spark, hard):
     got = run(spark, "op10", hard)
     assert [(r["doc_id"], r["licenses"]) for r in got] == [(19, "Apache-2.0,proprietary")]
