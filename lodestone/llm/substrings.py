@@ -159,6 +159,28 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     source = source.withColumn("bin", F.pmod("th", F.lit(bins)).cast("int"))
     dealt = source.repartition(n, "bin")
 
+    def dealt_by(frame: DataFrame) -> DataFrame:
+        """By target; in its order only where a task has many of them: a sort holds rows of megabytes."""
+        frame = frame.repartition(n, "t")
+        return frame.sortWithinPartitions("t") if bins > n else frame
+
+    def targets(batches):
+        """(whether settled, batches) of one target after another, or of a task's few targets together."""
+        if bins > n:
+            for target, parts, _ in blobs.runs(batches, 1 << 62):
+                yield target < 0, parts
+            return
+        held = []
+        for batch in batches:
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            if (at < 0).any():
+                yield True, [batch.filter(pa.array(at < 0))]
+                batch = batch.filter(pa.array(at >= 0))
+            if batch.num_rows:
+                held.append(batch)
+        if held:
+            yield False, held
+
     def order_words(batch) -> tuple[np.ndarray, np.ndarray]:
         ids = batch.column(0)
         raw = ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False).view(np.uint64) ^ np.uint64(1 << 63)
@@ -184,7 +206,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
 
     def repeated(batches):
         """Grams that occur twice, back to their texts' bins: (bin: gram, doc word, hash word, place)."""
-        for _, parts, _ in blobs.runs(batches, 1 << 62):
+        for _, parts in targets(batches):
             gram, d, h, place, b = blobs.read(parts, ["<u8", "<u8", "<u8", "<u4", "<i4"])
             by = np.argsort(gram, kind="stable")
             g = gram[by]
@@ -196,7 +218,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             if len(by):
                 yield from blobs.flushing([(b[by].astype(np.int64), [d[by], h[by], place[by]])], ["bin", "d", "h", "place"])
 
-    found = grams.repartition(n, "t").sortWithinPartitions("t").mapInArrow(repeated, "bin int, d binary, h binary, place binary")
+    found = dealt_by(grams).mapInArrow(repeated, "bin int, d binary, h binary, place binary")
 
     def contexts(key, texts, hits):
         """The texts of a bin and its repeated places: contexts to the grams' targets, and at once the
@@ -257,8 +279,8 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         names = ["bin", "d", "h", "copy", "start", "end"]
 
         def pieces():
-            for target, parts, _ in blobs.runs(batches, 1 << 62):
-                if target < 0:  # settled: runs of all windows that sample the gram
+            for settled, parts in targets(batches):
+                if settled:  # runs of all windows that sample the gram
                     for part in parts:
                         gram, d, h, copy, low, high, place = blobs.read([part], kinds[:7])
                         start = place.astype(np.int64) - high
@@ -266,6 +288,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                         yield (h.view(np.int64) % bins).astype(np.int64), [d, h, copy, start.astype("<u4"), end.astype("<u4")]
                     continue
                 gram, d, h, copy, low, high, place, context, _ = blobs.read(parts, kinds)
+                parts.clear()
                 order = np.empty(len(gram), np.int64)
                 order[np.lexsort((place, copy, h, d))] = np.arange(len(gram))
                 by = np.argsort(gram, kind="stable")
@@ -290,7 +313,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         yield from blobs.flushing(pieces(), names)
         blobs.give_back()
 
-    spans = around.repartition(n, "t").sortWithinPartitions("t").mapInArrow(removed, "bin int, d binary, h binary, copy binary, start binary, end binary")
+    spans = dealt_by(around).mapInArrow(removed, "bin int, d binary, h binary, copy binary, start binary, end binary")
 
     def joined(key, texts, runs):
         d, h, copy, start, end = _concat(runs, ["<u8", "<u8", "<u4", "<u4", "<u4"])
