@@ -23,6 +23,7 @@ from .textkernel import mix
 GRAM = 40
 #: Texts are dealt to bins of about so many bytes, of which a task holds one at a time.
 BIN_BYTES = 64 << 20
+MOST_BINS = 64  #: for each task, whatever the planner takes the size to be
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -151,8 +152,9 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     in very many documents sends one row for each task, not one for each document."""
     spark = docs.sparkSession
     n = partitions(spark)
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bins = n * max(1, -(-int(total) // (BIN_BYTES * n)))
+    # the planner's size of the files; texts take about three times as much as they do there
+    size = min(3 * int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), MOST_BINS * BIN_BYTES * n)
+    bins = n * max(1, -(-size // (BIN_BYTES * n)))
     span = width - GRAM
     # ord: documents compare by (doc_id, hash); packed as two 64-bit words that sort as unsigned
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("doc_id", "text").alias("th"))
