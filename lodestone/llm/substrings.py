@@ -153,7 +153,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
     spark = docs.sparkSession
     n = partitions(spark)
     # the planner's size of the files; texts take about three times as much as they do there
-    size = min(3 * int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()), MOST_BINS * BIN_BYTES * n)
+    size = min(3 * int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), MOST_BINS * BIN_BYTES * n)
     bins = n * max(1, -(-size // (BIN_BYTES * n)))
     span = width - GRAM
     # ord: documents compare by (doc_id, hash); packed as two 64-bit words that sort as unsigned
