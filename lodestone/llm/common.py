@@ -72,12 +72,14 @@ def sliced(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all rows, one after another, and the row offsets; null counts as empty."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     if column.null_count:
         column = pc.fill_null(column, "")
     wide = pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     kind = np.int64 if wide else np.int32
     offs = np.frombuffer(offsets, dtype=kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    if data is None or not len(column):
+    if data is None:
         return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
     return np.frombuffer(data, dtype=np.uint8)[offs[0] : offs[-1]], offs - offs[0]

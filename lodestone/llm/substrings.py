@@ -139,12 +139,15 @@ def pointers(order: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
     return out
 
 
-def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
+_SPANS = "doc_id long, text string, starts array<long>, ends array<long>"
+
+
+def repeated_spans(docs: DataFrame, width: int = 100, then=None, schema: str = _SPANS) -> DataFrame:
     """docs: doc_id, text. Returns one row per document: doc_id, text, starts, ends (arrays of bigint):
     the maximal runs of bytes covered by strings of ``width`` bytes that also start earlier, in a row
     with a smaller doc_id or before in the text. Null text is empty; rows with one doc_id stand in
     the order of a hash of their texts; null doc_ids come first. Repeated rows are all but the first
-    one repeats.
+    one repeats. then: a function of such a record batch to one of ``schema``, run in the same worker.
 
     Texts are dealt out by a hash of (doc_id, text) once; both steps that read them reuse that
     exchange. Sampled grams, contexts and spans travel as arrays, one row for each pair of tasks.
@@ -203,6 +206,7 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
                     yield (gram % np.uint64(bins)).astype(np.int64), [gram, d[text], h[text], place.astype("<u4"), b[text].astype("<i4")]
 
         yield from blobs.flushing(pieces(), ["t", "gram", "d", "h", "place", "bin"])
+        blobs.give_back()
 
     grams = source.mapInArrow(sample, "t int, gram binary, d binary, h binary, place binary, bin binary")
 
@@ -273,8 +277,8 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
         return pa.table([pa.array([], pa.int32()), *(pa.array([], pa.binary()) for _ in names[1:])], names=names)
 
     kinds = ["<u8", "<u8", "<u8", "<u4", "<i4", "<i4", "<u4", ("u1", span + width), "u1"]
-    schema = "t int, gram binary, d binary, h binary, copy binary, low binary, high binary, place binary, context binary, settled binary"
-    around = dealt.groupBy("bin").cogroup(found.groupBy("bin")).applyInArrow(contexts, schema)
+    around_as = "t int, gram binary, d binary, h binary, copy binary, low binary, high binary, place binary, context binary, settled binary"
+    around = dealt.groupBy("bin").cogroup(found.groupBy("bin")).applyInArrow(contexts, around_as)
 
     def removed(batches):
         """Classes of equal windows: (bin: doc word, hash word, copy, start, end) of what is covered."""
@@ -339,9 +343,13 @@ def repeated_spans(docs: DataFrame, width: int = 100) -> DataFrame:
             starts.append(s[np.concatenate(([0], gap))].tolist())
             ends.append(e[np.concatenate((gap - 1, [len(e) - 1]))].tolist())
         kind = pa.list_(pa.int64())
-        return pa.table([texts.column(0), texts.column(1), pa.array(starts, kind), pa.array(ends, kind)], names=["doc_id", "text", "starts", "ends"])
+        out = pa.table([texts.column(0), texts.column(1), pa.array(starts, kind), pa.array(ends, kind)], names=["doc_id", "text", "starts", "ends"])
+        if then is not None:
+            out = pa.Table.from_batches([then(b) for b in out.to_batches(max_chunksize=1000)] or [then(pa.RecordBatch.from_pylist([], out.schema))])
+        blobs.give_back()
+        return out
 
-    return dealt.groupBy("bin").cogroup(spans.groupBy("bin")).applyInArrow(joined, "doc_id long, text string, starts array<long>, ends array<long>")
+    return dealt.groupBy("bin").cogroup(spans.groupBy("bin")).applyInArrow(joined, schema)
 
 
 def _concat(table: pa.Table, kinds: list[str]) -> list[np.ndarray]:
@@ -377,26 +385,25 @@ def _settle(gram, d, h, copy, place, low, high, around) -> np.ndarray:
     return out
 
 
-def _kept(batches):
-    for batch in batches:
-        ids, texts, starts, ends = (batch.column(i) for i in range(4))
-        data, offsets = text_bytes(texts)
-        n, gone, spans, digest = [], [], [], []
-        for i, (s, e) in enumerate(zip(starts.to_pylist(), ends.to_pylist())):
-            own = memoryview(data[offsets[i] : offsets[i + 1]])
-            sha, at = hashlib.sha256(), 0
-            for a, b in zip(s, e):
-                sha.update(own[at:a])
-                at = b
-            sha.update(own[at:])
-            n.append(len(own))
-            gone.append(sum(e) - sum(s))
-            spans.append(len(s))
-            digest.append(sha.hexdigest())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+def _kept(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids, texts, starts, ends = (batch.column(i) for i in range(4))
+    data, offsets = text_bytes(texts)
+    n, gone, spans, digest = [], [], [], []
+    for i, (s, e) in enumerate(zip(starts.to_pylist(), ends.to_pylist())):
+        own = memoryview(data[offsets[i] : offsets[i + 1]])
+        sha, at = hashlib.sha256(), 0
+        for a, b in zip(s, e):
+            sha.update(own[at:a])
+            at = b
+        sha.update(own[at:])
+        n.append(len(own))
+        gone.append(sum(e) - sum(s))
+        spans.append(len(s))
+        digest.append(sha.hexdigest())
+    return pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' removed bytes and a digest of the rest; null and short texts lose nothing."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return repeated_spans(docs).mapInArrow(_kept, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return repeated_spans(docs, then=_kept, schema="doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
