@@ -26,16 +26,30 @@ SENTENCES = {
     "bsd_binary": [
         "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
     ],
+    "bsd_names": [
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of the organization nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "neither the name of the university nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    ],
+    "isc_grant": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"],
+    "epl_ref": ["this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl-2.0"],
     "bsd_ref": ["released under the bsd license", "licensed under the bsd license"],
-    "gpl_ref": [
-        "this work is licensed under the gnu general public license version 3",
-        "this work is licensed under the gnu general public license version 2",
-        "licensed under the gnu general public license version 3",
-        "licensed under the gnu general public license version 2",
+    "gpl2_ref": ["this work is licensed under the gnu general public license version 2", "licensed under the gnu general public license version 2"],
+    "gpl3_ref": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu general public license version 3"],
+    "gpl2_free": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"
+    ],
+    "gpl3_free": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"
+    ],
+    "lgpl21_free": [
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2.1 of the license or at your option any later version"
     ],
-    "gpl_free": [
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
+    "lgpl_hope": ["this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
+    "agpl3_free": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version"
     ],
     "gpl_hope": ["this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"],
     "cc_by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license"],
@@ -53,8 +67,17 @@ RULES = [
     ("MIT", "text", ["mit_grant", "mit_notice", "mit_asis"]),
     ("BSD-2-Clause", "text", ["bsd_grant", "bsd_source", "bsd_binary"]),
     ("BSD", "notice", ["bsd_ref"]),
-    ("GPL", "notice", ["gpl_ref"]),
-    ("GPL", "header", ["gpl_free", "gpl_hope"]),
+    ("BSD-3-Clause", "text", ["bsd_grant", "bsd_source", "bsd_binary", "bsd_names"]),
+    ("ISC", "text", ["isc_grant"]),
+    ("Unlicense", "text", ["unlicense"]),
+    ("CC0-1.0", "notice", ["cc0"]),
+    ("EPL-2.0", "notice", ["epl_ref"]),
+    ("GPL-2.0", "notice", ["gpl2_ref"]),
+    ("GPL-3.0", "notice", ["gpl3_ref"]),
+    ("GPL-2.0-or-later", "header", ["gpl2_free", "gpl_hope"]),
+    ("GPL-3.0-or-later", "header", ["gpl3_free", "gpl_hope"]),
+    ("LGPL-2.1-or-later", "header", ["lgpl21_free", "lgpl_hope"]),
+    ("AGPL-3.0-or-later", "header", ["agpl3_free", "gpl_hope"]),
     ("CC-BY-4.0", "notice", ["cc_by"]),
     ("CC-BY-SA-4.0", "notice", ["cc_by_sa"]),
     ("CC-BY-NC-4.0", "notice", ["cc_by_nc"]),
@@ -62,6 +85,7 @@ RULES = [
     ("proprietary", "notice", ["reserved"]),
 ]
 
+RESERVED, NEAR = "proprietary", 3
 #: A piece ends at a line break, or at . ! ? ; : before white space, a quote or the end. A known sentence
 #: goes over ; and : and single line breaks if its words do, and ends at the others.
 BOUNDARY = "[\\n\\r]+|[.!?]+(?=[\"')\\]]*(?:\\s|$))"
@@ -131,8 +155,8 @@ def unwrapped(text: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", sentences: dict[str, list[str]] = SENTENCES, rules: list[tuple[str, str, list[str]]] = RULES) -> DataFrame:
     """docs' columns but the text, and licenses: array of (license, rule, first, last, sentences), with
     the places of a match's first and last sentence. A rule matches where all its identifiers follow in
-    order, other sentences between them or not; a rule contained in a longer match of the same licence
-    at the same place is not reported. Runs row by row, without a shuffle."""
+    order, other sentences between them or not; of rules that match from the same sentence the longest
+    is reported. Runs row by row, without a shuffle."""
     others = [c for c in docs.columns if c not in (text, "__ids", "licenses")]
     found = docs.select(*(F.col(f"`{c}`") for c in others), identified(F.col(text), sentences).alias("__ids"))
 
@@ -155,15 +179,19 @@ def scan(docs: DataFrame, text: str = "text", sentences: dict[str, list[str]] =
 
     def reported(license_: str, rule: str, ids: list[str]) -> Column:
         hits = match(ids)
-        for longer in (match(r[2]) for r in rules if r[0] == license_ and len(r[2]) > len(ids) and r[2][0] == ids[0]):
+        for longer in (match(r[2]) for r in rules if len(r[2]) > len(ids) and r[2][0] == ids[0]):
             hits = F.transform(F.array(F.struct(hits.alias("h"), longer.alias("l"))), lambda x: F.filter(x.h, lambda h: ~F.exists(x.l, lambda m: m.first == h.first)))[0]
         return F.transform(
             hits,
             lambda h: F.struct(F.lit(license_).alias("license"), F.lit(rule).alias("rule"), h.first.alias("first"), h["last"].alias("last"), F.lit(len(ids)).alias("sentences")),
         )
 
-    parts = [reported(*r) for r in rules]
-    matched = F.when(F.size("__ids") > 0, F.concat(*parts))
+    none = F.array().cast("array<struct<license:string,rule:string,first:int,last:int,sentences:int>>")
+    of = F.concat(none, *(reported(*r) for r in rules if r[0] != RESERVED))
+    kept = F.concat(none, *(reported(*r) for r in rules if r[0] == RESERVED))
+    # a reservation of rights that stands in a licence's text or header, or shortly before it, belongs to that
+    apart = lambda x: F.concat(x.of, F.filter(x.kept, lambda k: ~F.exists(x.of, lambda m: (m.sentences > 1) & (m.first <= k.first + NEAR) & (k.first <= m["last"] + NEAR))))
+    matched = F.when(F.size("__ids") > 0, F.transform(F.array(F.struct(of.alias("of"), kept.alias("kept"))), apart)[0])
     empty = F.array().cast("array<struct<license:string,rule:string,first:int,last:int,sentences:int>>")
     return found.select(*(F.col(f"`{c}`") for c in others), F.coalesce(matched, empty).alias("licenses"))
 

@@ -672,7 +672,11 @@ modification, are permitted provided that the following conditions are met:
 
 
 def test_unaltered_license_texts(spark):
-    texts = {("MIT", "text"): MIT, ("GPL", "header"): GPL, ("Apache-2.0", "header"): APACHE, ("MPL-2.0", "notice"): MPL, ("BSD-2-Clause", "text"): BSD}
+    texts = {("MIT", "text"): MIT, ("GPL-3.0-or-later", "header"): GPL, ("Apache-2.0", "header"): APACHE, ("MPL-2.0", "notice"): MPL, ("BSD-2-Clause", "text"): BSD, ("BSD-3-Clause", "text"): "Copyright (c) 2020, Some One\nAll rights reserved.\n\n" + BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""}
     rows, want = [], []
     for rule, text in texts.items():
         forms = [text, "\n\n".join(" ".join(x.split()) for x in text.split("\n\n")), text.replace("\n", "\r\n"), "int x = 1\n" + text + "int y"]
@@ -681,7 +685,7 @@ def test_unaltered_license_texts(spark):
         want += [rule] * len(forms)
     rows += [(1000, "Copyright Some One\nAll rights reserved\nThis project is\nlicensed under the MIT License\nthe end"), (1001, GPL.replace("version 3", "version 2").replace("software:", "software;"))]
     got = {r["doc_id"]: [(x["license"], x["rule"]) for x in r["licenses"]] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got.pop(1000) == [("MIT", "notice"), ("proprietary", "notice")] and got.pop(1001) == [("GPL", "header")]
+    assert got.pop(1000) == [("MIT", "notice"), ("proprietary", "notice")] and got.pop(1001) == [("GPL-2.0-or-later", "header")]
     assert got == {i: [rule] for i, rule in enumerate(want)}
 
 
