@@ -85,7 +85,7 @@ RULES = [
     ("proprietary", "notice", ["reserved"]),
 ]
 
-RESERVED, NEAR = "proprietary", 3
+RESERVED, NEAR = "proprietary", 8
 #: A piece ends at a line break, or at . ! ? ; : before white space, a quote or the end. A known sentence
 #: goes over ; and : and single line breaks if its words do, and ends at the others.
 BOUNDARY = "[\\n\\r]+|[.!?]+(?=[\"')\\]]*(?:\\s|$))"
