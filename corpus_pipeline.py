@@ -17,27 +17,32 @@ ORACLE_SQL = None
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; cutoffs come from the labels of documents still here."""
+    """Documents that the rules reject go; cutoffs come from the labels of documents still here. Null and
+    empty texts go, repeated rows share a verdict; an empty table stays empty."""
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of like lines one stays; a document of which nothing is left goes."""
+    """Of each group of like lines the first one stays; a document of which nothing is left goes, so of
+    rows repeated as a whole one stays. Null texts stay as they are; an empty table stays empty."""
     return lines.without_repeats(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id (null first, ties by a hash of
+    the text) stays. Texts without a word, null ones included, all stay; an empty table stays empty."""
     return simhash.one_of_each(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold passages of the benchmark go."""
+    """Documents that hold passages of the benchmark go, all of equal ones. Null and empty texts hold none;
+    null items are left out, and an empty benchmark or table changes nothing."""
     return decontam.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, in sequences of tokens."""
+    """What is left, in sequences of tokens. Null and empty texts are their end id, repeated rows are packed
+    each; an empty table gives no rows."""
     return packing.packed(docs)
 
 
