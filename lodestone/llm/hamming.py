@@ -67,19 +67,24 @@ _LINKS = "a long, b long, hot long, chunk int, members binary"
 Fits = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 
 
-#: So many rows are verified at once.
-MANY = 256
+#: Two arrays of indexes: which pairs are alike.
+Decide = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+#: So many pairs that ``verify`` leaves open are decided at once.
+MANY = 1024
 
 
 def forest(
     fps: np.ndarray,
     distance: int,
-    verify: Callable[[int, int], bool] | None = None,
+    verify: Callable[[int, int], bool | None] | None = None,
     since: int = 0,
     earlier: list[int] = (),
     fits: Callable[[int, np.ndarray], np.ndarray] | None = None,
     label: np.ndarray | None = None,
-    all_of: Callable[[int, np.ndarray], np.ndarray] | None = None,
+    decide: Decide | None = None,
+    left: list[tuple[int, int]] | None = None,
 ) -> list[tuple[int, int]]:
     """Pairs of indexes that span the links among fps (links: within distance, and verified).
 
@@ -87,8 +92,9 @@ def forest(
     since: only pairs with one index below it and one from it on are compared, if it is set.
     earlier: masks; a pair that agrees on all bits of one of them shares a bucket there, and is left
     to it, so that no pair is verified twice. fits: which of some indexes may be like the first one.
-    label: numbers that are equal for what is joined from the start. all_of: verify of one row with
-    several others at once."""
+    label: numbers that are equal for what is joined from the start. decide: which of many pairs are
+    alike; those of which verify says None wait until they are MANY, and the last ones go to ``left`` if
+    it is given."""
     n = len(fps)
     masks = [np.uint64(m) for m in earlier]
 
@@ -100,6 +106,12 @@ def forest(
 
     label = np.arange(n) if label is None else label
     out = []
+    waiting: list[tuple[int, int]] = []
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        label[label == label[j]] = label[i]
+
     whole = None
     rows = range(since or n - 1)
     if not since and n <= 1024:  # one matrix, of which mostly no row has a link
@@ -114,26 +126,35 @@ def forest(
         near = near[label[near] != label[i]]
         if fits is not None and len(near):
             near = near[fits(i, near)]
-        tried = 0
-        for at, j in enumerate(near.tolist()):
+        for j in near.tolist():
             if label[j] == label[i]:
                 continue
-            if tried >= 8 and all_of is not None and len(near) - at >= MANY:  # no row of a large like set: the rest at once
-                rest = near[at:][label[near[at:]] != label[i]]
-                for k in rest[all_of(i, rest)].tolist() if len(rest) else ():
-                    if label[k] != label[i]:
-                        out.append((i, k))
-                        label[label == label[k]] = label[i]
-                break
-            if verify is None or verify(i, j):
-                out.append((i, j))
-                label[label == label[j]] = label[i]
-                tried = 0
-            else:
-                tried += 1
+            found = verify is None or verify(i, j)
+            if found:
+                join(i, j)
+            elif found is None:
+                waiting.append((i, j))
+        if len(waiting) >= MANY:
+            settle(waiting, lambda i, j: label[i] != label[j], join, decide)
+    if left is None:
+        settle(waiting, lambda i, j: label[i] != label[j], join, decide)
+    else:
+        left += waiting
     return out
 
 
+def settle(waiting: list[tuple[int, int]], apart: Callable[[int, int], bool], join: Callable[[int, int], None], decide: Decide | None) -> None:
+    """Decide the pairs that wait, apart from those that have been joined by now."""
+    pairs = [p for p in waiting if apart(*p)]
+    waiting.clear()
+    if pairs:
+        i, j = np.array(pairs).T
+        found = decide(i, j)
+        for one, two in zip(i[found].tolist(), j[found].tolist()):
+            if apart(one, two):
+                join(one, two)
+
+
 def split_masks(mask: int, parts: int) -> list[int]:
     """The bits outside ``mask``, cut into so many even masks."""
     free = [bit for bit in range(64) if not mask >> bit & 1]
@@ -203,7 +224,7 @@ def many_buckets(
     return out
 
 
-def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool] | None, fits: Fits | None, all_of: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool | None] | None, fits: Fits | None, decide: Decide | None = None) -> list[tuple[int, int]]:
     """As forest, for many whole buckets at once: pairs come from shifts of the rows, sorted by key,
     against themselves. Buckets of more than SHIFTS rows are compared row by row."""
     keys, fps = part["key"], part["fp"]
@@ -216,6 +237,14 @@ def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool]
             i = joined[i]
         return i
 
+    def apart(i: int, j: int) -> bool:
+        return root(i) != root(j)
+
+    def join(i: int, j: int) -> None:
+        out.append((i, j))
+        joined[root(j)] = root(i)
+
+    waiting: list[tuple[int, int]] = []
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
     length = np.diff(edges)
     short = np.repeat(length <= SHIFTS, length)
@@ -227,25 +256,34 @@ def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool]
             if fits is not None:
                 i = i[fits(part, i, i + shift)]
             for one in i.tolist():
-                if root(one) != root(one + shift) and (verify is None or verify(one, one + shift)):
-                    out.append((one, one + shift))
-                    joined[root(one + shift)] = root(one)
+                if apart(one, one + shift):
+                    found = verify is None or verify(one, one + shift)
+                    if found:
+                        join(one, one + shift)
+                    elif found is None:
+                        waiting.append((one, one + shift))
+        if len(waiting) >= MANY:
+            settle(waiting, apart, join, decide)
     for e in np.flatnonzero(length > SHIFTS).tolist():
         a, b = int(edges[e]), int(edges[e + 1])
         check = None if verify is None else lambda i, j: verify(a + i, a + j)
         fit = None if fits is None else lambda i, near: fits(part, np.full(len(near), a + i), a + near)
-        many = None if all_of is None else lambda i, near: all_of(a + i, a + near)
-        out += [(a + i, a + j) for i, j in forest(fps[a:b], distance, check, 0, (), fit, None, many)]
+        both = None if decide is None else lambda i, j: decide(a + i, a + j)
+        left: list[tuple[int, int]] = []
+        for i, j in forest(fps[a:b], distance, check, 0, (), fit, None, both, left):
+            join(a + i, a + j)
+        waiting += [(a + i, a + j) for i, j in left]
+    settle(waiting, apart, join, decide)
     return out
 
 
 def bucket_links(
-    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool] | None = None, chunk: int = 32768, fits: Fits | None = None, sketch: Callable[[np.ndarray], np.ndarray] | None = None, similar_to: Callable[[str, list[str]], np.ndarray] | None = None
+    keyed: DataFrame, distance: int, similar: Callable[[str, str], bool | None] | None = None, chunk: int = 32768, fits: Fits | None = None, sketch: Callable[[np.ndarray], np.ndarray] | None = None, decide: Callable[[list[str], list[str]], np.ndarray] | None = None
 ) -> DataFrame:
     """keyed: key (bigint), fp (bigint), id (bigint), text if ``similar`` is given, and size if ``fits``
     is. Returns a, b: ids whose links span those of every bucket of equal keys. fits: a vectorised test
     that pairs may be alike, before ``similar`` decides; it also sees a column sketch, made of the texts.
-    similar_to: similar, of one text and many.
+    decide: which pairs of the texts of two lists are similar; for those of which ``similar`` says None.
 
     Buckets are read one after another from sorted partitions. One of more than ``chunk`` members is
     cut into chunks, which a second step compares pair by pair: chunks are joined by bucket and number,
@@ -259,14 +297,14 @@ def bucket_links(
         fps, ids, texts = part["fp"], part["id"], part.get("text")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
         fit = None if fits is None else lambda i, near: fits(part, np.full(len(near), i), near)
-        many = None if similar_to is None else lambda i, near: similar_to(texts[i], texts[near])
+        many = None if decide is None else lambda i, j: decide(texts[i].tolist(), texts[j].tolist())
         return [(int(ids[i]), int(ids[j])) for i, j in forest(fps, distance, check, since, (), fit, None, many)]
 
     def links_of_all(part: dict):
         """Of many whole buckets."""
         ids, texts = part["id"], part.get("text")
         check = None if similar is None else lambda i, j: similar(texts[i], texts[j])
-        many = None if similar_to is None else lambda i, near: similar_to(texts[i], texts[near])
+        many = None if decide is None else lambda i, j: decide(texts[i].tolist(), texts[j].tolist())
         return [(int(ids[i]), int(ids[j])) for i, j in small_buckets(part, distance, check, fits, many)]
 
     def cut(part: dict, a: int, b: int | None = None) -> dict:

@@ -32,6 +32,8 @@ LONG, LONG_SPELT = 16, 32
 #: An exchange target whose entries take more bytes goes on row by row.
 HOT_BYTES = 64 << 20
 ENTRY_BYTES = 320  #: of a line's entries, about
+#: Texts are cut so that their arrays, eight times as large, stay in a core's cache.
+SLICE = 1 << 19
 
 
 def edit_distance(a: str, b: str, most: int | None = None) -> int:
@@ -58,7 +60,12 @@ def edit_distance(a: str, b: str, most: int | None = None) -> int:
     full, top = (1 << len(a)) - 1, 1 << len(a) - 1
     up, down = full, 0
     room = most - len(a) + len(b)  # what is left of most, if each place to come takes off one
-    for c in b:
+    marks = [(i, (1 << i) - 1) for i in range(32, len(a), 32)] if most < len(a) else []
+    for t, c in enumerate(b):
+        if marks and t & 63 == 63:  # the way to the end leaves this column at some row, at most 32 off one of these
+            off = len(a) - len(b) + t
+            if min(t + abs(off), most - room + 2 * (len(b) - t), *(t + (up & m).bit_count() - (down & m).bit_count() + abs(off - i) for i, m in marks)) - 32 > most:
+                return most + 1
         eq = where.get(c, 0)
         x = eq | down
         d = (((eq & up) + up & full) ^ up) | eq
@@ -110,11 +117,13 @@ def may_be_similar(part: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(found)
     for s in range(0, len(at), 4096):
         own = at[s : s + 4096]
-        d = part["sketch"][i[own]].astype(np.int32) - part["sketch"][j[own]]
-        full = longer[own] < 65535  # counts that fit 16 bits
-        for bins, each in ((d[:, :LETTERS], 1), (d[:, LETTERS:], 2)):
-            more = np.maximum(bins, 0).sum(axis=1)
-            found[own] &= (np.maximum(more, more - bins.sum(axis=1)) <= each * most[own]) | ~full
+        for bins, each in ((slice(LETTERS), 1), (slice(LETTERS, None), 2)):
+            d = part["sketch"][i[own], bins].astype(np.int32) - part["sketch"][j[own], bins]
+            more = np.maximum(d, 0).sum(axis=1)
+            ok = np.maximum(more, more - d.sum(axis=1)) <= each * most[own]
+            ok |= longer[own] >= 65535  # counts that don't fit 16 bits
+            found[own] &= ok
+            own = own[ok]
     return found
 
 
@@ -142,7 +151,7 @@ def surely_within(a: str, b: str, most: int, window: int = 10) -> bool:
     return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
 
 
-_MEETINGS = {10: [(p, s - p) for s in range(1, 11) for p in sorted(range(s + 1), key=lambda p: abs(2 * p - s))]}
+_MEETINGS = {n: [(p, s - p) for s in range(1, n + 1) for p in sorted(range(s + 1), key=lambda p: abs(2 * p - s))] for n in (10, 30)}
 
 
 def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
@@ -154,62 +163,151 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
     return surely_within(a, b, most) or edit_distance(a, b, most) <= most
 
 
-def edit_distances(a: str, texts: list[str], most: np.ndarray) -> np.ndarray:
-    """edit_distance of one text and many, side by side: Myers' bit vectors in blocks of 64 rows of ``a``,
-    a lane for each text. Lanes that are sure to exceed their ``most`` are given up."""
-    m = len(a)
-    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    out = most + 1
-    if not m:
-        return lengths
-    lane = np.argsort(-lengths, kind="stable")  # longest first: those that go on are the first ones
-    code = {c: i + 1 for i, c in enumerate(dict.fromkeys(a))}
-    blocks = -(-m // 64)
-    eq = np.zeros((len(code) + 1, blocks), np.uint64)
-    for i, c in enumerate(a):
-        eq[code[c], i // 64] |= np.uint64(1 << i % 64)
-    text = np.zeros((int(lengths.max(initial=0)), len(texts)), np.int32)
-    for k, j in enumerate(lane.tolist()):
-        text[: lengths[j], k] = [code.get(c, 0) for c in texts[j]]
-    size, limit = lengths[lane], most[lane]
-    up = np.full((blocks, len(texts)), ~np.uint64(0))
-    down = np.zeros((blocks, len(texts)), np.uint64)
-    score = np.full(len(texts), m, np.int64)
-    one, high, top = np.uint64(1), np.uint64(63), np.uint64((m - 1) % 64)
+#: So many pairs for each block of rows are worth comparing side by side; their tables take up to so many bytes.
+FEW, TABLE_BYTES = 24, 16 << 20
+
+
+def edit_distances(firsts: str | list[str], seconds: list[str], most: np.ndarray) -> np.ndarray:
+    """edit_distance of many pairs, side by side: Myers' bit vectors in blocks of 64 rows of the shorter text,
+    a lane for each pair. Lanes that are sure to exceed their ``most`` are given up. One text as ``firsts``
+    goes with all of ``seconds``."""
+    firsts = [firsts] * len(seconds) if isinstance(firsts, str) else firsts
+    out = np.asarray(most, np.int64) + 1
+    rows: list[str] = []
+    texts: list[str] = []
+    own = []
+    for k, (a, b) in enumerate(zip(firsts, seconds)):
+        low, high, short = 0, 0, min(len(a), len(b))
+        while low < short and a[low] == b[low]:
+            n = 64  # a stretch at once, then one by one
+            low += n if low + n <= short and a[low : low + n] == b[low : low + n] else 1
+        while high < short - low and a[-1 - high] == b[-1 - high]:
+            n = 64
+            high += n if high + n <= short - low and a[len(a) - high - n : len(a) - high] == b[len(b) - high - n : len(b) - high] else 1
+        if short == low + high:
+            out[k] = max(len(a), len(b)) - short
+        elif abs(len(a) - len(b)) < out[k]:
+            a, b = a[low : len(a) - high], b[low : len(b) - high]
+            a, b = (a, b) if len(a) <= len(b) else (b, a)
+            rows.append(a)
+            texts.append(b)
+            own.append(k)
+    at = np.array(own, np.int64)
+    blocks = -(-np.fromiter(map(len, rows), np.int64, len(rows)) // 64)
+    for n in np.unique(blocks).tolist():
+        lanes = np.flatnonzero(blocks == n)
+        if len(lanes) < FEW * n:
+            for i in lanes.tolist():
+                out[at[i]] = edit_distance(rows[i], texts[i], int(out[at[i]]) - 1)
+            continue
+        alphabet = np.unique(np.frombuffer("".join([rows[i] for i in lanes.tolist()]).encode("utf-32-le", "surrogatepass"), np.uint32))
+        step = max(FEW * n, TABLE_BYTES // (8 * n * (len(alphabet) + 1)))
+        lanes = lanes[np.argsort([-len(texts[i]) for i in lanes.tolist()], kind="stable")]  # those that go on are the first ones
+        for s in range(0, len(lanes), step):
+            some = lanes[s : s + step]
+            out[at[some]] = _side_by_side([rows[i] for i in some.tolist()], [texts[i] for i in some.tolist()], out[at[some]] - 1, n, alphabet)
+    return out
+
+
+def _codes(texts: list[str], alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, a row for each place and a column for each text of places in alphabet; its length: none)."""
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    raw = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    found = np.minimum(np.searchsorted(alphabet, raw), len(alphabet) - 1)
+    found[alphabet[found] != raw] = len(alphabet)
+    out = np.full((int(sizes.max()), len(texts)), len(alphabet), np.int64)
+    out[np.arange(len(raw)) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(len(texts)), sizes)] = found
+    return sizes, out
+
+
+def _side_by_side(rows: list[str], texts: list[str], limit: np.ndarray, blocks: int, alphabet: np.ndarray) -> np.ndarray:
+    """edit_distances of texts, longest first, whose ``rows`` all fill so many blocks; ``alphabet``: of the rows."""
+    n = len(rows)
+    out = limit + 1
+    height, code = _codes(rows, alphabet)
+    lane = np.arange(n)
+    eq = np.zeros((blocks, len(alphabet) + 1, n), np.uint64)
+    for i in range(len(code)):
+        there = lane if i < height.min() else np.flatnonzero(height > i)
+        eq[i // 64, code[i, there], there] |= np.uint64(1 << i % 64)
+    eq = eq.reshape(blocks, -1)
+    size, text = _codes(texts, alphabet)
+    text = text * n + lane
+    score, top = height.copy(), ((height - 1) % 64).astype(np.uint64)
+    up = [np.full(n, ~np.uint64(0)) for _ in range(blocks)]
+    down = [np.zeros(n, np.uint64) for _ in range(blocks)]
+    one, high = np.uint64(1), np.uint64(63)
     with np.errstate(over="ignore"):
         for t in range(len(text) + 1):
             if t % 16 == 0 or t == len(text) or size[-1] == t:
-                out[lane[size == t]] = score[size == t]
-                go = (size > t) & (score - (size - t) <= limit)
+                done = size == t
+                out[lane[done]] = score[done]
+                go = ~done & (score - (size - t) <= limit)
+                if t % 16 == 0:
+                    go &= _least(up, down, t, height, size) <= limit
                 if not go.all():
-                    lane, size, limit, score, up, down, text = lane[go], size[go], limit[go], score[go], up[:, go], down[:, go], text[:, go]
+                    lane, size, limit, score, top, height, text = lane[go], size[go], limit[go], score[go], top[go], height[go], text[:, go]
+                    up, down = [x[go] for x in up], [x[go] for x in down]
                 if not len(lane):
                     break
-            plus, minus = np.ones(len(lane), np.uint64), np.zeros(len(lane), np.uint64)
+            now = text[t]
+            plus = minus = None
             for w in range(blocks):
-                e, p, n = eq[text[t], w], up[w], down[w]
-                x = e | n
-                e = e | minus
-                h = (((e & p) + p) ^ p) | e
-                more, less = n | ~(h | p), p & h
+                e, p, m = eq[w].take(now), up[w], down[w]
+                x = e | m
+                if w:
+                    e |= minus
+                h = e & p
+                h += p
+                h ^= p
+                h |= e
+                less = p & h
+                h |= p
+                more = m | ~h
                 if w == blocks - 1:
-                    score += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
-                shifted, fewer = (more << one) | plus, (less << one) | minus
+                    score += ((more >> top) & one).view(np.int64)
+                    score -= ((less >> top) & one).view(np.int64)
+                shifted, fewer = more << one, less << one
+                shifted |= plus if w else one
+                if w:
+                    fewer |= minus
                 plus, minus = more >> high, less >> high
-                up[w] = fewer | ~(x | shifted)
                 down[w] = shifted & x
+                x |= shifted
+                fewer |= ~x
+                up[w] = fewer
     return out
 
 
+def _least(up: list[np.ndarray], down: list[np.ndarray], t: int, height: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """No more than what each lane's distance can still become after t columns: the way there leaves
+    column t at some row, which is at most 4 off one of every 8th row."""
+    off = height - (size - t)
+    out, at = t + np.abs(off), np.full(len(off), t)
+    for w, (p, m) in enumerate(zip(up, down)):
+        steps = np.bitwise_count(p.view(np.uint8)).astype(np.int64) - np.bitwise_count(m.view(np.uint8))
+        for i, step in enumerate(steps.reshape(-1, 8).T):
+            at = at + step
+            np.minimum(out, at + np.abs(off - (64 * w + 8 * i + 8)), out=out)
+    return out - 8
+
+
+def within(firsts: list[str], seconds: list[str], least: float = MIN_SIMILARITY) -> np.ndarray:
+    """similar, of many pairs, without a try of surely_within."""
+    longer = np.array([max(len(a), len(b)) for a, b in zip(firsts, seconds)], np.int64)
+    most = ((1 - least) * longer + 1e-9).astype(np.int64)
+    return edit_distances(firsts, seconds, most) <= most
+
+
+def surely_similar(a: str, b: str) -> bool | None:
+    """similar, where that is soon seen, else None."""
+    most = int((1 - MIN_SIMILARITY) * max(len(a), len(b)) + 1e-9)
+    return False if abs(len(a) - len(b)) > most else surely_within(a, b, most, 10 if len(a) < 200 else 30) or None
+
+
 def similar_to(a: str, texts: list[str], least: float = MIN_SIMILARITY) -> np.ndarray:
     """similar, of one text and many."""
-    longer = np.maximum(len(a), np.fromiter(map(len, texts), np.int64, len(texts)))
-    most = ((1 - least) * longer + 1e-9).astype(np.int64)
-    found = np.array([surely_within(a, b, d) for b, d in zip(texts, most.tolist())], bool)
-    rest = np.flatnonzero(~found)
-    if len(rest):
-        found[rest] = edit_distances(a, [texts[j] for j in rest.tolist()], most[rest]) <= most[rest]
-    return found
+    return within([a] * len(texts), texts, least)
 
 
 def normalised(line: bytes) -> str:
@@ -223,7 +321,9 @@ class Lines:
     def __init__(self, column: pa.Array):
         self.data, self.offsets = text_bytes(column)
         breaks = np.flatnonzero(self.data == 10) + 1
-        self.bounds = np.unique(np.concatenate((self.offsets, breaks)))  # also where empty texts meet
+        bounds = np.concatenate((self.offsets, breaks))
+        bounds.sort(kind="stable")
+        self.bounds = bounds[np.concatenate(([True], bounds[1:] != bounds[:-1]))]  # also where empty texts meet
         self.text = np.searchsorted(self.offsets, self.bounds[:-1], "right") - 1
         self._words = words(self.data, self.bounds)
         cut = np.searchsorted(self._words.segment, np.arange(len(self.bounds)))
@@ -234,10 +334,11 @@ class Lines:
 
     def sizes(self) -> np.ndarray:
         """Code points of each normalised line."""
-        begins = np.concatenate(([0], np.cumsum((self.data & 0xC0) != 0x80)))
         w = self._words
-        upto = np.concatenate(([0], np.cumsum(begins[w.ends] - begins[w.starts] + 1)))
-        return upto[self._to] - upto[self._from] - 1
+        upto = np.concatenate(([0], np.cumsum(w.ends - w.starts + 1)))
+        going = np.flatnonzero((self.data & 0xC0) == 0x80)  # bytes that begin no code point, all in words
+        more = np.searchsorted(going, self.bounds)
+        return upto[self._to] - upto[self._from] - 1 - (more[self.own + 1] - more[self.own])
 
     def units(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hashes, bounds, spelt) of the units of some own lines: words, or the characters of lines of few
@@ -250,20 +351,20 @@ class Lines:
         line = np.repeat(np.arange(len(some)), count)
         hashes = w.hashes[at]
         if few.any():
-            inside = np.zeros(len(self.data) + 1, np.int32)
-            owner = np.repeat(np.flatnonzero(few), (last - first)[few])
-            small = np.concatenate([np.arange(a, b) for a, b in zip(first[few].tolist(), last[few].tolist())])
-            inside[w.starts[small]] += 1
-            inside[w.ends[small]] -= 1
-            place = np.flatnonzero((np.cumsum(inside[:-1]) > 0) & ((self.data & 0xC0) != 0x80))
-            padded = np.concatenate((FOLD[self.data], np.zeros(4, np.uint8)))
-            code = padded[place].astype(np.uint64)
+            long = (last - first)[few]
+            small = np.repeat(first[few] - (np.cumsum(long) - long), long) + np.arange(long.sum())
+            size = w.ends[small] - w.starts[small]
+            place = np.repeat(w.starts[small] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            owner = np.repeat(np.repeat(np.flatnonzero(few), long), size)
+            begins = (self.data[place] & 0xC0) != 0x80
+            place, owner = place[begins], owner[begins]
+            code = FOLD[self.data[place]].astype(np.uint64)
             going = np.ones(len(place), bool)
             for i in range(1, 4):
-                going &= (padded[place + i] & 0xC0) == 0x80
-                code |= np.where(going, padded[place + i], 0).astype(np.uint64) << np.uint64(8 * i)
-            word = np.searchsorted(w.starts[small], place, "right") - 1
-            line = np.concatenate((line, owner[word]))
+                byte = self.data[np.minimum(place + i, len(self.data) - 1)]
+                going &= ((byte & 0xC0) == 0x80) & (place + i < len(self.data))
+                code |= np.where(going, byte, 0).astype(np.uint64) << np.uint64(8 * i)
+            line = np.concatenate((line, owner))
             hashes = np.concatenate((hashes, mix(code + np.uint64(1))))
             order = np.argsort(line, kind="stable")
             line, hashes = line[order], hashes[order]
@@ -345,7 +446,7 @@ def _hashed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for piece in sliced(whole, "text"):
+            for piece in sliced(whole, "text", SLICE // 2):
                 lines = Lines(piece.column(2))
                 rows = pa.array(lines.text[lines.own])
                 yield pa.RecordBatch.from_arrays(
@@ -384,7 +485,7 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
 
         def pieces():
             for whole in batches:
-                for piece in sliced(whole, "text"):
+                for piece in sliced(whole, "text", SLICE):
                     lines = Lines(piece.column(2))
                     _, first = np.unique(lines.key, return_index=True)
                     first = first[[k not in seen for k in lines.key[first].tolist()]] if len(first) else first
@@ -521,7 +622,7 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size")).select("at.doc_id", "at.th", "at.line", "key", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
     keyed = met.join(texts, met.id == texts.key).select(F.col("grp").alias("key"), "fp", "id", "size", "text")
-    return lines, connected_components(bucket_links(keyed, 64, similar, chunk=512, fits=may_be_similar, sketch=sketches, similar_to=similar_to))
+    return lines, connected_components(bucket_links(keyed, 64, surely_similar, chunk=512, fits=may_be_similar, sketch=sketches, decide=within))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -532,7 +633,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for piece in sliced(whole, "text"):
+            for piece in sliced(whole, "text", SLICE):
                 out = []
                 for text, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     cut = text.split(b"\n")

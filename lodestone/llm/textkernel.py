@@ -71,7 +71,10 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = FOLD) -> Wo
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     with np.errstate(over="ignore"):
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((folded.astype(np.uint64) + np.uint64(1)) * _table(_BASE, n), out=sums[1:])
+        terms = folded.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _table(_BASE, n)
+        np.cumsum(terms, out=sums[1:])
         hashes = mix((sums[ends] - sums[starts]) * _table(_INVERSE, n)[starts])
     counts = np.diff(np.searchsorted(starts, offsets))
     return Words(hashes, starts, ends, np.repeat(np.arange(len(counts)), counts))

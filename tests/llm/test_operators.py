@@ -393,6 +393,46 @@ def test_edit_distances_side_by_side():
         assert lines.similar_to(a, texts).tolist() == [lines.similar(a, b) for b in texts]
 
 
+def test_edit_distances_of_many_pairs():
+    rng = np.random.default_rng(5)
+    for letters, length in (("ab ", 70), ("añß漢字 é", 150), ("".join(map(chr, range(0x4E00, 0x4E00 + 300))), 90)):
+        firsts, seconds = [], []
+        for _ in range(200):
+            a = "".join(rng.choice(list(letters), rng.integers(0, length)))
+            b = list(a)
+            for _ in range(rng.integers(0, 1 + len(a) // 3)):
+                b.insert(int(rng.integers(0, len(b) + 1)), str(rng.choice(list(letters))))
+            b = "".join(b) if rng.random() < 0.8 else "".join(rng.choice(list(letters), rng.integers(0, length)))
+            firsts.append(a)
+            seconds.append(b)
+        exact = np.array([lines.edit_distance(a, b) for a, b in zip(firsts, seconds)])
+        for most in (np.full(200, 10_000), np.array([max(len(a), len(b)) // 5 for a, b in zip(firsts, seconds)])):
+            got = lines.edit_distances(firsts, seconds, most)
+            assert np.array_equal(np.minimum(got, most + 1), np.minimum(exact, most + 1))
+        assert lines.within(firsts, seconds).tolist() == [lines.similar(a, b) for a, b in zip(firsts, seconds)]
+        assert all(lines.similar(a, b) is s for a, b, s in zip(firsts, seconds, map(lines.surely_similar, firsts, seconds)) if s is not None)
+
+
+def test_units_of_lines_in_any_order():
+    texts = ["zebra crossing\nalpha beta gamma delta eps\nmenu item", "home page now\nabout us\nünïcode wörd 漢字"]
+    taken = lines.Lines(pa.array(texts))
+    hashes, bounds, _ = taken.units(np.arange(6))
+    for order in ([5, 0, 3, 1, 4, 2], [2, 4]):
+        some, cut, _ = taken.units(np.array(order))
+        for place, i in enumerate(order):
+            assert np.array_equal(some[cut[place] : cut[place + 1]], hashes[bounds[i] : bounds[i + 1]])
+    assert taken.sizes().tolist() == [len(lines.normalised(x.encode())) for t in texts for x in t.split("\n")]
+
+
+@pytest.mark.parametrize("chunk", [40, 512])
+def test_pairs_left_open_are_decided_together(spark, chunk):
+    rows = [(k, 0, 1000 * k + i, f"{i % 7}") for k in range(3) for i in range(k * 45 + 10)]
+    keyed = spark.createDataFrame(rows, "key long, fp long, id long, text string")
+    links = hamming.bucket_links(keyed, 64, lambda a, b: None if a == b else False, chunk=chunk, decide=lambda a, b: np.array([x == y for x, y in zip(a, b)]))
+    got = {(r["node"], r["component"]) for r in connected_components(links).collect()}
+    assert got == {(i, i // 1000 * 1000 + int(t)) for _, _, i, t in rows if any(t == u and i != j and i // 1000 == j // 1000 for _, _, j, u in rows)}
+
+
 def test_majority_bits():
     from lodestone.llm.textkernel import majority_bits
 
