@@ -71,8 +71,8 @@ Fits = Callable[[dict, np.ndarray, np.ndarray], np.ndarray]
 Decide = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-#: So many pairs that ``verify`` leaves open are decided at once.
-MANY = 1024
+#: So many pairs that ``verify`` leaves open are decided at once, more where few are alike.
+MANY, MOST = 1024, 8192
 
 
 def forest(
@@ -108,9 +108,12 @@ def forest(
     out = []
     waiting: list[tuple[int, int]] = []
 
+    many = MANY
+
     def join(i: int, j: int) -> None:
-        out.append((i, j))
-        label[label == label[j]] = label[i]
+        if label[i] != label[j]:
+            out.append((i, j))
+            label[label == label[j]] = label[i]
 
     whole = None
     rows = range(since or n - 1)
@@ -126,33 +129,53 @@ def forest(
         near = near[label[near] != label[i]]
         if fits is not None and len(near):
             near = near[fits(i, near)]
+        first = len(waiting)
         for j in near.tolist():
             if label[j] == label[i]:
                 continue
+            if len(waiting) - first >= 8 and sum(label[k] == label[j] for _, k in waiting[first : first + 8]) >= 4:
+                waiting.append((i, j))  # one more pair between two sets that are tried anyway
+                continue
             found = verify is None or verify(i, j)
             if found:
                 join(i, j)
             elif found is None:
                 waiting.append((i, j))
-        if len(waiting) >= MANY:
-            settle(waiting, lambda i, j: label[i] != label[j], join, decide)
+        if len(waiting) >= many:
+            many = MANY if settle(waiting, lambda x: label[x], join, decide) > 1 / 8 else min(2 * many, MOST)
     if left is None:
-        settle(waiting, lambda i, j: label[i] != label[j], join, decide)
+        settle(waiting, lambda x: label[x], join, decide)
     else:
         left += waiting
     return out
 
 
-def settle(waiting: list[tuple[int, int]], apart: Callable[[int, int], bool], join: Callable[[int, int], None], decide: Decide | None) -> None:
-    """Decide the pairs that wait, apart from those that have been joined by now."""
-    pairs = [p for p in waiting if apart(*p)]
+def settle(waiting: list[tuple[int, int]], labels: Callable[[np.ndarray], np.ndarray], join: Callable[[int, int], None], decide: Decide | None) -> float:
+    """Decide the pairs that wait, apart from those that have been joined by now. Of pairs between the same
+    two joined sets one is tried first, then four times as many each time: most need no look in a large
+    like set. Returns the share of the tried ones that are alike."""
+    if not waiting:
+        return 0.0
+    i, j = np.array(waiting).T
     waiting.clear()
-    if pairs:
-        i, j = np.array(pairs).T
-        found = decide(i, j)
-        for one, two in zip(i[found].tolist(), j[found].tolist()):
-            if apart(one, two):
-                join(one, two)
+    most, tried, alike = 1, 0, 0
+    while len(i):
+        a, b = labels(i), labels(j)
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        by = np.lexsort((high, low))
+        by = by[low[by] != high[by]]
+        edges = np.concatenate(([True], (low[by][1:] != low[by][:-1]) | (high[by][1:] != high[by][:-1])))[: len(by)]
+        start = np.flatnonzero(edges)
+        now = np.arange(len(by)) - np.repeat(start, np.diff(np.append(start, len(by)))) < most
+        one, two = i[by[now]], j[by[now]]
+        if len(one):
+            found = decide(one, two)
+            tried, alike = tried + len(one), alike + int(found.sum())
+            for x, y in zip(one[found].tolist(), two[found].tolist()):
+                join(x, y)
+        i, j = i[by[~now]], j[by[~now]]
+        most *= 4
+    return alike / max(1, tried)
 
 
 def split_masks(mask: int, parts: int) -> list[int]:
@@ -237,12 +260,13 @@ def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool |
             i = joined[i]
         return i
 
-    def apart(i: int, j: int) -> bool:
-        return root(i) != root(j)
-
     def join(i: int, j: int) -> None:
-        out.append((i, j))
-        joined[root(j)] = root(i)
+        if root(i) != root(j):
+            out.append((i, j))
+            joined[root(j)] = root(i)
+
+    def labels(x: np.ndarray) -> np.ndarray:
+        return np.array([root(i) for i in x.tolist()])
 
     waiting: list[tuple[int, int]] = []
     edges = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True])))
@@ -256,14 +280,14 @@ def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool |
             if fits is not None:
                 i = i[fits(part, i, i + shift)]
             for one in i.tolist():
-                if apart(one, one + shift):
+                if root(one) != root(one + shift):
                     found = verify is None or verify(one, one + shift)
                     if found:
                         join(one, one + shift)
                     elif found is None:
                         waiting.append((one, one + shift))
         if len(waiting) >= MANY:
-            settle(waiting, apart, join, decide)
+            settle(waiting, labels, join, decide)
     for e in np.flatnonzero(length > SHIFTS).tolist():
         a, b = int(edges[e]), int(edges[e + 1])
         check = None if verify is None else lambda i, j: verify(a + i, a + j)
@@ -273,7 +297,7 @@ def small_buckets(part: dict, distance: int, verify: Callable[[int, int], bool |
         for i, j in forest(fps[a:b], distance, check, 0, (), fit, None, both, left):
             join(a + i, a + j)
         waiting += [(a + i, a + j) for i, j in left]
-    settle(waiting, apart, join, decide)
+    settle(waiting, labels, join, decide)
     return out
 
 

@@ -151,7 +151,7 @@ def surely_within(a: str, b: str, most: int, window: int = 10) -> bool:
     return cost + max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
 
 
-_MEETINGS = {n: [(p, s - p) for s in range(1, n + 1) for p in sorted(range(s + 1), key=lambda p: abs(2 * p - s))] for n in (10, 30)}
+_MEETINGS = {10: [(p, s - p) for s in range(1, 11) for p in sorted(range(s + 1), key=lambda p: abs(2 * p - s))]}
 
 
 def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
@@ -167,6 +167,9 @@ def similar(a: str, b: str, least: float = MIN_SIMILARITY) -> bool:
 FEW, TABLE_BYTES = 24, 16 << 20
 
 
+_STRIDES = (256, 64, 16, 4, 1)  #: of the search for where two texts begin to differ
+
+
 def edit_distances(firsts: str | list[str], seconds: list[str], most: np.ndarray) -> np.ndarray:
     """edit_distance of many pairs, side by side: Myers' bit vectors in blocks of 64 rows of the shorter text,
     a lane for each pair. Lanes that are sure to exceed their ``most`` are given up. One text as ``firsts``
@@ -178,12 +181,13 @@ def edit_distances(firsts: str | list[str], seconds: list[str], most: np.ndarray
     own = []
     for k, (a, b) in enumerate(zip(firsts, seconds)):
         low, high, short = 0, 0, min(len(a), len(b))
-        while low < short and a[low] == b[low]:
-            n = 64  # a stretch at once, then one by one
-            low += n if low + n <= short and a[low : low + n] == b[low : low + n] else 1
-        while high < short - low and a[-1 - high] == b[-1 - high]:
-            n = 64
-            high += n if high + n <= short - low and a[len(a) - high - n : len(a) - high] == b[len(b) - high - n : len(b) - high] else 1
+        for n in _STRIDES:
+            while low + n <= short and a[low : low + n] == b[low : low + n]:
+                low += n
+        end, other = len(a), len(b)
+        for n in _STRIDES:
+            while low + high + n <= short and a[end - high - n : end - high] == b[other - high - n : other - high]:
+                high += n
         if short == low + high:
             out[k] = max(len(a), len(b)) - short
         elif abs(len(a) - len(b)) < out[k]:
@@ -302,7 +306,7 @@ def within(firsts: list[str], seconds: list[str], least: float = MIN_SIMILARITY)
 def surely_similar(a: str, b: str) -> bool | None:
     """similar, where that is soon seen, else None."""
     most = int((1 - MIN_SIMILARITY) * max(len(a), len(b)) + 1e-9)
-    return False if abs(len(a) - len(b)) > most else surely_within(a, b, most, 10 if len(a) < 200 else 30) or None
+    return False if abs(len(a) - len(b)) > most else surely_within(a, b, most) or None
 
 
 def similar_to(a: str, texts: list[str], least: float = MIN_SIMILARITY) -> np.ndarray:
@@ -434,28 +438,17 @@ def block_keys(hashes: np.ndarray, bounds: np.ndarray, spelt: np.ndarray) -> tup
     return np.concatenate(lines), np.concatenate(keys)
 
 
-_LINES = "doc_id long, th long, line int, key long, size int"
-
-
 def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
+def _line_rows(piece: pa.RecordBatch, lines: Lines) -> pa.RecordBatch:
     """A row for each line that takes part."""
-
-    def run(batches):
-        for whole in batches:
-            for piece in sliced(whole, "text", SLICE // 2):
-                lines = Lines(piece.column(2))
-                rows = pa.array(lines.text[lines.own])
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(lines.number[lines.own], pa.int32()), pa.array(lines.key), pa.array(lines.sizes(), pa.int32())],
-                    names=["doc_id", "th", "line", "key", "size"],
-                )
-        blobs.give_back()
-
-    return _source(docs).mapInArrow(run, _LINES)
+    rows = pa.array(lines.text[lines.own])
+    return pa.RecordBatch.from_arrays(
+        [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(lines.number[lines.own], pa.int32()), pa.array(lines.key), pa.array(lines.sizes(), pa.int32())],
+        names=["doc_id", "th", "line", "key", "size"],
+    )
 
 
 _STEPS = 3000  # sizes travel as logarithms in 16 bits
@@ -466,13 +459,14 @@ def _fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, rows: int) -> DataFrame:
-    """(grp, id): sets of different normalised lines that share a block of words, or are linked by
-    SimHashes within DISTANCE bits in a shared block of bits; a line's id is the hash of its normal form.
+    """Rows of two kinds. (grp, id): sets of different normalised lines that share a block of words, or are
+    linked by SimHashes within DISTANCE bits in a shared block of bits; a line's id is the hash of its normal
+    form. Rows without grp: every line's (doc_id, th, line, key, size), so that texts are read and cut once.
 
     Entries travel as arrays to as many targets as there are tasks, or more, so that each has some 16 MB,
-    and a task holds one target at a time. Sets with the same members have one number, so lines that share many blocks meet once
-    in what follows. A target of more than HOT_BYTES (a block that very many different lines share)
-    isn't held: its entries are given on as they are, a set for each block."""
+    and a task holds one target at a time; a slice's lines go along in one piece. Sets with the same members have one number,
+    so lines that share many blocks meet once in what follows. A target of more than HOT_BYTES (a block that very many
+    different lines share) isn't held: its entries are given on as they are, a set for each block."""
     spark = docs.sparkSession
     n = partitions(spark)
     targets = n * max(1, 4 * rows * ENTRY_BYTES // (HOT_BYTES * n))  # some 16 MB each
@@ -482,11 +476,14 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
 
     def entries(batches):
         seen: set[int] = set()
+        packed: list[tuple[int, bytes]] = []  # lines, as record batches in bytes
 
         def pieces():
             for whole in batches:
                 for piece in sliced(whole, "text", SLICE):
                     lines = Lines(piece.column(2))
+                    if len(lines.own):
+                        packed.append((2 * targets + int(lines.key[0] & 0xFFFFF), _packed(_line_rows(piece, lines))))
                     _, first = np.unique(lines.key, return_index=True)
                     first = first[[k not in seen for k in lines.key[first].tolist()]] if len(first) else first
                     if len(seen) > 500_000:
@@ -506,7 +503,17 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
                         part = (key % np.uint64(targets)).astype(np.int64) * 2 + 1
                         yield part, [np.full(len(fps), tab, "<u4"), ids, size, fps]
 
-        yield from _two_kinds(pieces(), names)
+        def given():
+            none = [b""] * len(packed)
+            if packed:
+                t, raw = zip(*packed)
+                packed.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int32()), *(pa.array(c, pa.binary()) for c in (raw, none, none, none))], names=names)
+
+        for batch in _two_kinds(pieces(), names):
+            yield batch
+            yield from given()
+        yield from given()
         blobs.give_back()
 
     kinds = ["<u4", "<u8", "<u2", "<u8"]
@@ -542,8 +549,16 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
         own = np.sort(by[stay])
         return _numbered(group[own], ids[own])
 
+    found = ["grp", "id", "doc_id", "th", "line", "key", "size"]
+
     def gather(batches):
         for target, parts, whole in blobs.runs(batches, HOT_BYTES):
+            if target >= 2 * targets:
+                for raw in (raw for part in parts for raw in part.column(1)):
+                    line = pa.ipc.open_stream(raw.as_buffer()).read_next_batch()
+                    none = pa.nulls(line.num_rows, pa.int64())
+                    yield pa.RecordBatch.from_arrays([none, none, *line.columns], names=found)
+                continue
             if not whole:
                 for part in parts:
                     key, ids, size, fps = blobs.read([part], kinds)
@@ -556,7 +571,7 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
         blobs.give_back()
 
     sent = _source(docs).mapInArrow(entries, "t int, key binary, id binary, size binary, fp binary")
-    return sent.repartition(n, "t").sortWithinPartitions("t").mapInArrow(gather, "grp long, id long").distinct()
+    return sent.repartition(n, "t").sortWithinPartitions("t").mapInArrow(gather, "grp long, id long, doc_id long, th long, line int, key long, size int")
 
 
 def _two_kinds(pieces, names):
@@ -574,8 +589,17 @@ def _two_kinds(pieces, names):
         yield from blobs.flushing(one, names, 1 << 62)
 
 
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _pairs(grp: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(ids.view(np.int64))], names=["grp", "id"])
+    none = pa.nulls(len(ids), pa.int64())
+    small = pa.nulls(len(ids), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(grp.view(np.int64)), pa.array(ids.view(np.int64)), none, none, small, none, small], names=["grp", "id", "doc_id", "th", "line", "key", "size"])
 
 
 def _numbered(group: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -616,8 +640,11 @@ def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Normalised lines are told apart by a 64-bit hash. Lines that have a candidate partner fetch their
     text, once each, and edit similarity decides."""
-    lines, _ = materialize(_hashed(docs), "lines")
-    met, _ = materialize(candidates(docs, lines.count()), "met")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    rows = docs.agg(F.sum(breaks + F.lit(1))).first()[0] or 0
+    found, _ = materialize(candidates(docs, rows), "found")
+    lines = found.where("grp is null").select("doc_id", "th", "line", "key", "size")
+    met, _ = materialize(found.where("grp is not null").select("grp", "id").distinct(), "met")
     nodes = lines.join(met.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
     wanted = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size")).select("at.doc_id", "at.th", "at.line", "key", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
