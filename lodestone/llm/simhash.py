@@ -8,16 +8,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import materialize
+from .blobs import give_back
+from .common import materialize, sliced, text_bytes
 from .components import connected_components
 from .hamming import bucket_links, deletion_keys
-from .textkernel import majority_bits, mix
+from .textkernel import majority_bits, mix, shingles
 
 MIN_JACCARD = 0.8
 #: MinHash bands and rows of each: of pairs at MIN_JACCARD 1 in 20,000 shares no band, of more alike ones fewer.
 BANDS, ROWS = 25, 5
 _SEEDS = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)).reshape(2, -1)
 
+#: Texts are hashed in slices of so many bytes.
+SLICE = 1 << 20
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -39,17 +43,17 @@ def shingle_hashes(text: Column, k: int) -> Column:
 
 def fingerprints(docs: DataFrame, k: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns and fp (bigint): a bit is set if it is in over half of the shingles' hashes.
-    Null or wordless texts have fingerprint zero."""
-    source = docs.select(*keep, shingle_hashes(F.col("text"), k).alias("__h"))
-    schema = source.drop("__h").schema.add("fp", "long", False)
+    Null or wordless texts have fingerprint zero. Shingles are cut and hashed in the worker, a slice of
+    texts at a time: as arrays of the engine they fill the heap and, by the batch, as much beside it."""
+    source = docs.select(*keep, F.col("text").alias("__text"))
+    schema = source.drop("__text").schema.add("fp", "long", False)
 
     def run(batches):
-        for batch in batches:
-            hashes = batch.column(batch.num_columns - 1)
-            values = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            bounds = hashes.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-            fps = majority_bits(values, bounds - bounds[0]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*keep, "fp"])
+        for whole in batches:
+            for batch in sliced(whole, "__text", SLICE):
+                fps = majority_bits(*shingles(*text_bytes(batch.column(batch.num_columns - 1)), k)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*keep, "fp"])
+        give_back()
 
     return source.mapInArrow(run, schema)
 

@@ -127,3 +127,92 @@ def majority_bits(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
             word[:, i] = np.packbits(2 * counts > n[:, None], axis=1, bitorder="little")[:, 0]
         out[rows] = word.view("<u8").reshape(-1)
     return out
+
+
+_P1, _P2, _P3, _P4, _P5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def _rotl(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of bytes, side by side; ``data`` has at least eight bytes after the last run."""
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    by = np.argsort(lengths.astype(np.uint16) if lengths.max() < 1 << 16 else lengths, kind="stable")
+    at, size = starts[by], lengths[by]
+    low, high = int(starts.min()), int((starts + lengths).max())
+    eight = np.ascontiguousarray(np.ndarray((high - low + 1,), "<u8", data[low : high + 8].tobytes(), 0, (1,)))  # from each byte on
+    at -= low
+    with np.errstate(over="ignore"):
+        seed_ = np.uint64(seed)
+        h = np.full(len(at), seed_ + _P5, np.uint64)
+        long = int(np.searchsorted(size, 32))
+        if long < len(at):
+            lanes = [np.full(len(at) - long, v, np.uint64) for v in (seed_ + _P1 + _P2, seed_ + _P2, seed_, seed_ - _P1)]
+            go, done = 0, 0
+            while go < len(lanes[0]):  # the longer ones come last
+                place = at[long + go :] + done
+                for i, v in enumerate(lanes):
+                    v[go:] = _rotl(v[go:] + eight[place + 8 * i] * _P2, 31) * _P1
+                done += 32
+                go = int(np.searchsorted(size, done + 32)) - long
+            x = _rotl(lanes[0], 1) + _rotl(lanes[1], 7) + _rotl(lanes[2], 12) + _rotl(lanes[3], 18)
+            for v in lanes:
+                x = (x ^ (_rotl(v * _P2, 31) * _P1)) * _P1 + _P4
+            h[long:] = x
+        h += size.astype(np.uint64)
+        at += size & ~31
+        rest = size & 31
+        for i in range(3):
+            some = np.flatnonzero(rest >= 8 * (i + 1))
+            h[some] = _rotl(h[some] ^ (_rotl(eight[at[some] + 8 * i] * _P2, 31) * _P1), 27) * _P1 + _P4
+        at += rest & ~7
+        some = np.flatnonzero(rest & 4)
+        h[some] = _rotl(h[some] ^ ((eight[at[some]] & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3
+        at += rest & 4
+        for i in range(3):
+            some = np.flatnonzero((rest & 3) > i)
+            h[some] = _rotl(h[some] ^ ((eight[at[some] + i] & np.uint64(255)) * _P5), 11) * _P1
+        h = (h ^ (h >> np.uint64(33))) * _P2
+        h = (h ^ (h >> np.uint64(29))) * _P3
+        out[by] = h ^ (h >> np.uint64(32))
+    return out
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[9:14] = 32
+
+_MANY = 1 << 16  #: So many shingles are hashed at once.
+
+
+def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds) of each text's shingles of k words, repeats included: XXH64 (seed 42) of the words with
+    one space between them, A-Z in lower case. Fewer words than k: of all together; none: no shingle."""
+    n = len(offsets) - 1
+    breaks = offsets[1:] + np.arange(n)
+    spaced = np.full(len(data) + n, 32, np.uint8)
+    inside = np.ones(len(spaced), bool)
+    inside[breaks] = False
+    spaced[inside] = data
+    spaced = np.frombuffer(spaced.tobytes().translate(_LOWER.tobytes()), np.uint8)
+    inside = spaced != 32
+    keep = inside.copy()
+    keep[1:] |= inside[:-1]  # and the space after each word
+    ends = np.searchsorted(np.flatnonzero(keep & ~inside), breaks, "right")  # words up to the end of each text
+    joined = np.concatenate((spaced[keep], np.zeros(8, np.uint8)))
+    stop = np.flatnonzero(joined == 32)
+    start = np.concatenate(([0], stop + 1))
+    first = np.concatenate(([0], ends[:-1]))
+    count = np.where(ends > first, np.maximum(ends - first - k + 1, 1), 0)
+    bounds = np.concatenate(([0], np.cumsum(count)))
+    from_ = np.repeat(first - bounds[:-1], count) + np.arange(bounds[-1])
+    to = np.minimum(from_ + k, np.repeat(ends, count)) - 1
+    out = np.zeros(len(from_), np.uint64)
+    for a in range(0, len(from_), _MANY):
+        own = slice(a, a + _MANY)
+        out[own] = xxh64(joined, start[from_[own]], stop[to[own]] - start[from_[own]])
+    return out, bounds

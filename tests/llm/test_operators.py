@@ -262,6 +262,18 @@ def test_simhash(spark, hard):
     assert counted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in run(spark, "op4", hard)) == want
 
 
+def test_shingles_are_hashed_in_slices(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("aBZé€😀.0") for _ in range(n))
+    space = lambda: rng.choice([" ", "  ", "\t", "\n", "\x0b", "\x0c\r", "\x1c "])
+    texts = [None, "", " \n", *(word(n) for n in range(1, 140)), *("".join(word(rng.randint(1, 30)) + space() for _ in range(n)) for n in range(1, 60)), "", word(70_000) + " b " + word(9)]
+    fps = [fingerprint(t, 4) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = simhash.fingerprints(docs)
+    assert "hash" not in found._jdf.queryExecution().optimizedPlan().toString()  # no array of them in the heap, nor in a batch
+    assert {r["doc_id"]: r["fp"] % (1 << 64) for r in found.collect()} == dict(enumerate(fps))
+
+
 @pytest.mark.parametrize(("chunk", "rows"), [(4096, 100), (8, 100), (8, 1 << 34)])
 def test_hot_buckets_lose_no_link(spark, chunk, rows):
     from pyspark.sql import functions as F
