@@ -442,11 +442,11 @@ def _source(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
 
 
-def _line_rows(piece: pa.RecordBatch, lines: Lines) -> pa.RecordBatch:
+def _line_rows(piece: pa.RecordBatch, lines: Lines, sizes: np.ndarray) -> pa.RecordBatch:
     """A row for each line that takes part."""
     rows = pa.array(lines.text[lines.own])
     return pa.RecordBatch.from_arrays(
-        [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(lines.number[lines.own], pa.int32()), pa.array(lines.key), pa.array(lines.sizes(), pa.int32())],
+        [piece.column(0).take(rows), piece.column(1).take(rows), pa.array(lines.number[lines.own], pa.int32()), pa.array(lines.key), pa.array(sizes, pa.int32())],
         names=["doc_id", "th", "line", "key", "size"],
     )
 
@@ -482,8 +482,9 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
             for whole in batches:
                 for piece in sliced(whole, "text", SLICE):
                     lines = Lines(piece.column(2))
+                    sizes = lines.sizes()
                     if len(lines.own):
-                        packed.append((2 * targets + int(lines.key[0] & 0xFFFFF), _packed(_line_rows(piece, lines))))
+                        packed.append((2 * targets + int(lines.key[0] & 0xFFFFF), _packed(_line_rows(piece, lines, sizes))))
                     _, first = np.unique(lines.key, return_index=True)
                     first = first[[k not in seen for k in lines.key[first].tolist()]] if len(first) else first
                     if len(seen) > 500_000:
@@ -493,7 +494,7 @@ def candidates(docs: DataFrame, rows: int) -> DataFrame:
                         continue
                     hashes, bounds, spelt = lines.units(first)
                     ids = lines.key[first].view(np.uint64)
-                    size = np.minimum(np.log(lines.sizes()[first]) * _STEPS, 65535).astype("<u2")
+                    size = np.minimum(np.log(sizes[first]) * _STEPS, 65535).astype("<u2")
                     line, key = block_keys(hashes, bounds, spelt)
                     part = (key % np.uint64(targets)).astype(np.int64) * 2
                     yield part, [(key >> np.uint64(32)).astype("<u4"), ids[line], size[line], np.zeros((len(line), 0), "<u8")]
@@ -634,38 +635,58 @@ def _linked(links: list[tuple[int, int]], ids: np.ndarray) -> tuple[np.ndarray,
     return _numbered(np.array([find(i) for i in member.tolist()]), ids[member])
 
 
+SAMPLE = 4096  #: texts whose lines are counted
+
+
+def _about_rows(docs: DataFrame) -> int:
+    """About how many lines docs have: as many a text as the first SAMPLE ones. It sets how finely work is
+    dealt out; what is found doesn't depend on it."""
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    some = [r[0] or 0 for r in docs.select(breaks + F.lit(1)).take(SAMPLE)]
+    return docs.count() * sum(some) // max(1, len(some))
+
+
 def line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, groups): every line's (doc_id, th, line, key, size), th a hash of its text; and key,
-    component for the keys that are linked to another one.
+    component for the keys that are linked to another one."""
+    lines, _, groups = _line_groups(docs)
+    return lines, groups
+
+
+def _line_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """line_groups, and between its tables: each key, at (the first line that has it) and n, their number.
 
     Normalised lines are told apart by a 64-bit hash. Lines that have a candidate partner fetch their
     text, once each, and edit similarity decides."""
-    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    rows = docs.agg(F.sum(breaks + F.lit(1))).first()[0] or 0
-    found, _ = materialize(candidates(docs, rows), "found")
+    found, _ = materialize(candidates(docs, _about_rows(docs)), "found")
     lines = found.where("grp is null").select("doc_id", "th", "line", "key", "size")
     met, _ = materialize(found.where("grp is not null").select("grp", "id").distinct(), "met")
-    nodes = lines.join(met.select(F.col("id").alias("key")).distinct(), "key", "left_semi")
-    wanted = nodes.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size")).select("at.doc_id", "at.th", "at.line", "key", "size")
+    firsts = lines.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at"), F.first("size").alias("size"), F.count("*").alias("n"))
+    firsts, _ = materialize(firsts, "firsts")
+    wanted = firsts.join(met.select(F.col("id").alias("key")).distinct(), "key", "left_semi").select("at.doc_id", "at.th", "at.line", "key", "size")
     texts, _ = materialize(_fetch(docs, wanted), "texts")
     keyed = met.join(texts, met.id == texts.key).select(F.col("grp").alias("key"), "fp", "id", "size", "text")
-    return lines, connected_components(bucket_links(keyed, 64, surely_similar, chunk=512, fits=may_be_similar, sketch=sketches, decide=within))
+    return lines, firsts, connected_components(bucket_links(keyed, 64, surely_similar, chunk=512, fits=may_be_similar, sketch=sketches, decide=within))
 
 
 def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, size, SimHash and the normalised text of the wanted lines."""
+    """key, size, SimHash and the normalised text of the wanted lines. Of rows repeated as a whole a task gives
+    them once; where such rows are split between tasks a line may come again, and be linked to itself."""
     grouped = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line", "key", "size")).alias("lines"))
     marked = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
-    joined = marked.join(grouped, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("text", "lines")
+    joined = marked.join(grouped.hint("shuffle_hash"), F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("th"))).select("text", "lines")
 
     def run(batches):
+        seen: set[int] = set()
         for whole in batches:
             for piece in sliced(whole, "text", SLICE):
                 out = []
                 for text, own in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
                     cut = text.split(b"\n")
                     for x in own:
-                        out.append((x["key"], x["size"], normalised(cut[x["line"]])))
+                        if x["key"] not in seen:
+                            seen.add(x["key"])
+                            out.append((x["key"], x["size"], normalised(cut[x["line"]])))
                 if out:
                     key, size, line = (pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.string())))
                     taken = Lines(line)
@@ -673,7 +694,7 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([key, size, pa.array(fps), line], names=["key", "size", "fp", "text"])
         blobs.give_back()
 
-    return joined.mapInArrow(run, "key long, size int, fp long, text string").dropDuplicates(["key"])
+    return joined.mapInArrow(run, "key long, size int, fp long, text string")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -683,20 +704,22 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     line) stays, whatever their length; of rows equal in doc_id and text one keeps it. Lines without a
     letter or digit stay. Null texts stay null and have no lines, an empty text has one; an empty table
     gives no rows. Columns named n_lines or n_dropped are replaced, all others pass through."""
-    lines, groups = line_groups(docs)
-    nodes = lines.groupBy("key").agg(F.min(F.struct("doc_id", "th", "line")).alias("at")).join(groups.withColumnRenamed("node", "key"), "key", "left")
-    first = nodes.groupBy(F.coalesce("component", "key").alias("c")).agg(F.min("at").alias("at")).select("at.*")
-    kept = first.groupBy(F.col("doc_id").alias("kd"), F.col("th").alias("kt")).agg(F.collect_set("line").alias("kept"))
-    all_ = lines.groupBy("doc_id", "th").agg(F.collect_set("line").alias("all"), F.count("*").alias("n"))
-    both = all_.join(kept, F.col("doc_id").eqNullSafe(F.col("kd")) & (F.col("th") == F.col("kt")), "left")
-    left = F.coalesce("kept", F.array().cast("array<int>"))
-    drops = both.select("doc_id", "th", "all", F.array_except("all", left).alias("gone"), (F.col("n") > F.size("all")).alias("again")).where("size(gone) > 0 or again")
+    lines, firsts, groups = _line_groups(docs)
+    # lines that no other one equals or is like stay and go no further
+    several, _ = materialize(firsts.select("key", "at", "n").join(groups.withColumnRenamed("node", "key"), "key", "left").where("n > 1 or component is not null"), "several")
+    best = several.where("component is not null").groupBy("component").agg(F.min("at").alias("best"))
+    first = several.join(best, "component", "left").select("key", F.coalesce("best", "at").alias("at"))
+    is_first = F.struct("doc_id", "th", "line").eqNullSafe(F.col("at"))
+    own = lines.join(first, "key").select("doc_id", "th", "line", F.when(is_first, F.col("line")).alias("kept"))
+    both = own.groupBy("doc_id", "th").agg(F.collect_set("line").alias("all"), F.collect_set("kept").alias("kept"), F.count("kept").alias("n"))
+    # of rows repeated as a whole all lines are here, and those that are kept more than once
+    drops = both.select("doc_id", "th", "all", F.array_except("all", "kept").alias("gone"), (F.col("n") > F.size("kept")).alias("again")).where("size(gone) > 0 or again")
     drops, _ = materialize(drops, "drops")
     others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     d, t, h, gone, every, again, copy = unused(others, "d", "t", "h", "gone", "all", "again", "copy")
     drops = drops.select(F.col("doc_id").alias(d), F.col("th").alias(t), F.col("gone").alias(gone), F.col("all").alias(every), F.col("again").alias(again))
     marked = docs.select(*(F.col(f"`{c}`") for c in others), F.xxhash64("text").alias(h))
-    joined = marked.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    joined = marked.join(drops.hint("shuffle_hash"), F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
     if not drops.where(F.col(again)).isEmpty():  # rows repeated as a whole: the first one has the lines
         order = Window.partitionBy("doc_id", h).orderBy(F.lit(0))
         joined = joined.withColumn(copy, F.when(F.col(again), F.row_number().over(order)).otherwise(1))

@@ -262,6 +262,27 @@ def test_simhash(spark, hard):
     assert counted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in run(spark, "op4", hard)) == want
 
 
+def test_lines_that_stand_alone_go_no_further(spark, monkeypatch):
+    rng = random.Random(8)
+    line = lambda: " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(7))
+    texts = [line() + "\n" + line() for _ in range(40)]
+    texts[30] += "\n" + texts[4].split("\n")[1].upper()
+    rows = {}
+
+    def counting(df, tag):
+        found, path = materialize(df, tag)
+        rows[tag] = found.count()
+        return found, path
+
+    materialize = lines.materialize
+    monkeypatch.setattr(lines, "materialize", counting)
+    found = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert "SortMergeJoin" not in (plan := found._jdf.queryExecution().executedPlan().toString()) and "ShuffledHashJoin" in plan  # texts aren't sorted
+    texts[30] = texts[30].rsplit("\n", 1)[0]
+    assert [r["text"] for r in found.orderBy("doc_id").collect()] == texts
+    assert (rows["firsts"], rows["several"], rows["drops"]) == (80, 1, 1)
+
+
 def test_shingles_are_hashed_in_slices(spark):
     rng = random.Random(5)
     word = lambda n: "".join(rng.choice("aBZé€😀.0") for _ in range(n))
