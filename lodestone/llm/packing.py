@@ -83,7 +83,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, group_docs: int
         encoder = tokenizer_at(tokenizer)
         group, used, rests, out, size = None, 0, [], [], 0
         for whole in batches:
-            for piece in sliced(whole, "text", 4 << 20):
+            for piece in sliced(whole, "text", 2 << 20):
                 all_ids, offsets = encoder.encode(piece.column(1), end)
                 for i, (doc_id, g) in enumerate(zip(piece.column(0).to_pylist(), piece.column(2).to_pylist())):
                     if g != group or len(rests) >= limit:

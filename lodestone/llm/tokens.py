@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import partitions, scratch, sliced
 
 END_ID = 1
+RUN = 1 << 15  #: words whose ids are put in place at once
 
 
 def default_tokenizer() -> str:
@@ -46,9 +47,10 @@ class WordTokenizer:
 
     That equals encoding whole texts where the normalizer and the pre-tokenizer are those of WORDWISE:
     pre-tokens never span ASCII white space, and letters and points are apart. With any other tokenizer
-    texts are encoded whole. The cache holds ``most`` words and is emptied when full, so memory is bounded."""
+    texts are encoded whole. The cache holds ``most`` words, or those of one call; when full it keeps only words
+    that the texts at hand hold too, so memory is bounded."""
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -97,6 +99,10 @@ class WordTokenizer:
             parts.append((stem, tail))
             if stem not in cache:
                 new[stem] = None
+        if len(cache) + len(new) > self.most:
+            kept = {word: cache[word] for pair in parts for word in pair if word in cache}
+            cache.clear()
+            cache.update(kept)
         simple, letters, rest = [], [], []
         for word in new:
             (rest if not word.isalpha() else simple if word.isascii() and word.islower() else letters).append(word)
@@ -138,19 +144,19 @@ class WordTokenizer:
         lists = pc.ascii_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        if len(self.cache) + 2 * len(words) > self.most:
-            self.cache.clear()
         own = self._ids(words)
         sizes = np.fromiter(map(len, own), np.int64, len(own)) // self.kind.itemsize
         table = np.frombuffer(b"".join(own), self.kind)
         codes = coded.indices.to_numpy(zero_copy_only=False)
-        lengths = sizes[codes]
         ends = np.zeros(len(codes) + 1, np.int64)
-        np.cumsum(lengths, out=ends[1:])
+        np.cumsum(sizes[codes], out=ends[1:])
         raw = lists.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
         bounds = ends[raw - raw[0]]
-        begin = (np.cumsum(sizes) - sizes)[codes]
-        ids = table[np.repeat(begin - ends[:-1], lengths) + np.arange(ends[-1])] if len(codes) else np.zeros(0, self.kind)
+        begin = np.cumsum(sizes) - sizes
+        ids = np.empty(ends[-1], self.kind)
+        for a in range(0, len(codes), RUN):  # an index for each id takes four times the ids: a run of words at a time
+            part, at = codes[a : a + RUN], ends[a : a + RUN + 1]
+            ids[at[0] : at[-1]] = table[np.repeat(begin[part] - at[:-1], np.diff(at)) + np.arange(at[0], at[-1])]
         if end is None:
             return ids, bounds
         offsets = bounds + np.arange(len(bounds))

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -196,6 +197,32 @@ def test_small_cache_gives_the_same():
         assert (x == y).all()
 
 
+def test_encoding_takes_bounded_memory():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{x}" for x in rng.integers(0, 500, 2000)) for _ in range(400)])
+    encoder = tokens.WordTokenizer(tokens.default_tokenizer())
+    encoder.encode(texts)
+    tracemalloc.start()
+    encoder.encode(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * texts.nbytes
+
+
+def test_full_cache_keeps_the_words_in_use():
+    encoder, fresh = (tokens.WordTokenizer(tokens.default_tokenizer(), n) for n in (150, 1_000_000))
+    common = " ".join(f"often{i}" for i in range(50))
+    for k in range(20):
+        texts = pa.array([f"{common} " + " ".join(f"once{k}x{i}" for i in range(40))])
+        for x, y in zip(encoder.encode(texts), fresh.encode(texts)):
+            assert (x == y).all()
+        assert len(encoder.cache) <= 150 and all(w in encoder.cache for w in common.split())
+    calls = []
+    encoder._each = lambda words: calls.extend(words)
+    encoder.encode(pa.array([common]))
+    assert not calls
+
+
 def test_packing(spark, hard, encoded):
     got = run(spark, "op2", hard)
     known = collections.defaultdict(list)
