@@ -177,3 +177,14 @@ def test_against_duckdb(spark, sf_dir, name):
     a = sorted((tuple(str(float(x)) if isinstance(x, (int, float)) or hasattr(x, "quantize") else str(x) for x in r) for r in got.collect()))
     b = sorted((tuple(str(float(r[i])) if isinstance(r[i], (int, float)) or hasattr(r[i], "quantize") else str(r[i]) for i in order) for r in want.fetchall()))
     assert a == b or all(math.isclose(float(x), float(y), rel_tol=1e-9) for p, q in zip(a, b) for x, y in zip(p, q) if x != y)
+
+
+def test_cross_apply_takes_its_first_rows_in_order(session):
+    text = "SELECT c.c_custkey, x.o_orderkey FROM customer c CROSS APPLY (SELECT TOP 2 o.o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o.o_totalprice DESC, o.o_orderkey) x"
+    plan = session.explain(text)
+    # rows sorted before the shuffle by key arrive in any order on a cluster
+    assert "DESC NULLS LAST" in next(line for line in plan.splitlines() if "[row_number() windowspecdefinition" in line) and "rangepartitioning" not in plan
+    found = {}
+    for customer, price, order in sorted(rows(session, "SELECT o_custkey, -o_totalprice AS p, o_orderkey FROM orders")):
+        found.setdefault(customer, []).append((customer, order))
+    assert sorted(rows(session, text)) == sorted(r for own in found.values() for r in own[:2])
